@@ -1,15 +1,18 @@
 """Token counts and ids with public tokenizers, in Arrow batches.
 
-A text is cut before each space that no further white space follows in a run of three; the pattern that splits text
-before the merges always starts a new piece there, so pieces encode alone as they do in the text. Distinct pieces go
-to the library in batches of bounded bytes, and a bounded cache keeps what they gave. Texts where the cut could fall
-inside a longer run of white space are encoded whole.
-
-Defined results: null is the empty text, which has no tokens; special strings inside texts are the library's default.
+Rows are taken in runs of about BATCH_BYTES, so a batch of long texts is no heavier than one of short texts. A text of
+more than LONG_CHARS is cut where a space or line break stands between characters that are no white space; the pattern
+that splits text before the merges starts a new piece there in any case, so the parts encode alone as they do in the
+text. Byte-level vocabularies in .json files run on the tiktoken library from the same vocabulary, several times
+faster, once its ids agree with the file's own library on a probe text; otherwise the file's own library runs.
+
+Defined results: null is the empty text, which has no tokens; special strings inside texts are the library's default,
+that is, special tokens; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 
@@ -24,68 +27,73 @@ from loomgraph.session import ensure_importable
 
 TOKEN_LIMIT = 512
 BATCH_BYTES = 2 << 20
-CACHE_PIECES = 400_000
-CACHED_CHARS = 48
-_RUN = re.compile(r" \s* (?:\s|\Z)")
-#: Cached encoders of this worker process, by path.
+LONG_CHARS = 1 << 18
+_SAFE = re.compile(r"(?<=\S)[ \n](?=\S)")
+_PROBE = "It's 12 o'clock, isn't it?  Größe\n\n\n\tλ日本 --- end<|endoftext|> of\r\n it "
+#: Encoders of this worker process, by path.
 _encoders: dict = {}
 
 
+def safe_parts(text: str, limit: int = LONG_CHARS) -> list[str]:
+    parts, first = [], 0
+    while len(text) - first > limit and (cut := _SAFE.search(text, first + limit)):
+        parts.append(text[first : cut.start()])
+        first = cut.start()
+    return [*parts, text[first:]]
+
+
+def _byte_of_character() -> dict[str, int]:
+    """Byte-level vocabularies write printable bytes as themselves and the others as characters from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in set(shown)]
+    return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
+
+
 class Encoder:
     """Token ids as little-endian uint16 (vocabularies up to 65,536) or uint32."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        self.cuts = False
         if path.endswith(".json"):
             from tokenizers import Tokenizer
 
             model = Tokenizer.from_file(path)
             size = model.get_vocab_size(with_added_tokens=True)
-            self.batch = lambda texts: [x.ids for x in model.encode_batch_fast(texts, add_special_tokens=False)]
-            self.cuts = "ByteLevel" in str(model.pre_tokenizer)
+            own = lambda text: model.encode(text, add_special_tokens=False).ids
+            fast = self._fast(path)
+            self.ids = fast if fast and list(fast(_PROBE)) == own(_PROBE) else own
         elif path.endswith(".model"):
             import sentencepiece
 
             model = sentencepiece.SentencePieceProcessor(model_file=path)
             size = model.get_piece_size()
-            self.batch = lambda texts: model.encode(texts, num_threads=1)
+            self.ids = lambda text: model.encode(text, num_threads=1)
         else:
             raise ValueError(f"neither a .json nor a .model file: {path}")
+        self.splits = path.endswith(".json") and self.ids is not own
         self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
-        self.cache: dict[str, bytes] = {}
-
-    def _raw(self, texts: list[str]) -> list[bytes]:
-        return [np.array(ids, self.dtype).tobytes() for ids in self.batch(texts)]
 
-    def _pieces(self, text: str) -> list[str] | None:
-        """Parts that encode alone; None where the text must stay whole."""
-        if not self.cuts or _RUN.search(text):
+    @staticmethod
+    def _fast(path: str):
+        with open(path, encoding="utf-8") as file:
+            spec = json.load(file)
+        if spec["model"]["type"] != "BPE" or (spec.get("pre_tokenizer") or {}).get("type") != "ByteLevel" or spec["pre_tokenizer"].get("add_prefix_space") or spec.get("normalizer"):
             return None
-        first, *rest = text.split(" ")
-        return [first, *[" " + x for x in rest]]
+        import public_tokenizers
+        import tiktoken
+
+        to_byte = _byte_of_character()
+        special = {x["content"]: x["id"] for x in spec["added_tokens"]}
+        ranks = {bytes(to_byte[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
+        model = tiktoken.Encoding("from-file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
+        return lambda text: model.encode_to_numpy(text, allowed_special="all")
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [self._pieces(x) for x in texts]
-        cache = self.cache
-        if len(cache) > CACHE_PIECES:
-            cache.clear()
-        distinct = set().union(*[p for p in cut if p is not None]) if cut else set()
-        new = [p for p in distinct if p not in cache]
-        own: dict[str, bytes] = {}
-        for a in range(0, len(new), 20_000):
-            for piece, ids in zip(new[a : a + 20_000], self._raw(new[a : a + 20_000])):
-                (cache if len(piece) <= CACHED_CHARS else own)[piece] = ids
-        whole = iter(self._raw([x for x, p in zip(texts, cut) if p is None]))
-        out = []
-        for p in cut:
-            if p is None:
-                out.append(next(whole))
-            elif own:
-                out.append(b"".join([cache[x] if x in cache else own[x] for x in p]))
-            else:
-                out.append(b"".join([cache[x] for x in p]))
-        return out
+        ids, kind = self.ids, self.dtype
+        return [
+            np.asarray(ids(x), kind).tobytes() if len(x) <= LONG_CHARS or not self.splits else b"".join([np.asarray(ids(p), kind).tobytes() for p in safe_parts(x)])
+            for x in texts
+        ]
 
 
 def encoder(path: str) -> Encoder:

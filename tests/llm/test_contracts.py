@@ -61,17 +61,20 @@ def test_token_counts(cases):
             assert got[d] == (len((t or "").encode()), n, n > 512), d
 
 
-def test_cut_pieces_encode_alike():
+def test_fast_ids_and_safe_parts_are_the_library_s():
     import itertools
 
+    import numpy as np
     from tokenizers import Tokenizer
 
     model, own = Tokenizer.from_file(tokens.default_tokenizer()), tokens.Encoder(tokens.default_tokenizer())
-    texts = ["".join(x) for x in itertools.product([" ", "\n", "a", "'s", " ", "."], repeat=5)]
+    texts = ["".join(x) for x in itertools.product([" ", "\n", "a", "'s", "\t", "é.", "<|endoftext|>"], repeat=5)]
     want = [x.ids for x in model.encode_batch(texts, add_special_tokens=False)]
-    import numpy as np
-
-    assert [np.frombuffer(x, own.dtype).tolist() for x in own.encode(texts)] == want
+    assert own.splits and [np.frombuffer(x, own.dtype).tolist() for x in own.encode(texts)] == want
+    for text in texts[:4000]:
+        parts = tokens.safe_parts(text, 2)
+        assert "".join(parts) == text
+        assert sum((list(own.ids(p)) for p in parts), []) == list(own.ids(text))
 
 
 def test_near_duplicates(cases):
