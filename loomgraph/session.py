@@ -67,10 +67,5 @@ def _tidy() -> None:
             pass
 
 
-def size_in_bytes(df: DataFrame) -> int:
-    """Spark's own estimate of the input size, from file sizes; used only to size partitions."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
