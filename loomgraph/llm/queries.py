@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import fingerprints, mixing, neardup, packing, quality, tokens
+from loomgraph.llm import fingerprints, mixing, neardup, packing, quality, substrings, suffixes, tokens
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,6 +30,14 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_documents(spark, sf_dir))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.repeated_words(_documents(spark, sf_dir))
+
+
+def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.repeated_bytes(_documents(spark, sf_dir))
+
+
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
@@ -38,5 +46,5 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprints(_documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op4_token_counts, op5_minhash_near_dedup, op6_packing, op9_source_mixing, op10_fingerprints)}
+QUERIES = {f.__name__: f for f in (op2_quality_rules, op4_token_counts, op5_minhash_near_dedup, op6_packing, op7_substring_dedup, op8_suffix_array_dedup, op9_source_mixing, op10_fingerprints)}
 ORACLE_SQL: dict[str, str] = {}

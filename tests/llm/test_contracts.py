@@ -6,7 +6,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from loomgraph.llm import fingerprints, mixing, neardup, packing, quality, queries, tokens
+from loomgraph.llm import fingerprints, mixing, neardup, packing, quality, queries, substrings, suffixes, tokens
 
 from . import brute
 
@@ -98,6 +98,42 @@ def test_near_duplicates_of_many_close_groups(spark):
     assert got == brute.near_duplicates(pairs(rows))
 
 
+def test_word_dedup(cases):
+    for table, rows in cases:
+        got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substrings.repeated_words(table).collect()}
+        assert got == brute.word_dedup(pairs(rows))
+
+
+def test_byte_dedup(cases):
+    for table, rows in cases:
+        got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixes.repeated_bytes(table).collect()}
+        assert got == brute.byte_dedup(pairs(rows))
+
+
+def test_dedup_of_spliced_passages(spark):
+    import random
+
+    rng = random.Random(3)
+    passages = [" ".join(rng.choice("ab cd ef gh ij".split()) + str(rng.randrange(60)) for _ in range(60)) for _ in range(6)]
+    rows = []
+    for i in range(120):
+        parts = []
+        for _ in range(rng.randrange(1, 6)):
+            ws = rng.choice(passages).split(" ")
+            a, n = rng.randrange(50), rng.randrange(5, 40)
+            parts += ws[a : a + n] + [f"own{rng.randrange(10**6)}" for _ in range(rng.randrange(4))]
+        rows.append((i * 3 % 121, " ".join(parts), "en", "s"))
+    table = documents(spark, rows)
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substrings.repeated_words(table).collect()}
+    assert got == brute.word_dedup(pairs(rows))
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixes.repeated_bytes(table).collect()}
+    assert got == brute.byte_dedup(pairs(rows))
+    cut = {r.doc_id: r.text for r in substrings.remove_duplicates(table).collect()}
+    gone = brute.removed(pairs(rows), brute.words, 13)
+    for d, t in pairs(rows):
+        assert brute.words(cut.get(d)) == [w for i, w in enumerate(brute.words(t)) if i not in gone[d]]
+
+
 def test_packing(cases):
     from tokenizers import Tokenizer
 
@@ -197,7 +233,7 @@ def test_peeling_counts_the_difference_exactly():
         assert got[0] == n + n // 2
 
 
-EMPTY_QUERIES = [quality.judge, tokens.token_counts, neardup.near_duplicates, packing.pack, mixing.mix, fingerprints.fingerprints]
+EMPTY_QUERIES = [quality.judge, tokens.token_counts, neardup.near_duplicates, packing.pack, mixing.mix, fingerprints.fingerprints, substrings.repeated_words, suffixes.repeated_bytes]
 
 
 @pytest.mark.parametrize("operator", EMPTY_QUERIES, ids=lambda f: f.__name__)
