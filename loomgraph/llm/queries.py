@@ -5,19 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import fingerprints, mixing, neardup, packing, quality, substrings, suffixes, tokens
+from loomgraph.llm import fingerprints, licenses, lm, mixing, neardup, packing, quality, substrings, suffixes, tokens
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_documents(spark, sf_dir))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(_documents(spark, sf_dir)).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", *quality.METRICS
     )
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_documents(_documents(spark, sf_dir))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(_documents(spark, sf_dir))
 
@@ -46,5 +54,5 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprints(_documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op4_token_counts, op5_minhash_near_dedup, op6_packing, op7_substring_dedup, op8_suffix_array_dedup, op9_source_mixing, op10_fingerprints)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_quality_rules, op3_lm_scoring, op4_token_counts, op5_minhash_near_dedup, op6_packing, op7_substring_dedup, op8_suffix_array_dedup, op9_source_mixing, op10_fingerprints)}
 ORACLE_SQL: dict[str, str] = {}

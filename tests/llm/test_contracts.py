@@ -6,7 +6,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from loomgraph.llm import fingerprints, mixing, neardup, packing, quality, queries, substrings, suffixes, tokens
+from loomgraph.llm import fingerprints, licenses, lm, mixing, neardup, packing, quality, queries, substrings, suffixes, tokens
 
 from . import brute
 
@@ -39,6 +39,77 @@ def pairs(rows):
     return [(d, t) for d, t, *_ in rows]
 
 
+def test_license_scan(spark, cases):
+    assert licenses.classifier(spark).accuracy > 0.95
+    table, rows = cases[0]
+    got = {r.doc_id: r for r in licenses.scan(table).collect()}
+    assert len(got) == len(rows)
+    names = {"Apache License, Version 2.0": "apache-2.0", "the MIT License": "mit", "GNU General Public License, version 3": "gpl", "CC BY-NC 4.0": "cc-by-nc"}
+    for d, t in pairs(rows):
+        assert set(got[d].families) >= {f for n, f in names.items() if n in (t or "")}
+        assert not got[d].families or any(m in t.lower() for m in licenses.MARKS)
+
+
+def test_license_templates_and_hard_negatives(spark):
+    marked = lambda t: any(m in t.lower() for m in licenses.MARKS)
+    lines = [(t, f) for f, ts in licenses.TEMPLATES.items() for t in ts if marked(t)] + [(t, None) for t in licenses.NEGATIVES]
+    rows = [(i, "Some text before.\n" + t + "\nand after", "en", "a") for i, (t, _) in enumerate(lines)]
+    got = {r.doc_id: r.families for r in licenses.scan(documents(spark, rows)).collect()}
+    for i, (t, f) in enumerate(lines):
+        assert got[i] == ([f] if f else []), t
+
+
+def test_lm_scoring(cases):
+    import zlib
+
+    for table, rows in cases:
+        got = {r.doc_id: r for r in lm.score_documents(table).collect()}
+        toks = {d: [*brute.words(brute.ascii_lower(t or "")), None] for d, t in pairs(rows)}
+        held = {d: zlib.crc32(str(d).encode()) % 5 == 1 for d in toks}
+        counts = Counter(w for d, ws in toks.items() if not held[d] for w in ws)
+        total = sum(counts.values())
+        for d, ws in toks.items():
+            r = got[d]
+            base = sum(math.log10((counts[w] + 0.5) / (total + 0.5 * (len(counts) + 1))) for w in ws)
+            assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[d], len(ws), sum(counts[w] > 0 for w in ws), total)
+            assert math.isclose(r.base_score, base, rel_tol=1e-9)
+            assert r.score < 0
+        if rows is not EDGE:
+            out = [r for r in got.values() if r.held_out]
+            assert sum(r.score for r in out) > sum(r.base_score for r in out) * 0.97
+
+
+def test_lm_probabilities_add_up(spark):
+    """Over the vocabulary, the end token and the unknown word, for a context that was seen."""
+    rows = [(i, " ".join("abcde"[(i * 7 + j * j) % 5] + "xy"[(i + j) % 2] for j in range(40)), "en", "s") for i in range(40)]
+    model = lm.Model(documents(spark, rows))
+    vocabulary = sorted({w for _, t, *_ in rows for w in t.split()})
+    probes = [(1000 + i, f"ax {w}", "en", "s") for i, w in enumerate([*vocabulary, "zzz"])] + [(2000, "ax", "en", "s")]
+    got = {r.doc_id: r.score for r in model.score(documents(spark, probes)).collect()}
+    # score("ax w") = p(ax) p(w | ax) p(end | w); score("w"-less parts come from shorter probes)
+    ends = {r.doc_id: r.score for r in model.score(documents(spark, [(i, w, "en", "s") for i, w in enumerate([*vocabulary, "zzz"])])).collect()}
+    starts = {i: 10 ** ends[i] for i in ends}  # p(w | start) p(end | w)
+    alone = 10 ** got[2000]  # p(ax | start) p(end | ax)
+    assert 0 < alone < 1 and all(0 < v < 1 for v in starts.values())
+    assert sum(starts.values()) < 1 and sum(10 ** got[1000 + i] for i in range(len(vocabulary) + 1)) < 1
+
+
+def test_seating_has_the_expected_number_of_tables():
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    exact = []
+    for _ in range(4000):
+        t = 1
+        for n in range(1, 12):
+            t += rng.random() < 0.8 / (0.8 + n - 0.5 * t)
+        exact.append(t)
+    got = lm.seat(np.full(4000, 12), np.full(4000, 0.8), 0.5, rng)
+    assert abs(got.mean() - np.mean(exact)) < 0.1
+    big = lm.seat(np.array([0, 1, 10**7]), np.array([1.0, 1.0, 1.0]), 0.5, rng)
+    assert big[0] == 0 and big[1] == 1 and 2 < big[2] < 1000
+
+
 def test_quality(cases):
     for table, rows in cases:
         got = {r.doc_id: r.asDict() for r in quality.judge(table).collect()}
@@ -233,7 +304,7 @@ def test_peeling_counts_the_difference_exactly():
         assert got[0] == n + n // 2
 
 
-EMPTY_QUERIES = [quality.judge, tokens.token_counts, neardup.near_duplicates, packing.pack, mixing.mix, fingerprints.fingerprints, substrings.repeated_words, suffixes.repeated_bytes]
+EMPTY_QUERIES = [quality.judge, tokens.token_counts, neardup.near_duplicates, packing.pack, mixing.mix, fingerprints.fingerprints, substrings.repeated_words, suffixes.repeated_bytes, licenses.scan, lm.score_documents]
 
 
 @pytest.mark.parametrize("operator", EMPTY_QUERIES, ids=lambda f: f.__name__)
