@@ -1,15 +1,18 @@
 """Near duplicates: banded MinHash candidates, sequential Bayesian pruning, exact verification.
 
 Documents with equal shingle sets form one class first; only its representative, the smallest doc_id, goes on.
-Signatures are cut into bands; representatives that share a band meet. Round one compares every member of a band with
-the band's smallest member. A pair's signatures are compared in batches, and after each batch the pair is dropped if
-the posterior probability (uniform prior) of a similarity of THRESHOLD or more is below MISS; survivors are verified
-on their full shingle sets. Round two looks only at bands that still hold more than one component: the verified
-centres of their members are compared, and by the triangle inequality of Jaccard distance only those member pairs that
-could still be linked are compared themselves. So each pair of different components that shares a band is either
-verified or excluded by a proof, without all pairs inside a group.
-
-A pair of similarity s shares no band with probability (1 - s**ROWS)**BANDS, 5e-6 at 0.75; hashes have 64 bits.
+Signatures are cut into bands; representatives that share a band meet. In star rounds, each band that holds more than
+one component picks a centre, and the members of other components are compared with it. A pair's signatures are
+compared in batches, and after each batch the pair is dropped if the posterior probability (uniform prior) of a
+similarity of PERCENT / 100 or more is below MISS; survivors are verified on their full shingle sets. Documents in bands
+that stay mixed after the stars meet again in a second family of longer bands, which tells documents that merely share
+a frequent passage from near copies. Components that still share a band of it are compared across: the verified
+centres of their members first, and by the triangle inequality of Jaccard distance then only those member pairs that
+could still be linked. So each pair of different components that meets in the bands is verified or excluded by a proof,
+without all pairs inside a group.
+
+A pair of similarity s shares no band with probability (1 - s**ROWS)**BANDS, 5e-6 at 0.75, and
+no band of the second family with probability 6e-7; hashes have 64 bits.
 
 Defined results: documents without words have no shingles and are linked with nothing; documents of fewer than five
 words have one shingle, their whole sequence; rows that share a doc_id are one document and share a verdict (linked
@@ -33,9 +36,13 @@ SHINGLE = 5
 PERCENT = 75
 BANDS, ROWS = 32, 4
 HASHES = BANDS * ROWS
+SECOND_BANDS, SECOND_ROWS = 136, 8
+STARS = 3
 BATCH = 16
 MISS = 1e-7
 _U = np.uint64
+_CLOSE = f"100 * common >= {PERCENT} * together"
+_SECOND = np.random.RandomState(20240307).randint(1, 2**63 - 1, SECOND_BANDS * SECOND_ROWS).astype(_U) * _U(2) + _U(1)
 _MULTIPLIERS = np.random.RandomState(20240305).randint(1, 2**63 - 1, HASHES).astype(_U) * _U(2) + _U(1)
 
 
@@ -106,6 +113,25 @@ def _bands(batches):
         yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1).view(np.int64)), pa.array(doc)], names=["band", "doc"])
 
 
+def _second_bands(batches):
+    """(band, doc) of the second family, from the sets of the documents that need it."""
+    for batch in batches:
+        for a in range(0, len(batch), 256):
+            part = batch.slice(a, 256)
+            raw = part.column("shingles").to_pylist()
+            keys = np.frombuffer(b"".join(raw), _U)
+            starts = np.cumsum([0, *[len(x) // 8 for x in raw]])[:-1]
+            scratch, out = np.empty_like(keys), []
+            for band in range(SECOND_BANDS):
+                key = np.full(len(raw), band + 1000, _U)
+                for row in range(SECOND_ROWS):
+                    np.multiply(keys, _SECOND[band * SECOND_ROWS + row], out=scratch)
+                    key = key * _U(T._BASE) + np.minimum.reduceat(scratch, starts)
+                out.append(T.mix(key))
+            doc = np.tile(part.column("doc_id").to_numpy(), SECOND_BANDS)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)), pa.array(doc)], names=["band", "doc"])
+
+
 def least_matches(compared: int, miss: float = MISS, percent: int = PERCENT) -> int:
     """The fewest equal values among `compared` with which a similarity of the threshold stays possible.
 
@@ -183,53 +209,94 @@ class NearDuplicates:
         heads = self.members.where("doc_id = class_id and n_shingles > 0").select("doc_id").distinct()
         self.heads = self.signed.where("n_shingles > 0").join(heads, "doc_id", "left_semi").select("doc_id", "signature")
 
-    def banded(self) -> DataFrame:
-        """(band, doc) of the bands in which more than one representative stands, with the band's smallest one."""
-        rows = self.heads.mapInArrow(_bands, "band long, doc long")
-        shared = rows.groupBy("band").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select(F.col("band").alias("in_band"), "first")
-        return rows.join(shared, F.col("band") == F.col("in_band")).select("band", "doc", "first")
-
     def pruned(self, pairs: DataFrame) -> DataFrame:
         return _attach(pairs, self.heads, "doc_id", "signature").mapInArrow(_prune, "a long, b long")
 
     def measured(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
         return _attach(pairs, sets, "doc_id", "shingles").mapInArrow(_measure, "a long, b long, common long, together long")
 
+    def _open(self, bands: DataFrame, labels: DataFrame | None) -> DataFrame:
+        """(band, doc, component) of the bands that hold more than one component."""
+        bands = bands.select("band", "doc")
+        if labels is None:
+            placed = bands.select("band", "doc", F.col("doc").alias("component"))
+        else:
+            placed = bands.join(labels, F.col("doc") == F.col("node"), "left").select("band", "doc", F.coalesce("component", "doc").alias("component"))
+        placed = materialize(placed, "placed")
+        mixed = placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select(F.col("band").alias("in_band"))
+        return materialize(placed.join(mixed, F.col("band") == F.col("in_band")).drop("in_band"), "open")
+
+    def _stars(self, bands: DataFrame, links: DataFrame | None, labels: DataFrame | None, sets: DataFrame):
+        """Rounds in which each open band picks a centre and compares the members of other components with it."""
+        for turn in range(STARS):
+            bands = self._open(bands, labels)
+            if bands.isEmpty():
+                break
+            centre = F.min_by(F.struct("doc", "component"), F.struct(F.xxhash64(F.col("doc"), F.lit(turn)), "doc"))
+            centres = bands.groupBy("band").agg(centre.alias("c")).select(F.col("band").alias("c_band"), F.col("c.doc").alias("a"), F.col("c.component").alias("of"))
+            pairs = bands.join(centres, (F.col("band") == F.col("c_band")) & (F.col("component") != F.col("of"))).select("a", F.col("doc").alias("b")).distinct()
+            found = materialize(self.measured(self.pruned(pairs), sets).where(_CLOSE), "verified")
+            if links is not None and found.isEmpty():
+                break
+            links = found if links is None else links.unionByName(found)
+            labels = components(links)
+        return links, labels, bands
+
     def links(self) -> DataFrame:
         """(a, b, common, together): verified links between different shingle sets that connect all there are."""
-        banded = materialize(self.banded(), "bands")
-        close = F.expr(f"100 * common >= {PERCENT} * together")
-        first = materialize(self.pruned(banded.where("first < doc").select(F.col("first").alias("a"), F.col("doc").alias("b")).distinct()), "pairs")
+        bands = materialize(self.heads.mapInArrow(_bands, "band long, doc long"), "bands")
+        shared = bands.groupBy("band").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").select(F.col("band").alias("in_band"))
+        bands = bands.join(shared, F.col("band") == F.col("in_band")).select("band", "doc")
+        bands = materialize(bands, "bands")
         # Every document that can still be compared stands in a shared band.
-        wanted = banded.select("doc").distinct()
+        wanted = bands.select("doc").distinct()
         sets = materialize(self.texts.join(wanted, F.col("doc_id") == F.col("doc"), "left_semi").mapInArrow(_sets, "doc_id long, shingles binary").dropDuplicates(["doc_id"]), "sets")
-        verified = materialize(self.measured(first, sets).where(close), "verified")
-        grouped = components(verified)
+        links, labels, bands = self._stars(bands, None, None, sets)
+        if links is None:
+            return self.measured(self._open(bands, None).select(F.col("doc").alias("a"), F.col("doc").alias("b")), sets).limit(0)
+        bands = self._open(bands, labels)
+        if bands.isEmpty():
+            return links
+        # Documents in bands that stay mixed meet again in the second, stricter family of bands.
+        doubtful = bands.select("doc").distinct()
+        second = sets.join(doubtful, F.col("doc_id") == F.col("doc"), "left_semi").mapInArrow(_second_bands, "band long, doc long")
+        links, labels, bands = self._stars(second, links, labels, sets)
+        bands = self._open(bands, labels)
+        if bands.isEmpty():
+            return links
+        return materialize(links.unionByName(self._across(bands, links, sets)), "links")
+
+    def _across(self, bands: DataFrame, links: DataFrame, sets: DataFrame) -> DataFrame:
+        """Links between the components that still share a band."""
         distance = 1 - F.col("common") / F.col("together")
-        centres = verified.groupBy(F.col("b").alias("c_doc")).agg(F.min_by("a", F.struct(distance, "a")).alias("centre"), F.min(distance).alias("away"))
-        placed = banded.select("band", "doc").join(grouped, F.col("doc") == F.col("node"), "left").join(centres, F.col("doc") == F.col("c_doc"), "left").select(
-            "band", "doc", F.coalesce("component", "doc").alias("component"), F.coalesce("centre", "doc").alias("centre"), F.coalesce("away", F.lit(0.0)).alias("away")
-        )
-        placed = materialize(placed, "placed")
-        mixed = placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select(F.col("band").alias("in_band"))
-        open_rows = materialize(placed.join(mixed, F.col("band") == F.col("in_band")).drop("in_band"), "open")
-        if open_rows.isEmpty():
-            return verified
-        hubs = open_rows.select("band", "component", "centre").distinct()
+        centres = links.groupBy(F.col("b").alias("c_doc")).agg(F.min_by("a", F.struct(distance, "a")).alias("centre"), F.min(distance).alias("away"))
+        members = materialize(
+            bands.join(centres, F.col("doc") == F.col("c_doc"), "left").select("band", "doc", "component", F.coalesce("centre", "doc").alias("centre"), F.coalesce("away", F.lit(0.0)).alias("away")),
+            "members",
+        )
+        hubs = members.select("band", "component", "centre").distinct()
         x, y = hubs.alias("x"), hubs.alias("y")
         hub_pairs = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.component") < F.col("y.component"))).select(F.col("x.centre").alias("a"), F.col("y.centre").alias("b")).distinct()
         hub_links = materialize(self.measured(hub_pairs, sets), "hubs")
         # Members x, y of centres p, q: d(x, y) >= d(p, q) - d(x, p) - d(y, q).
-        gap = hub_links.select(F.col("a").alias("p"), F.col("b").alias("q"), distance.alias("gap")).where(F.col("gap") <= 3 * (1 - PERCENT / 100) + 1e-9)
-        m, n = open_rows.alias("m"), open_rows.alias("n")
-        possible = F.col("m.away") + F.col("n.away") >= F.col("gap") - (1 - PERCENT / 100) - 1e-9
-        members = (
-            m.join(gap, F.col("m.centre") == F.col("p"))
-            .join(n, (F.col("m.band") == F.col("n.band")) & (F.col("n.centre") == F.col("q")) & (F.col("m.component") < F.col("n.component")) & possible)
-            .where((F.col("m.doc") != F.col("p")) | (F.col("n.doc") != F.col("q")))
-            .select(F.col("m.doc").alias("a"), F.col("n.doc").alias("b")).distinct()
-        )
-        return materialize(verified.unionByName(hub_links.where(close)).unionByName(self.measured(self.pruned(members), sets).where(close)), "links")
+        limit = 1 - PERCENT / 100
+        gap = hub_links.select(F.col("a").alias("p"), F.col("b").alias("q"), distance.alias("gap")).where(F.col("gap") <= 3 * limit + 1e-9)
+        m, n = members.where("doc != centre").alias("m"), members.alias("n")
+        one = self._reach(m, n, gap, limit)
+        two = self._reach(members.where("doc = centre").alias("m"), members.where("doc != centre").alias("n"), gap, limit)
+        pairs = one.unionByName(two).distinct()
+        return hub_links.where(_CLOSE).unionByName(self.measured(self.pruned(pairs), sets).where(_CLOSE))
+
+    @staticmethod
+    def _reach(m: DataFrame, n: DataFrame, gap: DataFrame, limit: float) -> DataFrame:
+        """Pairs of members in one band that the distance of their centres does not exclude."""
+        both = gap.unionByName(gap.select(F.col("q").alias("p"), F.col("p").alias("q"), "gap"))
+        possible = F.col("m.away") + F.col("n.away") >= F.col("gap") - limit - 1e-9
+        return (
+            m.join(both, F.col("m.centre") == F.col("p"))
+            .join(n, (F.col("m.band") == F.col("n.band")) & (F.col("n.centre") == F.col("q")) & (F.col("m.component") != F.col("n.component")) & possible)
+            .select(F.least("m.doc", "n.doc").alias("a"), F.greatest("m.doc", "n.doc").alias("b"))
+        )
 
     def verdicts(self) -> DataFrame:
         """doc_id, n_shingles, component_id, kept for every row of docs."""
