@@ -198,11 +198,11 @@ def fingerprints(docs: DataFrame, block_ids: int = BLOCK_IDS) -> DataFrame:
     ensure_importable(docs.sparkSession)
     block = F.floor(F.col("doc_id") / F.lit(block_ids)).cast("long")
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("block", block)
-    # One row for each block_ids documents: ids only, and the window reads nothing but them.
-    heads = rows.groupBy("block").agg(F.min("doc_id").alias("head"))
-    order = Window.orderBy("block")
-    ring = Window.orderBy(F.col("block").desc())
-    before = heads.withColumn("previous", F.coalesce(F.lag("block").over(order), F.first("block").over(ring))).select(F.col("head").alias("head_id"), "previous")
-    followers = rows.join(before, F.col("doc_id") == F.col("head_id")).select("doc_id", "text", F.col("previous").alias("block"), F.lit(False).alias("own"))
+    # The first document of each block: a partial aggregate before the shuffle, so other texts stay where they are.
+    heads = rows.groupBy("block").agg(F.min(F.struct("doc_id", "text")).alias("head"))
+    # One small row for each block_ids documents goes through this window: block numbers only.
+    order, ring = Window.orderBy("block"), Window.orderBy(F.col("block").desc())
+    before = rows.select("block").distinct().select("block", F.coalesce(F.lag("block").over(order), F.first("block").over(ring)).alias("previous"))
+    followers = heads.join(before, "block").select("head.doc_id", "head.text", F.col("previous").alias("block"), F.lit(False).alias("own"))
     both = rows.withColumn("own", F.lit(True)).select("doc_id", "text", "block", "own").unionByName(followers)
     return both.groupBy("block").applyInArrow(_block, RESULT)
