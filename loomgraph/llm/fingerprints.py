@@ -103,7 +103,8 @@ def sketch(n: int, of: np.ndarray, keys: np.ndarray, cells: int):
 def peel(n: int, cells: int, count: np.ndarray, xor: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Recovered digests of each row of a subtracted sketch, and whether all of them were recovered."""
     found = np.zeros(n, np.int64)
-    while True:
+    # A clean row peels at least one digest a turn; a false match can go round in circles, and such a row stays unclean.
+    for _ in range(2 * cells):
         at = np.flatnonzero(np.abs(count) == 1)
         at = at[check_of(xor[at]) == check[at]]
         if not len(at):
