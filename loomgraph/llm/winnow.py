@@ -119,7 +119,7 @@ def _table(rows: list, names: tuple[str, ...]) -> pa.Table:
 
 
 def _read(payload, n: int) -> list[np.ndarray]:
-    return list(np.frombuffer(payload, _U).reshape(n, -1))
+    return list(np.frombuffer(payload.to_pybytes(), _U).reshape(n, -1))
 
 
 def _repeats(parts: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
@@ -173,7 +173,11 @@ class FirstOccurrences:
             docs, keys, anchors = self._known(list(self._slices(table)))
             owners = least_by(keys, docs)
             ends = least_by(anchors, keys, ~keys)
-            return _table(_messages(block, buckets, 0, *owners) + _messages(block, buckets, buckets, ends[0], ends[1], ~ends[2]), ("bucket", "block", "payload"))
+            one = ends[1] == ~ends[2]
+            rows = _messages(block, buckets, 0, *owners) + _messages(block, buckets, buckets, ends[0][one], ends[1][one])
+            # An anchor with two phrases in one block needs no answer from elsewhere, but the other blocks do.
+            rows += _messages(block, buckets, 2 * buckets, ends[0][~one])
+            return _table([(b - buckets if b >= 2 * buckets else b, k, bytes([b >= 2 * buckets]) + x) for b, k, x in rows], ("bucket", "block", "payload"))
 
         return ask
 
@@ -183,13 +187,16 @@ class FirstOccurrences:
         def answer(key, table):
             bucket = key[0].as_py()
             blocks = table.column("block").to_pylist()
-            payloads = [x.as_buffer() for x in table.column("payload")]
+            kinds = [x.as_buffer().slice(0, 1).to_pybytes() for x in table.column("payload")]
+            payloads = [x.as_buffer().slice(1) for x in table.column("payload")]
             if buckets <= bucket < 2 * buckets:  # anchors: are there two phrases?
-                parts = [_read(x, 3) for x in payloads]
-                keys, low, high = (np.concatenate([p[i] for p in parts]) for i in range(3))
-                distinct, low, high = least_by(keys, low, ~high)
-                mixed = low != ~high
-                found = [np.flatnonzero(mixed[np.searchsorted(distinct, p[0])]) for p in parts]
+                single = [_read(x, 2) for x, k in zip(payloads, kinds) if k == b"\0"] or [[np.zeros(0, _U)] * 2]
+                double = [_read(x, 1)[0] for x, k in zip(payloads, kinds) if k != b"\0"] or [np.zeros(0, _U)]
+                keys, phrases = (np.concatenate([p[i] for p in single]) for i in (0, 1))
+                distinct, low, high = least_by(keys, phrases, ~phrases)
+                mixed = (low != ~high) | np.isin(distinct, np.concatenate(double))
+                blocks = [b for b, k in zip(blocks, kinds) if k == b"\0"]
+                found = [np.flatnonzero(mixed[np.searchsorted(distinct, p[0])]) for p in single]
             else:
                 found = find([tuple(_read(x, 2)) for x in payloads])
             return _table([(b, bucket, f.astype("<u4").tobytes()) for b, f in zip(blocks, found) if len(f)], ("block", "bucket", "payload"))
@@ -213,8 +220,10 @@ class FirstOccurrences:
         elsewhere = self._flags(answers, distinct, self.buckets, 0)
         at = np.searchsorted(distinct, keys)
         repeat = elsewhere[at] | (owner[at] < docs)
-        some = np.unique(anchors)
-        mixed = self._flags(answers, some, self.buckets, self.buckets)[np.searchsorted(some, anchors)]
+        some, low, high = least_by(anchors, keys, ~keys)
+        mixed = low != ~high
+        mixed[~mixed] = self._flags(answers, some[~mixed], self.buckets, self.buckets)
+        mixed = mixed[np.searchsorted(some, anchors)]
         return docs, repeat, mixed & ~repeat
 
     def _windows(self, slices: list, single: np.ndarray, docs: np.ndarray):
@@ -234,7 +243,8 @@ class FirstOccurrences:
             slices = list(self._slices(table))
             docs, _, single = self._judge(slices, answers)
             _, _, hashes, owners = self._windows(slices, single, docs)
-            return _table(_messages(key[0].as_py(), buckets, 2 * buckets, *least_by(hashes, owners)), ("bucket", "block", "payload"))
+            rows = _messages(key[0].as_py(), buckets, 2 * buckets, *least_by(hashes, owners))
+            return _table([(b, k, b"\0" + x) for b, k, x in rows], ("bucket", "block", "payload"))
 
         return ask
 
