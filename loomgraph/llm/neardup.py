@@ -276,11 +276,13 @@ class NearDuplicates:
         )
         hubs = members.select("band", "component", "centre").distinct()
         x, y = hubs.alias("x"), hubs.alias("y")
-        hub_pairs = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.component") < F.col("y.component"))).select(F.col("x.centre").alias("a"), F.col("y.centre").alias("b")).distinct()
-        hub_links = materialize(self.measured(hub_pairs, sets), "hubs")
+        met = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.component") < F.col("y.component")))
+        met = materialize(met.select(F.col("x.band").alias("in_band"), F.col("x.centre").alias("a"), F.col("y.centre").alias("b")).distinct(), "met")
+        hub_links = materialize(self.measured(met.select("a", "b").distinct(), sets), "hubs")
         # Members x, y of centres p, q: d(x, y) >= d(p, q) - d(x, p) - d(y, q).
         limit = 1 - PERCENT / 100
-        gap = hub_links.select(F.col("a").alias("p"), F.col("b").alias("q"), distance.alias("gap")).where(F.col("gap") <= 3 * limit + 1e-9)
+        near = hub_links.select(F.col("a").alias("p"), F.col("b").alias("q"), distance.alias("gap")).where(F.col("gap") <= 3 * limit + 1e-9)
+        gap = met.join(near, (F.col("a") == F.col("p")) & (F.col("b") == F.col("q"))).select("in_band", "p", "q", "gap")
         m, n = members.where("doc != centre").alias("m"), members.alias("n")
         one = self._reach(m, n, gap, limit)
         two = self._reach(members.where("doc = centre").alias("m"), members.where("doc != centre").alias("n"), gap, limit)
@@ -290,10 +292,10 @@ class NearDuplicates:
     @staticmethod
     def _reach(m: DataFrame, n: DataFrame, gap: DataFrame, limit: float) -> DataFrame:
         """Pairs of members in one band that the distance of their centres does not exclude."""
-        both = gap.unionByName(gap.select(F.col("q").alias("p"), F.col("p").alias("q"), "gap"))
+        both = gap.unionByName(gap.select("in_band", F.col("q").alias("p"), F.col("p").alias("q"), "gap"))
         possible = F.col("m.away") + F.col("n.away") >= F.col("gap") - limit - 1e-9
         return (
-            m.join(both, F.col("m.centre") == F.col("p"))
+            m.join(both, (F.col("m.band") == F.col("in_band")) & (F.col("m.centre") == F.col("p")))
             .join(n, (F.col("m.band") == F.col("n.band")) & (F.col("n.centre") == F.col("q")) & (F.col("m.component") != F.col("n.component")) & possible)
             .select(F.least("m.doc", "n.doc").alias("a"), F.greatest("m.doc", "n.doc").alias("b"))
         )
