@@ -4,11 +4,11 @@ A window's anchor is the smallest of its k-gram hashes, the first one among equa
 form a phrase; where its windows start and end follows from the content, so equal passages consist of equal phrases
 apart from those at their ends. A phrase is known by the hash of its whole content, and by its anchor.
 
-Round one sends, for each block of documents, each distinct phrase with the smallest document that has it, and each
-distinct anchor with the smallest and largest phrase hash seen at it. A phrase that a smaller document elsewhere has
-too is a repeat with all its windows. A phrase with no smaller owner can still share single windows with other phrases
-of its anchor, if there are any: round two sends the window hashes of those phrases only, each distinct one once for
-each block. What comes back is aligned with what was sent, so answers are indices.
+Round one sends, for each block of documents, each distinct anchor with its phrase. Round two sends the phrases whose
+anchors other blocks have too, with the smallest document of each: a phrase that a smaller document elsewhere has is a
+repeat with all its windows. A phrase with no smaller owner can still share single windows with other phrases of its
+anchor, if there are any: round three sends the window hashes of those phrases only, each distinct one once for each
+block. What comes back is aligned with what was sent, so answers are indices.
 
 Nothing depends on how often a phrase occurs: a block sends each phrase, anchor and window once, and its keys are
 hashed to buckets, so a passage in a third of all documents weighs as much as the number of blocks. All hashes have
@@ -109,7 +109,12 @@ def _messages(block: int, buckets: int, offset: int, keys: np.ndarray, *values:
         return []
     place = ((keys >> _U(32)) * _U(buckets)) >> _U(32)
     cuts = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
-    return [(offset + int(place[a]), block, b"".join(v[a:b].tobytes() for v in (keys, *values))) for a, b in zip(cuts, [*cuts[1:], len(keys)])]
+    return [(offset + int(place[a]), block, b"".join(_planes(v[a:b]) for v in (keys, *values))) for a, b in zip(cuts, [*cuts[1:], len(keys)])]
+
+
+def _planes(values: np.ndarray) -> bytes:
+    """The bytes of all values plane by plane: high bytes of sorted keys and of small numbers compress in the shuffle."""
+    return np.ascontiguousarray(values.view(np.uint8).reshape(-1, 8).T).tobytes()
 
 
 def _table(rows: list, names: tuple[str, ...]) -> pa.Table:
@@ -119,7 +124,8 @@ def _table(rows: list, names: tuple[str, ...]) -> pa.Table:
 
 
 def _read(payload, n: int) -> list[np.ndarray]:
-    return list(np.frombuffer(payload.to_pybytes(), _U).reshape(n, -1))
+    planes = np.frombuffer(payload.to_pybytes(), np.uint8).reshape(n, 8, -1)
+    return [np.ascontiguousarray(p.T).view(_U).reshape(-1) for p in planes]
 
 
 def _repeats(parts: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
@@ -170,14 +176,12 @@ class FirstOccurrences:
 
         def ask(key, table):
             block = key[0].as_py()
-            docs, keys, anchors = self._known(list(self._slices(table)))
-            owners = least_by(keys, docs)
+            _, keys, anchors = self._known(list(self._slices(table)))
             ends = least_by(anchors, keys, ~keys)
             one = ends[1] == ~ends[2]
-            rows = _messages(block, buckets, 0, *owners) + _messages(block, buckets, buckets, ends[0][one], ends[1][one])
-            # An anchor with two phrases in one block needs no answer from elsewhere, but the other blocks do.
-            rows += _messages(block, buckets, 2 * buckets, ends[0][~one])
-            return _table([(b - buckets if b >= 2 * buckets else b, k, bytes([b >= 2 * buckets]) + x) for b, k, x in rows], ("bucket", "block", "payload"))
+            rows = [(b, k, b"\0" + x) for b, k, x in _messages(block, buckets, buckets, ends[0][one], ends[1][one])]
+            rows += [(b, k, b"\1" + x) for b, k, x in _messages(block, buckets, buckets, ends[0][~one])]
+            return _table(rows, ("bucket", "block", "payload"))
 
         return ask
 
@@ -189,16 +193,21 @@ class FirstOccurrences:
             blocks = table.column("block").to_pylist()
             kinds = [x.as_buffer().slice(0, 1).to_pybytes() for x in table.column("payload")]
             payloads = [x.as_buffer().slice(1) for x in table.column("payload")]
-            if buckets <= bucket < 2 * buckets:  # anchors: are there two phrases?
-                single = [_read(x, 2) for x, k in zip(payloads, kinds) if k == b"\0"] or [[np.zeros(0, _U)] * 2]
-                double = [_read(x, 1)[0] for x, k in zip(payloads, kinds) if k != b"\0"] or [np.zeros(0, _U)]
-                keys, phrases = (np.concatenate([p[i] for p in single]) for i in (0, 1))
-                distinct, low, high = least_by(keys, phrases, ~phrases)
-                mixed = (low != ~high) | np.isin(distinct, np.concatenate(double))
-                blocks = [b for b, k in zip(blocks, kinds) if k == b"\0"]
-                found = [np.flatnonzero(mixed[np.searchsorted(distinct, p[0])]) for p in single]
-            else:
-                found = find([tuple(_read(x, 2)) for x in payloads])
+            if buckets <= bucket < 2 * buckets:  # anchors: do other blocks have them, and with another phrase?
+                parts = [_read(x, 2 if k == b"\0" else 1) for x, k in zip(payloads, kinds)]
+                keys = np.concatenate([p[0] for p in parts])
+                low = np.concatenate([p[1] if len(p) == 2 else np.zeros_like(p[0]) for p in parts])
+                high = np.concatenate([p[1] if len(p) == 2 else ~np.zeros_like(p[0]) for p in parts])
+                distinct, n = np.unique(keys, return_counts=True)
+                _, low, high = least_by(keys, low, ~high)
+                mixed = low != ~high
+                places = [np.searchsorted(distinct, p[0]) for p in parts]
+                rows = []
+                for block, kind, at in zip(blocks, kinds, places):
+                    base = bucket + (0 if kind == b"\0" else 2 * buckets)
+                    rows += [(block, base, np.flatnonzero(n[at] > 1)), (block, base + 3 * buckets, np.flatnonzero(mixed[at] & (n[at] > 1)))]
+                return _table([(b, k, f.astype("<u4").tobytes()) for b, k, f in rows if len(f)], ("block", "bucket", "payload"))
+            found = find([tuple(_read(x, 2)) for x in payloads])
             return _table([(b, bucket, f.astype("<u4").tobytes()) for b, f in zip(blocks, found) if len(f)], ("block", "bucket", "payload"))
 
         return answer
@@ -216,16 +225,25 @@ class FirstOccurrences:
     def _judge(self, slices: list, answers: pa.Table):
         """For all phrases of a block: is it a repeat, and must its windows be looked at one by one?"""
         docs, keys, anchors = self._known(slices)
+        shared, mixed = self._anchors(answers, keys, anchors)
         distinct, owner = least_by(keys, docs)
-        elsewhere = self._flags(answers, distinct, self.buckets, 0)
-        at = np.searchsorted(distinct, keys)
-        repeat = elsewhere[at] | (owner[at] < docs)
-        some, low, high = least_by(anchors, keys, ~keys)
-        mixed = low != ~high
-        mixed[~mixed] = self._flags(answers, some[~mixed], self.buckets, self.buckets)
-        mixed = mixed[np.searchsorted(some, anchors)]
+        repeat = owner[np.searchsorted(distinct, keys)] < docs
+        asked = np.unique(keys[shared])
+        elsewhere = self._flags(answers, asked, self.buckets, 0)
+        repeat[shared] |= elsewhere[np.searchsorted(asked, keys[shared])]
         return docs, repeat, mixed & ~repeat
 
+    def _anchors(self, answers: pa.Table, keys: np.ndarray, anchors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each phrase: do other blocks have its anchor, and are there several phrases at it anywhere?"""
+        some, low, high = least_by(anchors, keys, ~keys)
+        own = low != ~high
+        shared, mixed = np.zeros(len(some), bool), own.copy()
+        for which, base in ((~own, self.buckets), (own, 3 * self.buckets)):
+            shared[which] = self._flags(answers, some[which], self.buckets, base)
+            mixed[which] |= self._flags(answers, some[which], self.buckets, base + 3 * self.buckets)
+        at = np.searchsorted(some, anchors)
+        return shared[at], mixed[at]
+
     def _windows(self, slices: list, single: np.ndarray, docs: np.ndarray):
         """(slice, start, hash, document) of the windows of phrases that are looked at one by one."""
         at, out = 0, []
@@ -236,6 +254,17 @@ class FirstOccurrences:
             at += len(p.key)
         return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 2 + (np.zeros(0, _U),) * 2
 
+    def _ask_phrases(self):
+        buckets = self.buckets
+
+        def ask(key, table, answers):
+            docs, keys, anchors = self._known(list(self._slices(table)))
+            shared, _ = self._anchors(answers, keys, anchors)
+            rows = _messages(key[0].as_py(), buckets, 0, *least_by(keys[shared], docs[shared]))
+            return _table([(b, k, b"\0" + x) for b, k, x in rows], ("bucket", "block", "payload"))
+
+        return ask
+
     def _ask_windows(self):
         buckets = self.buckets
 
@@ -270,6 +299,8 @@ class FirstOccurrences:
 
         asked = self.placed.groupBy("block").applyInArrow(self._ask(), MESSAGE)
         answered = asked.groupBy("bucket").applyInArrow(self._answer(), ANSWER)
+        named = self.placed.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(self._ask_phrases(), MESSAGE)
+        answered = answered.unionByName(named.groupBy("bucket").applyInArrow(self._answer(), ANSWER))
         again = self.placed.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(self._ask_windows(), MESSAGE)
-        settled = again.groupBy("bucket").applyInArrow(self._answer(), ANSWER)
-        return self.placed.groupBy("block").cogroup(answered.unionByName(settled).groupBy("block")).applyInArrow(close, schema)
+        answered = answered.unionByName(again.groupBy("bucket").applyInArrow(self._answer(), ANSWER))
+        return self.placed.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(close, schema)
