@@ -120,7 +120,7 @@ def bfs_pull(spark, sf_dir):
 
 @query(f"with recursive {F3}, {BFS} {ALL_BFS}")
 def bfs_multihop(spark, sf_dir):
-    return traversal.bfs(event_chains(spark, sf_dir), 0, direction="push", hops=4)
+    return traversal.bfs(event_chains(spark, sf_dir), 0, direction="push", hops=8)
 
 
 @query(f"with recursive {F1}, {BFS} select coalesce(d, -1)::bigint hops, count(*) n from vs left join b on b.v = vs.id group by 1")
