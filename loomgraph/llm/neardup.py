@@ -29,8 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.llm import text as T
-from loomgraph.llm.components import components
-from loomgraph.session import discard, ensure_importable, materialize
+from loomgraph.plans.components import components
+from loomgraph.session import ensure_importable, materialize
 
 SHINGLE = 5
 PERCENT = 75

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.llm import text as T
-from loomgraph.session import discard, ensure_importable, materialize
+from loomgraph.session import ensure_importable, materialize
 
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
