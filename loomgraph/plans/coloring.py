@@ -45,7 +45,7 @@ def greedy_coloring(graph: Graph, order: str = "degree", ties: DataFrame | None
         # As many candidates as there are used colors, plus one, hold a free color; only those below the degree count.
         free = F.array_min(F.array_except(F.sequence(F.lit(0).cast("long"), F.size("used").cast("long")), F.col("used")))
         new = materialize(used.select("id", F.when(free < F.col("deg"), free).otherwise(F.col("deg") + 1).alias("value")), "colored")
-        return {"open": left, "front": new, "colored": state["colored"].unionByName(new)}, "front"
+        return {"open": left, "front": new, "colored": materialize(state["colored"].select("id", "value").unionByName(new), "colored")}, "front"
 
     state, turn = {"open": start, "front": colored, "colored": colored}, 0
     while True:
