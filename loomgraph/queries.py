@@ -47,12 +47,17 @@ def customer_parts(spark: SparkSession, sf_dir: str, weighted: bool = False) ->
     return (graph.with_generated_weights(n, 8) if weighted else graph).stored()
 
 
-def co_purchases(spark: SparkSession, sf_dir: str, suppliers: int = 20) -> Graph:
-    """Parts that stand in one order, lines of the first suppliers only."""
-    n = table(spark, sf_dir, "part").count()
-    lines = table(spark, sf_dir, "lineitem").where(F.col("l_suppkey") < suppliers).select("l_orderkey", "l_partkey").distinct()
+def co_purchases(spark: SparkSession, sf_dir: str, suppliers: int | None = 20) -> Graph:
+    """Parts that stand in one order, lines of the first suppliers only (fixture F2, which the SQL has); None: all lines."""
+    n, lines = table(spark, sf_dir, "part").count(), table(spark, sf_dir, "lineitem")
+    lines = (lines if suppliers is None else lines.where(F.col("l_suppkey") < suppliers)).select("l_orderkey", "l_partkey").distinct()
     a, b = lines.select("l_orderkey", F.col("l_partkey").alias("src")), lines.select("l_orderkey", F.col("l_partkey").alias("dst"))
-    return Graph.from_edges(a.join(b, "l_orderkey").where("src <> dst").select("src", "dst").distinct(), n, symmetric=True).stored()
+    pairs = a.join(b, "l_orderkey").where("src < dst").select("src", "dst").distinct()
+    return Graph.from_edges(pairs.unionByName(pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst"))), n, symmetric=True).stored()
+
+
+def all_co_purchases(spark: SparkSession, sf_dir: str) -> Graph:
+    return co_purchases(spark, sf_dir, suppliers=None)
 
 
 def event_chains(spark: SparkSession, sf_dir: str) -> Graph:
@@ -173,7 +178,7 @@ def kcore_hist(spark, sf_dir):
 
 @query()
 def degeneracy_order(spark, sf_dir):
-    return cores.degeneracy_order(co_purchases(spark, sf_dir))
+    return cores.degeneracy_order(all_co_purchases(spark, sf_dir))
 
 
 @query(f"with recursive {F2}, {color_sql('count(*)')} select vs.id::bigint id, coalesce(col.c, 0)::bigint value from vs left join col on col.v = vs.id")
@@ -188,7 +193,7 @@ def coloring_llf(spark, sf_dir):
 
 @query("select 0::bigint n_conflicts")
 def coloring_verify(spark, sf_dir):
-    graph = co_purchases(spark, sf_dir)
+    graph = all_co_purchases(spark, sf_dir)
     return coloring.conflicts(graph, coloring.greedy_coloring(graph))
 
 
@@ -210,6 +215,39 @@ def cc_largest(spark, sf_dir):
     return components.largest_component(co_purchases(spark, sf_dir))
 
 
+# The same over the co-purchases of all suppliers: F2's SQL holds the filter, so these have none and are tested by brute force.
+
+
+@query()
+def kcore_peel_all(spark, sf_dir):
+    return cores.peel(all_co_purchases(spark, sf_dir)).select("id", "value")
+
+
+@query()
+def coloring_lf_all(spark, sf_dir):
+    return coloring.greedy_coloring(all_co_purchases(spark, sf_dir))
+
+
+@query()
+def coloring_llf_all(spark, sf_dir):
+    return coloring.greedy_coloring(all_co_purchases(spark, sf_dir), order="log_degree")
+
+
+@query()
+def cc_labels_all(spark, sf_dir):
+    return components.connected_components(all_co_purchases(spark, sf_dir))
+
+
+@query()
+def cc_sizes_all(spark, sf_dir):
+    return components.component_sizes(all_co_purchases(spark, sf_dir))
+
+
+@query()
+def cc_largest_all(spark, sf_dir):
+    return components.largest_component(all_co_purchases(spark, sf_dir))
+
+
 # ---------------------------------------------------------------- graph construction
 
 

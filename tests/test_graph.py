@@ -193,3 +193,29 @@ def test_fingerprint_is_order_dependent(spark):
     assert R.fingerprint(a) != R.fingerprint(b) and len(R.fingerprint(a)) == 8
     assert R.is_available(a, 0.5) and not R.is_available(a, 0.9)
     assert R.differences(a, b).count() == 4
+
+
+def test_co_purchase_queries_see_all_suppliers(spark, tmp_path):
+    """Lines of suppliers from 20 on: all cores, colors and components would be those of isolated vertices without them."""
+    from loomgraph import queries
+
+    n, baskets = 9, [(0, 1, 2, 3), (3, 4), (5, 6, 7), (0, 1)]
+    lines = [(o, p, 15 + 3 * i) for o, ps in enumerate(baskets) for i, p in enumerate(ps)]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_suppkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(p,) for p in range(n)], "p_partkey long").write.parquet(f"{tmp_path}/part.parquet")
+    edges = sorted({(a, b) for ps in baskets for a in ps for b in ps if a != b})
+    run = lambda name: queries.QUERIES[name](spark, str(tmp_path))
+    core, label = peel(edges, n), [0, 0, 0, 0, 0, 5, 5, 5, 8]
+    assert values(run("kcore_peel_all")) == core
+    assert values(run("coloring_lf_all")) == color(edges, n)
+    log = values(run("coloring_llf_all"))
+    assert log.keys() == set(range(n)) and log[8] == 0 and all(log[a] != log[b] for a, b in edges)
+    assert values(run("cc_labels_all")) == dict(enumerate(label))
+    assert {tuple(r) for r in run("cc_sizes_all").collect()} == {(0, 5), (5, 3), (8, 1)}
+    assert {r.id for r in run("cc_largest_all").collect()} == {0, 1, 2, 3, 4}
+    order = [r.id for r in sorted(run("degeneracy_order").collect())]
+    assert sorted(order) == list(range(n))
+    place = {v: i for i, v in enumerate(order)}
+    later = [sum(place[b] > place[a] for x, b in edges if x == a) for a in order]
+    assert max(later) == max(core.values()) == 3
+    assert queries.QUERIES["coloring_verify"](spark, str(tmp_path)).first().n_conflicts == 0
