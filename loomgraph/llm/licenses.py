@@ -1,10 +1,10 @@
 """License scans: a trained paragraph classifier in DataFrame functions.
 
-Paragraphs are lines. Each line's word unigrams and bigrams are hashed to FEATURES places, and a sparse multinomial
-logistic regression over them gives the probability of each licence family and of "unknown". Temperature and cutoff are
-calibrated on held-out variants. A prediction stands only if a template of its family confirms it: at least CONFIRM of
-the bigrams of one template occur in the line. Every template has one of MARKS, so lines without a mark cannot be
-confirmed and are not scored; that is a consequence of the templates, not a cap.
+Paragraphs are separated by blank lines; their wrapped lines are read as one. Every paragraph is scored: its word
+unigrams and bigrams are hashed to FEATURES places, and a sparse multinomial logistic regression over them gives the
+probability of each licence family and of "unknown". Temperature and cutoff are calibrated on held-out variants. A
+prediction stands only if a template of its family confirms it: at least CONFIRM of the bigrams of one template occur
+in the paragraph.
 
 The training rows are the templates with deterministic variants, and sentences that only talk about licences: the
 bound is len(templates) * VARIANTS rows, independent of the input. The fitted weights are literals of the plan, and a
@@ -16,9 +16,9 @@ empty result; extra columns are ignored.
 
 from __future__ import annotations
 
-import functools
 import math
 import random
+import re
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -87,19 +87,28 @@ NEGATIVES = [
     "Under the terms of the lease you may not use this room", "The license was revoked by the city council", "The above notice was included in all letters", "free of charge to any person over sixty",
 ]
 FILLER = "a note on page the of our own project and its file here see also for more details in this text below today".split()
+#: Words that most templates have; the scan does not depend on them.
 MARKS = ("licen", "copyright", "redistribut", "public domain", "warrant", "all rights reserved")
+#: Words in a window; steps are half of that, so a notice of half a span lies whole in one window.
+SPANS = (16, 32, 48, 72)
 UNKNOWN = "unknown"
 FAMILIES = [*TEMPLATES, UNKNOWN]
 RESULT = ["doc_id", "n_paragraphs", "n_confirmed", "n_unknown", "families", "paragraphs"]
 
 
-def _marked(text: Column) -> Column:
-    low = F.lower(text)
-    return functools.reduce(lambda a, b: a | b, [F.contains(low, F.lit(m)) for m in MARKS])
+def _words(text: Column) -> Column:
+    return F.array_remove(F.split(F.lower(text), "[^a-z0-9+]+"), "")
 
 
-def _words(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), "[^a-z0-9+]+"), lambda w: w != "")
+def _template_bigrams(text: str) -> list[str]:
+    """Distinct; a literal of the plan, where the same in DataFrame functions would be worked out again for each row."""
+    words = [w for w in re.split("[^a-z0-9+]+", text.lower()) if w]
+    return list(dict.fromkeys(map(" ".join, zip(words, words[1:]))))
+
+
+def _once(value: Column, then) -> Column:
+    """then(value), with value worked out once."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
 
 
 def _bigrams(words: Column) -> Column:
@@ -181,19 +190,35 @@ def _numbers(values, kind: str = "double") -> Column:
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """One row for each row of docs: marked lines, and those with a confirmed family; see RESULT.
+    """One row for each row of docs; see RESULT. n_paragraphs counts all paragraphs that are not blank.
 
-    paragraphs: (line number from 0, family or "unknown", probability, share of the best template found).
+    paragraphs: (first line of the paragraph from 0, family or "unknown", probability, share of the best template
+    found), for the paragraphs that hold CONFIRM of a template: one entry for each family that stands, else one.
+    The classifier is asked about whole paragraphs, their lines, and word windows at each of SPANS. A piece that holds
+    less than CONFIRM of every template cannot be confirmed, so its scores are not computed; that is exact.
     """
     model = classifier(docs.sparkSession)
     k = len(FAMILIES)
     weights, bias = _numbers(model.weights.T.reshape(-1)), _numbers(model.bias)
     names = F.array(*[F.lit(f) for f in FAMILIES])
-    template_words = [[_bigrams(_words(F.lit(t))) for t in TEMPLATES.get(f, [])] for f in FAMILIES]
-    templates = F.array(*[F.array(*t) if t else F.array().cast("array<array<string>>") for t in template_words])
-    lines = F.split(F.col("text").cast("string"), "\n", -1)
-    marked = F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("line"), x.alias("text"))), lambda p: _marked(p["text"]))
-    worded = lambda p: F.struct(p["line"].alias("line"), _words(p["text"]).alias("words"))
+    by_family = [[_template_bigrams(t) for t in TEMPLATES.get(f, [])] for f in FAMILIES]
+    strings = lambda x: F.array(*map(F.lit, x))
+    templates = F.array(*[F.array(*map(strings, ts)) if ts else F.array().cast("array<array<string>>") for ts in by_family])
+    flat = F.array(*[F.struct(strings(t).alias("t"), F.lit(CONFIRM * len(t)).alias("least")) for ts in by_family for t in ts])
+    known_bigrams = strings(sorted({g for ts in by_family for t in ts for g in t}))
+
+    def possible(words: Column) -> Column:
+        """Whether some template has CONFIRM of its bigrams here: first those of any template, then each template of these."""
+        have = lambda w: F.array_intersect(known_bigrams, _bigrams(w))
+        enough = lambda h: F.exists(flat, lambda t: F.size(F.array_intersect(t["t"], h)) >= t["least"])
+        return _once(words, lambda w: _once(have(w), lambda h: (F.size(h) > 0) & enough(h)))
+
+    def pieces(p: Column) -> Column:
+        windows = lambda words, span: F.transform(F.sequence(F.lit(1), F.greatest(F.size(words), F.lit(1)), F.lit(span // 2)), lambda i: F.slice(words, i, span))
+        parts = lambda words: F.concat(F.array(words), F.transform(F.split(p["text"], "\n", -1), _words), *[windows(words, span) for span in SPANS])
+        found = lambda words: F.when(possible(words), F.filter(F.array_distinct(parts(words)), possible)).otherwise(F.array().cast("array<array<string>>"))
+        return F.transform(_once(_words(p["text"]), found), lambda w: F.struct(p["line"].alias("line"), w.alias("words")))
+
     grammed = lambda p: F.struct(p["line"].alias("line"), _bigrams(p["words"]).alias("bigrams"), _hashed(F.concat(p["words"], _bigrams(p["words"]))).alias("grams"))
 
     def scored(p: Column) -> Column:
@@ -211,21 +236,45 @@ def scan(docs: DataFrame) -> DataFrame:
         return F.struct(p["line"].alias("line"), p["bigrams"].alias("bigrams"), family.alias("family"), probability.alias("probability"))
 
     def confirmed(p: Column) -> Column:
-        found = F.array_max(F.transform(F.get(templates, p["family"]), lambda t: F.size(F.array_intersect(t, p["bigrams"])) / F.size(F.array_distinct(t))))
-        found = F.coalesce(found, F.lit(0.0))
+        matches = F.transform(F.get(templates, p["family"]), lambda t: F.struct((F.size(F.array_intersect(t, p["bigrams"])) / F.size(F.array_distinct(t))).alias("share"), F.array_intersect(t, p["bigrams"]).alias("held")))
+        best = F.array_max(matches)
+        found = F.coalesce(best["share"], F.lit(0.0))
         stands = (p["probability"] >= model.cutoff) & (found >= CONFIRM)
         return F.struct(
-            p["line"].alias("line"), F.when(stands, F.get(names, p["family"])).otherwise(F.lit(UNKNOWN)).alias("family"), p["probability"].alias("probability"), found.alias("template_share")
+            p["line"].alias("line"), F.when(stands, F.get(names, p["family"])).otherwise(F.lit(UNKNOWN)).alias("family"), p["probability"].alias("probability"), found.alias("template_share"),
+            best["held"].alias("held"),
         )
 
-    column = F.when(_marked(F.col("text").cast("string")), marked).otherwise(F.array().cast("array<struct<line:int,text:string>>"))
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), column.alias("p"))
-    for step in (worded, grammed, scored, chosen, confirmed):
-        out = out.select("doc_id", F.transform("p", step).alias("p"))
+    def settled(all_pieces: Column) -> Column:
+        """Of each paragraph, the surest piece of each family; not those whose match is a part of another family's."""
+        stand = F.filter(all_pieces, lambda p: p["family"] != UNKNOWN)
+        part = lambda p, q: (p["line"] == q["line"]) & (p["family"] != q["family"]) & (F.size(p["held"]) < F.size(q["held"])) & (F.size(F.array_except(p["held"], q["held"])) == 0)
+        own = F.filter(stand, lambda p: ~F.exists(stand, lambda q: part(p, q)))
+        open_ = F.filter(all_pieces, lambda p: (p["family"] == UNKNOWN) & ~F.exists(own, lambda q: q["line"] == p["line"]))
+        both = F.concat(own, open_)
+        same = lambda p, q: (p["line"] == q["line"]) & (p["family"] == q["family"])
+        ahead = lambda p, q: (q["probability"] > p["probability"]) | ((q["probability"] == p["probability"]) & (q["template_share"] > p["template_share"]))
+        kept = F.filter(both, lambda p: ~F.exists(both, lambda q: same(p, q) & ahead(p, q)))
+        plain = F.transform(kept, lambda p: F.struct(*[p[c].alias(c) for c in ("line", "family", "probability", "template_share")]))
+        return F.array_sort(F.array_distinct(plain))
+
+    text = F.regexp_replace(F.col("text").cast("string"), "\r\n?", "\n")
+    # A paragraph starts at a line with a word after a blank one; "line" counts the line breaks before it.
+    blocks = F.split(text, "\n(?=[ \t]*\n)", -1)
+    placed = F.aggregate(
+        blocks, F.struct(F.lit(0).alias("line"), F.array().cast("array<struct<line:int,text:string>>").alias("out")),
+        lambda acc, x: F.struct((acc["line"] + F.size(F.split(x, "\n", -1))).alias("line"), F.concat(acc["out"], F.array(F.struct((acc["line"] + F.when(F.startswith(x, F.lit("\n")) | x.rlike("^[ \t]+\n"), 1).otherwise(0)).alias("line"), x.alias("text")))).alias("out")),
+        lambda acc: acc["out"],
+    )
+    worded = F.size(F.filter(blocks, lambda x: x.rlike("\\S"))).cast("long")
+    column = F.when(possible(_words(text)), F.flatten(F.transform(placed, pieces))).otherwise(F.array().cast("array<struct<line:int,words:array<string>>>"))
+    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.when(text.isNull(), 0).otherwise(worded).cast("long").alias("n"), column.alias("p"))
+    for step in (grammed, scored, chosen, confirmed):
+        out = out.select("doc_id", "n", F.transform("p", step).alias("p"))
+    out = out.select("doc_id", "n", settled(F.col("p")).alias("p"))
     stands = lambda p: p["family"] != UNKNOWN
-    n = F.coalesce(F.size("p"), F.lit(0)).cast("long")
-    known = F.size(F.filter("p", stands)).cast("long")
+    known = F.size(F.array_distinct(F.transform(F.filter("p", stands), lambda p: p["line"]))).cast("long")
     return out.select(
-        "doc_id", n.alias("n_paragraphs"), known.alias("n_confirmed"), (n - known).alias("n_unknown"),
+        "doc_id", F.col("n").alias("n_paragraphs"), known.alias("n_confirmed"), (F.col("n") - known).alias("n_unknown"),
         F.array_sort(F.array_distinct(F.transform(F.filter("p", stands), lambda p: p["family"]))).alias("families"), F.col("p").alias("paragraphs"),
     )

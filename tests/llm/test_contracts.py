@@ -59,6 +59,17 @@ def test_license_templates_and_hard_negatives(spark):
         assert got[i] == ([f] if f else []), t
 
 
+def test_license_templates_without_marks_and_wrapped(spark):
+    lines = [(t, f) for f, ts in licenses.TEMPLATES.items() for t in ts]
+    wrapped = lambda t: "\n".join(" ".join(t.split()[i : i + 6]) for i in range(0, len(t.split()), 6))
+    rows = [(2 * i + j, f"Some text before.\n\n{x}\n\nand after", "en", "a") for i, (t, _) in enumerate(lines) for j, x in enumerate((t, wrapped(t)))]
+    got = {r.doc_id: r for r in licenses.scan(documents(spark, rows)).collect()}
+    for d, r in got.items():
+        t, f = lines[d // 2]
+        assert (r.families, r.n_paragraphs, r.n_confirmed) == ([f], 3, 1), t
+        assert {p.line for p in r.paragraphs} == {2}
+
+
 def test_lm_scoring(cases):
     import zlib
 
