@@ -3,7 +3,8 @@
 Per (lang, source) group a KLL sketch of each metric is built with partial aggregation; sketches of one language
 merge into the language's sketch, which serves groups of fewer than MIN_GROUP documents. A document is kept when it
 passes the base rules and no metric leaves its group's fence. The fence is a robust outlier bound (quartile plus
-SPREAD interquartile ranges), never tighter than FLOORS, so that a clean group loses nothing to its own tail.
+SPREAD interquartile ranges), never tighter than FLOORS, so that a clean group loses nothing to its own tail, and never
+looser than LIMITS or the median fence of the language's sources, so that a source full of junk does not vouch for it.
 
 Defined results: null or empty text has no words, so the base rules reject it; null lang or source is a group of its
 own; repeated rows are judged one by one; an empty table gives an empty result; extra columns are ignored by stats()
@@ -28,6 +29,8 @@ SKETCH_K = 400
 SPREAD = 8.0
 #: metric: no fence rejects a value at or below (above, for *_low) this one.
 FLOORS = {"symbol_ratio": 0.10, "dup_line_ratio": 0.50, "word_length": 14.0, "word_length_low": 2.0}
+#: metric: every fence rejects a value above this one.
+LIMITS = {"symbol_ratio": 0.30, "dup_line_ratio": 0.80, "word_length": 100.0}
 METRICS = ("symbol_ratio", "dup_line_ratio", "word_length")
 
 STATS_SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long"
@@ -119,14 +122,23 @@ def fences(measured: DataFrame) -> DataFrame:
     # one more aggregate over sketches, not over documents: languages are few, sketches small
     by_lang = sketches.groupBy("lang").agg(*[F.kll_merge_agg_double(m).alias(f"lang_{m}") for m in METRICS])
     both = sketches.alias("s").join(by_lang.withColumnRenamed("lang", "of_lang").alias("l"), F.col("lang").eqNullSafe(F.col("of_lang")))
-    out = {}
+    own = {}
     for m in METRICS:
         sketch = F.when(F.col("n") >= MIN_GROUP, F.col(m)).otherwise(F.col(f"lang_{m}"))
         low, high = (F.kll_sketch_get_quantile_double(sketch, F.lit(q)) for q in (0.25, 0.75))
-        out[f"{m}_high"] = F.greatest(F.lit(FLOORS[m]), high + SPREAD * (high - low))
+        own[f"{m}_high"] = high + SPREAD * (high - low)
+        if f"{m}_low" in FLOORS:
+            own[f"{m}_low"] = low - SPREAD * (high - low)
+    groups = both.select(F.col("s.lang").alias("g_lang"), F.col("s.source").alias("g_source"), *[v.alias(k) for k, v in own.items()])
+    # the lower of two sources' fences is the median for the upper side, and the higher for the lower side
+    middle = {k: F.percentile_approx(k, 0.5) if k.endswith("_high") else -F.percentile_approx(-F.col(k), 0.5) for k in own}
+    median = groups.groupBy(F.col("g_lang").alias("m_lang")).agg(*[v.alias(f"median_{k}") for k, v in middle.items()])
+    out = {}
+    for m in METRICS:
+        out[f"{m}_high"] = F.greatest(F.lit(FLOORS[m]), F.least(F.col(f"{m}_high"), F.col(f"median_{m}_high"), F.lit(LIMITS[m])))
         if f"{m}_low" in FLOORS:
-            out[f"{m}_low"] = F.least(F.lit(FLOORS[f"{m}_low"]), low - SPREAD * (high - low))
-    return both.select(F.col("lang").alias("g_lang"), F.col("source").alias("g_source"), *[v.alias(k) for k, v in out.items()])
+            out[f"{m}_low"] = F.least(F.lit(FLOORS[f"{m}_low"]), F.greatest(F.col(f"{m}_low"), F.col(f"median_{m}_low")))
+    return groups.join(F.broadcast(median), F.col("g_lang").eqNullSafe(F.col("m_lang"))).select("g_lang", "g_source", *[v.alias(k) for k, v in out.items()])
 
 
 def judge(docs: DataFrame) -> DataFrame:

@@ -132,6 +132,18 @@ def test_quality(cases):
         assert sum(r["kept"] for r in got.values()) >= 0.8 * sum(not r["base_failed"] for r in got.values())
 
 
+def test_quality_rejects_the_junk_of_a_source_with_a_third_of_it(spark):
+    def text(i, symbols):
+        return " ".join([f"word{(i * 31 + j * 7) % 9973}" for j in range(60)] + ["#" * symbols]) + f" end{i}"
+
+    def rows(start, source, lang, symbols):
+        return [(start + i, text(start + i, symbols if i % 5 < 2 else 4), lang, source) for i in range(100)]
+
+    docs = rows(0, "dirty", "en", 80) + rows(1000, "clean", "en", 4) + rows(2000, "other", "en", 4) + rows(3000, "only", "de", 400)
+    got = {r.doc_id: r.kept for r in quality.judge(documents(spark, docs)).collect()}
+    assert got == {d: not (d % 5 < 2 and (d < 1000 or d >= 3000)) for d, *_ in docs}
+
+
 def test_token_counts(cases):
     from tokenizers import Tokenizer
 
