@@ -1,23 +1,24 @@
-"""Exact first-occurrence tests for all windows of a fixed length, over phrases of windows instead of single windows.
+"""Windows of a fixed length that also start in a document with a smaller id, found through content anchors.
 
 A window's anchor is the smallest of its k-gram hashes, the first one among equals. Consecutive windows with one anchor
 form a phrase; where its windows start and end follows from the content, so equal passages consist of equal phrases
-apart from those at their ends. A phrase is known by the hash of its whole content, and by its anchor.
+apart from those at their ends, and two equal windows always have the same anchor.
 
-Round one sends, for each block of documents, each distinct anchor with its phrase. Round two sends the phrases whose
-anchors other blocks have too, with the smallest document of each: a phrase that a smaller document elsewhere has is a
-repeat with all its windows. A phrase with no smaller owner can still share single windows with other phrases of its
-anchor, if there are any: round three sends the window hashes of those phrases only, each distinct one once for each
-block. What comes back is aligned with what was sent, so answers are indices.
+Round one: each block of documents sends every distinct anchor once to the shard that its hash falls to, and learns
+which anchors stand in other documents. A window whose anchor stands nowhere else cannot repeat. Round two: the block
+sends the content of its phrases with shared anchors, each distinct phrase once with the smallest document that has it.
+A shard so holds all the text that can match, copies within a block removed. A phrase that a smaller document has too
+is a repeat with all its windows; where phrases differ around one anchor, the operator's index (resolve) decides about
+single windows. The answer is one bit for each window, in the order in which the block asked.
 
-Nothing depends on how often a phrase occurs: a block sends each phrase, anchor and window once, and its keys are
-hashed to buckets, so a passage in a third of all documents weighs as much as the number of blocks. All hashes have
-64 bits.
+Messages are bounded by the entries they carry, however many blocks there are, and a passage in a third of all
+documents weighs as much as the number of blocks, not as the number of documents.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -25,28 +26,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.llm import text as T
-from loomgraph.session import ensure_importable, shuffle_partitions
+from loomgraph.session import ensure_importable
 
 _U = np.uint64
-_PLACE = _U((1 << 28) - 1)
+_PLACE = _U((1 << 32) - 1)
+_SIGN = _U(1 << 63)
 BLOCK_BYTES = 8 << 20
-MESSAGE = "bucket long, block long, payload binary"
-ANSWER = "block long, bucket long, payload binary"
+#: doc_id of rows that have none: they come after all others.
+LAST_ID = (1 << 63) - 1
+MESSAGE = "shard long, block long, payload binary"
+ANSWER = "block long, shard long, payload binary"
 
 
 class Phrases:
-    """The phrases of one slice of documents. symbols: a hash for each position; bounds: of the documents."""
+    """The phrases of one slice of documents. prefix: running hash of the symbols; bounds: of the documents."""
 
     def __init__(self, prefix: np.ndarray, bounds: np.ndarray, length: int, k: int):
         self.prefix, self.bounds, self.length = prefix, bounds, length
         total = len(prefix) - 1
-        self.windows = T.window_starts(bounds, length)
-        if not self.windows.any():
-            self.first = self.count = self.doc = np.zeros(0, np.int64)
+        windows = T.window_starts(bounds, length)
+        if not windows.any():
+            self.first = self.count = self.offset = self.doc = np.zeros(0, np.int64)
             self.anchor = self.key = np.zeros(0, _U)
             return
-        grams = self.hash_of(np.arange(total - k + 1), k)
-        # grams that leave a document belong to no window inside one
+        grams = hash_of(prefix, np.arange(total - k + 1), k)
+        # Grams that leave a document belong to no window inside one. The high half decides, then the place.
         low = (grams & ~_PLACE) | np.arange(len(grams), dtype=_U)
         span, have = length - k + 1, 1
         while 2 * have <= span:
@@ -55,42 +59,86 @@ class Phrases:
         if have < span:
             low = np.minimum(low[: len(low) - (span - have)], low[span - have :])
         at = (low & _PLACE).astype(np.int64)
-        new = self.windows.copy()
-        new[1:] &= (at[1:] != at[:-1]) | ~self.windows[:-1]
-        # a window that starts in another document cannot share an anchor position, as windows stay inside documents
+        new = windows.copy()
+        new[1:] &= (at[1:] != at[:-1]) | ~windows[:-1]
         self.first = np.flatnonzero(new)
         stop = np.append(self.first[1:], len(new))
         upto = np.zeros(len(new) + 1, np.int64)
-        np.cumsum(self.windows, out=upto[1:])
+        np.cumsum(windows, out=upto[1:])
         self.count = upto[stop] - upto[self.first]
-        place = at[self.first]
-        self.anchor = T.mix(grams[place])  # smallest hashes: mixed anew, so that buckets are even
-        self.key = T.mix(self.hash_of(self.first, self.count + length - 1) + (place - self.first).astype(_U))
+        self.offset = at[self.first] - self.first
+        self.anchor = T.mix(grams[at[self.first]])  # smallest hashes: mixed anew, so that shards are even
+        self.key = phrase_key(prefix, self.first, self.count + length - 1, self.offset)
         self.doc = np.searchsorted(bounds, self.first, "right") - 1
 
-    def hash_of(self, starts: np.ndarray, n) -> np.ndarray:
-        _, down = T.powers(len(self.prefix))
-        return T.mix((self.prefix[starts + n] - self.prefix[starts]) * down[starts] + np.asarray(n).astype(_U))
 
-    def window_hashes(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(start, hash, document) of every window of the chosen phrases."""
-        n = self.count[chosen]
-        starts = np.repeat(self.first[chosen] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
-        return starts, self.hash_of(starts, self.length), np.repeat(self.doc[chosen], n)
+def hash_of(prefix: np.ndarray, starts: np.ndarray, n) -> np.ndarray:
+    _, down = T.powers(len(prefix))
+    return T.mix((prefix[starts + n] - prefix[starts]) * down[starts] + np.asarray(n).astype(_U))
 
 
-def byte_phrases(data: np.ndarray, offsets: np.ndarray, length: int, k: int) -> Phrases:
-    return Phrases(T.prefix_hash(data), offsets, length, k)
+def phrase_key(prefix: np.ndarray, starts: np.ndarray, n: np.ndarray, offset: np.ndarray) -> np.ndarray:
+    return T.mix(hash_of(prefix, starts, n) + offset.astype(_U))
 
 
-def word_phrases(data: np.ndarray, offsets: np.ndarray, length: int, k: int) -> Phrases:
-    words = T.words(data, offsets)
-    hashes = T.span_hash(T.prefix_hash(data), words.starts, words.ends)
-    prefix = np.zeros(len(hashes) + 1, _U)
-    np.cumsum(hashes * T.powers(len(hashes))[0][: len(hashes)], out=prefix[1:])
-    out = Phrases(prefix, words.bounds, length, k)
-    out.words = words
-    return out
+class ByteUnits:
+    """Every byte is a symbol."""
+
+    @staticmethod
+    def symbols(content: np.ndarray) -> np.ndarray:
+        return content
+
+    @staticmethod
+    def prefix(symbols: np.ndarray) -> np.ndarray:
+        return T.prefix_hash(symbols)
+
+    @staticmethod
+    def phrases(data: np.ndarray, offsets: np.ndarray, length: int, k: int) -> Phrases:
+        return Phrases(T.prefix_hash(data), offsets, length, k)
+
+    @staticmethod
+    def content(data: np.ndarray, phrases: Phrases, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of the chosen phrases one after the other, and how many each has."""
+        starts, n = phrases.first[chosen], phrases.count[chosen] + phrases.length - 1
+        return data[ranges(starts, n)], n
+
+
+class WordUnits:
+    """Every word is a symbol, known by its hash; contents are words with one space after each."""
+
+    @staticmethod
+    def symbols(content: np.ndarray) -> np.ndarray:
+        words = T.words(content, np.array([0, len(content)]))
+        return T.span_hash(T.prefix_hash(content), words.starts, words.ends)
+
+    @staticmethod
+    def prefix(symbols: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(symbols) + 1, _U)
+        np.cumsum(symbols * T.powers(len(symbols))[0][: len(symbols)], out=out[1:])
+        return out
+
+    @staticmethod
+    def phrases(data: np.ndarray, offsets: np.ndarray, length: int, k: int) -> Phrases:
+        words = T.words(data, offsets)
+        out = Phrases(WordUnits.prefix(T.span_hash(T.prefix_hash(data), words.starts, words.ends)), words.bounds, length, k)
+        out.words = words
+        return out
+
+    @staticmethod
+    def content(data: np.ndarray, phrases: Phrases, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        m = phrases.count[chosen] + phrases.length - 1
+        word = ranges(phrases.first[chosen], m)
+        starts, n = phrases.words.starts[word], phrases.words.ends[word] - phrases.words.starts[word] + 1
+        out = data[np.minimum(ranges(starts, n), len(data) - 1)]
+        out[np.cumsum(n) - 1] = 32
+        total = np.concatenate([[0], np.cumsum(n)])
+        ends = np.cumsum(m)
+        return out, total[ends] - total[ends - m]
+
+
+def ranges(starts: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """starts[0], starts[0] + 1, ..., starts[0] + n[0] - 1, starts[1], ..."""
+    return np.repeat(starts - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
 
 
 def least_by(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -103,204 +151,217 @@ def least_by(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
     return (keys[starts], *[np.minimum.reduceat(v[order], starts) for v in values])
 
 
-def _messages(block: int, buckets: int, offset: int, keys: np.ndarray, *values: np.ndarray):
-    """Rows (bucket, block, payload) of sorted distinct keys; a payload is the arrays one after the other."""
-    if not len(keys):
-        return []
-    place = ((keys >> _U(32)) * _U(buckets)) >> _U(32)
-    cuts = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
-    return [(offset + int(place[a]), block, b"".join(_planes(v[a:b]) for v in (keys, *values))) for a, b in zip(cuts, [*cuts[1:], len(keys)])]
+def planes(values: np.ndarray) -> bytes:
+    """The bytes of all values plane by plane: high bytes of sorted keys and of small numbers compress in the shuffle."""
+    return np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.itemsize).T).tobytes()
 
 
-def _planes(values: np.ndarray) -> bytes:
-    """The bytes of all values plane by plane: high bytes of sorted keys and of small numbers compress in the shuffle."""
-    return np.ascontiguousarray(values.view(np.uint8).reshape(-1, 8).T).tobytes()
+def unplanes(raw, n: int, at: int = 0, kind=_U) -> np.ndarray:
+    kind = np.dtype(kind)
+    part = np.frombuffer(raw, np.uint8, n * kind.itemsize, at).reshape(kind.itemsize, n)
+    return np.ascontiguousarray(part.T).view(kind).reshape(-1)
 
 
-def _table(rows: list, names: tuple[str, ...]) -> pa.Table:
-    columns = list(zip(*rows)) if rows else [[], [], []]
+def shard_of(anchors: np.ndarray, shards: int) -> np.ndarray:
+    return (((anchors >> _U(32)) * _U(shards)) >> _U(32)).astype(np.int64)
+
+
+def cuts(shard: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(shard, first, end) of the runs of sorted shard numbers."""
+    at = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]])) if len(shard) else []
+    for a, b in zip(at, [*at[1:], len(shard)]):
+        yield int(shard[a]), int(a), int(b)
+
+
+def table(rows: list, names: tuple[str, ...]) -> pa.Table:
+    columns = list(zip(*rows)) if rows else [[] for _ in names]
     kinds = [pa.binary() if n == "payload" else pa.int64() for n in names]
     return pa.table([pa.array(list(c), k) for c, k in zip(columns, kinds)], names=list(names))
 
 
-def _read(payload, n: int) -> list[np.ndarray]:
-    planes = np.frombuffer(payload.to_pybytes(), np.uint8).reshape(n, 8, -1)
-    return [np.ascontiguousarray(p.T).view(_U).reshape(-1) for p in planes]
+def blocks_of(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> int:
+    """Blocks follow the bytes of the texts, with at least one for each core."""
+    total = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
+    return int(max(docs.sparkSession.sparkContext.defaultParallelism, total // block_bytes + 1))
+
 
+@dataclass
+class Reference:
+    """Distinct phrases of one shard around anchors that have several, each with the smallest document that has it."""
 
-def _repeats(parts: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
-    """For each part (keys, least document): indices of the keys of which another part has a smaller document."""
-    keys, docs = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
-    distinct, owner = least_by(keys, docs)
-    return [np.flatnonzero(owner[np.searchsorted(distinct, k)] < d) for k, d in parts]
+    symbols: np.ndarray  # of all phrases, one after the other
+    first: np.ndarray  # where each phrase starts
+    count: np.ndarray  # windows of each phrase
+    doc: np.ndarray
+
+
+class Block:
+    """The slices of one block of documents, ordered by id, with what the rounds ask about them."""
+
+    def __init__(self, docs: pa.Table, units, length: int, k: int):
+        rank = docs.column("rank").to_numpy()
+        order = np.argsort(rank, kind="stable")
+        docs, rank = docs.take(pa.array(order)), rank[order].astype(np.int64).view(_U) ^ _SIGN
+        self.ids = docs.column("doc_id")
+        data, offsets = T.utf8(docs.column("text"))
+        self.slices, doc = [], []
+        for a, b in T.slices(offsets):
+            part, own = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+            p = units.phrases(part, own, length, k)
+            self.slices.append((a, b, part, own, p))
+            doc.append(rank[a:b][p.doc])
+        join = lambda c, kind: np.concatenate([getattr(s[4], c) for s in self.slices]) if self.slices else np.zeros(0, kind)
+        self.doc = np.concatenate(doc) if doc else np.zeros(0, _U)
+        self.anchor, self.key, self.count, self.offset = join("anchor", _U), join("key", _U), join("count", np.int64), join("offset", np.int64)
+
+    def shared(self, answers: pa.Table, shards: int) -> np.ndarray:
+        """Which phrases have an anchor that another document has too."""
+        distinct, low, high = least_by(self.anchor, self.doc, ~self.doc)
+        flags, shard = low != ~high, shard_of(distinct, shards)
+        for s, payload in zip(answers.column("shard").to_pylist(), answers.column("payload")):
+            if s < shards:
+                a, b = np.searchsorted(shard, [s, s + 1])
+                flags[a:b] |= np.unpackbits(np.frombuffer(payload.as_buffer(), np.uint8), count=b - a).astype(bool)
+        return flags[np.searchsorted(distinct, self.anchor)] if len(distinct) else np.zeros(0, bool)
+
+    def asked(self, shared: np.ndarray) -> np.ndarray:
+        """One phrase for each distinct content among the shared ones, that of the smallest document, by anchor."""
+        at = np.flatnonzero(shared)
+        order = at[np.lexsort((self.doc[at], self.key[at], self.anchor[at]))]
+        new = np.ones(len(order), bool)
+        new[1:] = self.key[order[1:]] != self.key[order[:-1]]
+        return order[new]
 
 
 class FirstOccurrences:
-    """docs: doc_id, text. finish(docs, removed, slice) makes rows from which windows of which document repeat.
+    """docs: doc_id, text. units: ByteUnits or WordUnits.
 
-    find: how a bucket tells repeated keys; it gets the blocks' (keys, documents) and returns indices for each block.
+    resolve(reference): for each window of its phrases in order, whether a smaller document in it has that window.
     """
 
-    def __init__(self, docs: DataFrame, length: int, k: int, phrases: Callable, find: Callable = _repeats, block_bytes: int = BLOCK_BYTES):
-        spark = docs.sparkSession
-        ensure_importable(spark)
-        self.length, self.k, self.phrases, self.find = length, k, phrases, find
-        total = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
-        blocks = max(shuffle_partitions(spark), total // block_bytes + 1)
-        self.buckets = int(blocks)
+    def __init__(self, docs: DataFrame, length: int, k: int, units, resolve: Callable[[Reference], np.ndarray], block_bytes: int = BLOCK_BYTES):
+        ensure_importable(docs.sparkSession)
+        self.length, self.k, self.units, self.resolve = length, k, units, resolve
+        self.shards = blocks_of(docs, block_bytes)
+        doc_id = F.col("doc_id").cast("long")
         self.placed = docs.select(
-            F.col("doc_id").cast("long"), F.col("text").cast("string"), F.pmod(F.xxhash64(F.col("doc_id")), F.lit(int(blocks))).alias("block")
-        )
+            doc_id.alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(doc_id, F.lit(LAST_ID)).alias("rank"),
+            F.pmod(F.xxhash64(doc_id), F.lit(self.shards)).alias("block"),
+        )
 
     def __getstate__(self) -> dict:
         """What workers need: everything but the table."""
         return {k: v for k, v in self.__dict__.items() if k != "placed"}
 
-    def _slices(self, table: pa.Table):
-        """Slices of a block's documents in the order of their ids, which is the same in every round."""
-        order = np.argsort(table.column("doc_id").to_numpy(), kind="stable")
-        table = table.take(pa.array(order))
-        ids = table.column("doc_id").to_numpy()
-        data, offsets = T.utf8(table.column("text"))
-        for a, b in T.slices(offsets):
-            part = data[offsets[a] : offsets[b]]
-            yield ids[a:b], part, offsets[a : b + 1] - offsets[a], self.phrases(part, offsets[a : b + 1] - offsets[a], self.length, self.k)
-
-    def _known(self, slices: list):
-        docs = np.concatenate([ids[p.doc] for ids, _, _, p in slices]).astype(np.int64).view(_U) ^ _U(1 << 63) if slices else np.zeros(0, _U)
-        key, anchor = (np.concatenate([getattr(p, c) for *_, p in slices]) if slices else np.zeros(0, _U) for c in ("key", "anchor"))
-        return docs, key, anchor
-
-    def _ask(self):
-        buckets = self.buckets
-
-        def ask(key, table):
-            block = key[0].as_py()
-            _, keys, anchors = self._known(list(self._slices(table)))
-            ends = least_by(anchors, keys, ~keys)
-            one = ends[1] == ~ends[2]
-            rows = [(b, k, b"\0" + x) for b, k, x in _messages(block, buckets, buckets, ends[0][one], ends[1][one])]
-            rows += [(b, k, b"\1" + x) for b, k, x in _messages(block, buckets, buckets, ends[0][~one])]
-            return _table(rows, ("bucket", "block", "payload"))
-
-        return ask
-
-    def _answer(self):
-        buckets, find = self.buckets, self.find
-
-        def answer(key, table):
-            bucket = key[0].as_py()
-            blocks = table.column("block").to_pylist()
-            kinds = [x.as_buffer().slice(0, 1).to_pybytes() for x in table.column("payload")]
-            payloads = [x.as_buffer().slice(1) for x in table.column("payload")]
-            if buckets <= bucket < 2 * buckets:  # anchors: do other blocks have them, and with another phrase?
-                parts = [_read(x, 2 if k == b"\0" else 1) for x, k in zip(payloads, kinds)]
-                keys = np.concatenate([p[0] for p in parts])
-                low = np.concatenate([p[1] if len(p) == 2 else np.zeros_like(p[0]) for p in parts])
-                high = np.concatenate([p[1] if len(p) == 2 else ~np.zeros_like(p[0]) for p in parts])
-                distinct, n = np.unique(keys, return_counts=True)
-                _, low, high = least_by(keys, low, ~high)
-                mixed = low != ~high
-                places = [np.searchsorted(distinct, p[0]) for p in parts]
-                rows = []
-                for block, kind, at in zip(blocks, kinds, places):
-                    base = bucket + (0 if kind == b"\0" else 2 * buckets)
-                    rows += [(block, base, np.flatnonzero(n[at] > 1)), (block, base + 3 * buckets, np.flatnonzero(mixed[at] & (n[at] > 1)))]
-                return _table([(b, k, f.astype("<u4").tobytes()) for b, k, f in rows if len(f)], ("block", "bucket", "payload"))
-            found = find([tuple(_read(x, 2)) for x in payloads])
-            return _table([(b, bucket, f.astype("<u4").tobytes()) for b, f in zip(blocks, found) if len(f)], ("block", "bucket", "payload"))
-
-        return answer
-
-    @staticmethod
-    def _flags(answers: pa.Table, keys: np.ndarray, buckets: int, offset: int) -> np.ndarray:
-        """Which of the sorted distinct keys that were sent to buckets offset, offset + 1, ... came back."""
-        out = np.zeros(len(keys), bool)
-        place = (((keys >> _U(32)) * _U(buckets)) >> _U(32)).astype(np.int64)
-        for bucket, payload in zip(answers.column("bucket").to_pylist(), answers.column("payload")):
-            if offset <= bucket < offset + buckets:
-                out[np.searchsorted(place, bucket - offset) + np.frombuffer(payload.as_buffer(), "<u4").astype(np.int64)] = True
-        return out
-
-    def _judge(self, slices: list, answers: pa.Table):
-        """For all phrases of a block: is it a repeat, and must its windows be looked at one by one?"""
-        docs, keys, anchors = self._known(slices)
-        shared, mixed = self._anchors(answers, keys, anchors)
-        distinct, owner = least_by(keys, docs)
-        repeat = owner[np.searchsorted(distinct, keys)] < docs
-        asked = np.unique(keys[shared])
-        elsewhere = self._flags(answers, asked, self.buckets, 0)
-        repeat[shared] |= elsewhere[np.searchsorted(asked, keys[shared])]
-        return docs, repeat, mixed & ~repeat
-
-    def _anchors(self, answers: pa.Table, keys: np.ndarray, anchors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For each phrase: do other blocks have its anchor, and are there several phrases at it anywhere?"""
-        some, low, high = least_by(anchors, keys, ~keys)
-        own = low != ~high
-        shared, mixed = np.zeros(len(some), bool), own.copy()
-        for which, base in ((~own, self.buckets), (own, 3 * self.buckets)):
-            shared[which] = self._flags(answers, some[which], self.buckets, base)
-            mixed[which] |= self._flags(answers, some[which], self.buckets, base + 3 * self.buckets)
-        at = np.searchsorted(some, anchors)
-        return shared[at], mixed[at]
-
-    def _windows(self, slices: list, single: np.ndarray, docs: np.ndarray):
-        """(slice, start, hash, document) of the windows of phrases that are looked at one by one."""
-        at, out = 0, []
-        for i, (ids, _, _, p) in enumerate(slices):
-            chosen = np.flatnonzero(single[at : at + len(p.key)])
-            starts, hashes, doc = p.window_hashes(chosen)
-            out.append((np.full(len(starts), i), starts, hashes, ids[doc].astype(np.int64).view(_U) ^ _U(1 << 63)))
-            at += len(p.key)
-        return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 2 + (np.zeros(0, _U),) * 2
-
-    def _ask_phrases(self):
-        buckets = self.buckets
-
-        def ask(key, table, answers):
-            docs, keys, anchors = self._known(list(self._slices(table)))
-            shared, _ = self._anchors(answers, keys, anchors)
-            rows = _messages(key[0].as_py(), buckets, 0, *least_by(keys[shared], docs[shared]))
-            return _table([(b, k, b"\0" + x) for b, k, x in rows], ("bucket", "block", "payload"))
-
-        return ask
-
-    def _ask_windows(self):
-        buckets = self.buckets
-
-        def ask(key, table, answers):
-            slices = list(self._slices(table))
-            docs, _, single = self._judge(slices, answers)
-            _, _, hashes, owners = self._windows(slices, single, docs)
-            rows = _messages(key[0].as_py(), buckets, 2 * buckets, *least_by(hashes, owners))
-            return _table([(b, k, b"\0" + x) for b, k, x in rows], ("bucket", "block", "payload"))
-
-        return ask
+    def _block(self, docs: pa.Table) -> Block:
+        return Block(docs, self.units, self.length, self.k)
+
+    def _ask_anchors(self, key, docs):
+        anchors = np.unique(self._block(docs).anchor)
+        rows = [(s, key[0].as_py(), planes(anchors[a:b])) for s, a, b in cuts(shard_of(anchors, self.shards))]
+        return table(rows, ("shard", "block", "payload"))
+
+    def _answer_anchors(self, key, asked):
+        parts = [unplanes(x.as_buffer(), len(x.as_buffer()) // 8) for x in asked.column("payload")]
+        distinct, n = np.unique(np.concatenate(parts), return_counts=True)
+        rows = []
+        for block, part in zip(asked.column("block").to_pylist(), parts):
+            rows.append((block, key[0].as_py(), np.packbits(n[np.searchsorted(distinct, part)] > 1).tobytes()))
+        return table(rows, ("block", "shard", "payload"))
+
+    def _ask_phrases(self, key, docs, answers):
+        block = self._block(docs)
+        chosen = block.asked(block.shared(answers, self.shards))
+        starts = np.cumsum([0, *[len(s[4].key) for s in block.slices]])
+        contents, sizes = [None] * len(chosen), np.zeros(len(chosen), np.int64)
+        for i, (_, _, data, _, phrases) in enumerate(block.slices):
+            own = np.flatnonzero((chosen >= starts[i]) & (chosen < starts[i + 1]))
+            if len(own):
+                raw, n = self.units.content(data, phrases, chosen[own] - starts[i])
+                raw, ends, sizes[own] = raw.tobytes(), np.cumsum(n), n
+                for j, e, m in zip(own.tolist(), ends.tolist(), n.tolist()):
+                    contents[j] = raw[e - m : e]
+        rows = []
+        for s, a, b in cuts(shard_of(block.anchor[chosen], self.shards)):
+            at = chosen[a:b]
+            head = np.array([b - a], np.int64).tobytes() + planes(block.doc[at]) + planes(block.count[at].astype("<u2")) + planes(block.offset[at].astype("<u2"))
+            rows.append((s, key[0].as_py(), head + b"".join(contents[a:b])))
+        return table(rows, ("shard", "block", "payload"))
+
+    def _answer_phrases(self, key, asked):
+        """One bit for each window of each phrase: does a smaller document have it?"""
+        blocks, symbols, known = [], [], []
+        for block, payload in sorted(zip(asked.column("block").to_pylist(), asked.column("payload")), key=lambda r: r[0]):
+            raw = payload.as_buffer()
+            n = int(np.frombuffer(raw, np.int64, 1)[0])
+            doc, count, offset = unplanes(raw, n, 8), *(unplanes(raw, n, 8 + at * n, "<u2").astype(np.int64) for at in (8, 10))
+            own = self.units.symbols(np.frombuffer(raw, np.uint8, len(raw) - 8 - 12 * n, 8 + 12 * n))
+            prefix, size = self.units.prefix(own), count + self.length - 1
+            first = np.cumsum(size) - size
+            blocks.append((block, n))
+            symbols.append(own)
+            known.append((doc, count, phrase_key(prefix, first, size, offset), hash_of(prefix, first + offset, self.k)))
+        doc, count, keys, anchors = (np.concatenate(x) for x in zip(*known))
+        distinct, owner = least_by(keys, doc)
+        flags = np.repeat(owner[np.searchsorted(distinct, keys)] < doc, count)
+        # Of each content, the copy of the smallest document stands in the index; anchors with one content settle nothing.
+        order = np.lexsort((doc, keys))
+        new = np.ones(len(order), bool)
+        new[1:] = keys[order[1:]] != keys[order[:-1]]
+        holders = np.sort(order[new])
+        several, of = np.unique(anchors[holders], return_inverse=True)
+        open_ = holders[np.bincount(of, minlength=len(several))[of] > 1]
+        ends = np.cumsum(count)
+        if len(open_):
+            size = count + self.length - 1
+            parts, base, at = [], 0, np.cumsum(size) - size
+            for own, last in zip(symbols, np.cumsum([n for _, n in blocks])):
+                chosen = open_[(open_ >= base) & (open_ < last)]
+                parts.append(own[ranges(at[chosen] - at[base], size[chosen])])
+                base = last
+            first = np.cumsum(size[open_]) - size[open_]
+            reference = Reference(np.concatenate(parts), first, count[open_], doc[open_])
+            flags[ranges(ends[open_] - count[open_], count[open_])] = self.resolve(reference)
+        rows, at = [], 0
+        for (block, n), last in zip(blocks, np.cumsum([n for _, n in blocks])):
+            end = int(ends[last - 1])
+            if flags[at:end].any():
+                rows.append((block, self.shards + key[0].as_py(), np.packbits(flags[at:end]).tobytes()))
+            at = end
+        return table(rows, ("block", "shard", "payload"))
 
     def run(self, finish: Callable, schema: str) -> DataFrame:
         """finish(ids, data, offsets, phrases, windows): an Arrow table; windows: sorted starts of repeated windows."""
 
-        def close(key, table, answers):
-            slices = list(self._slices(table))
-            docs, repeat, single = self._judge(slices, answers)
-            part, starts, hashes, owners = self._windows(slices, single, docs)
-            distinct, least = least_by(hashes, owners)
-            elsewhere = self._flags(answers, distinct, self.buckets, 2 * self.buckets)
-            at = np.searchsorted(distinct, hashes)
-            gone = elsewhere[at] | (least[at] < owners) if len(hashes) else np.zeros(0, bool)
-            out, first = [], 0
-            for i, (ids, data, offsets, p) in enumerate(slices):
-                whole = np.flatnonzero(repeat[first : first + len(p.key)])
-                n = p.count[whole]
-                covered = np.repeat(p.first[whole] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
-                out.append(finish(ids, data, offsets, p, np.union1d(covered, starts[gone & (part == i)])))
-                first += len(p.key)
+        def close(key, docs, answers):
+            block = self._block(docs)
+            chosen = block.asked(block.shared(answers, self.shards))
+            count = block.count[chosen]
+            starts, shard = np.cumsum(count) - count, shard_of(block.anchor[chosen], self.shards)
+            flags = np.zeros(int(count.sum()), bool)
+            for s, payload in zip(answers.column("shard").to_pylist(), answers.column("payload")):
+                if s >= self.shards:
+                    a, b = np.searchsorted(shard, [s - self.shards, s - self.shards + 1])
+                    low, high = int(starts[a]), int(starts[b - 1] + count[b - 1])
+                    flags[low:high] = np.unpackbits(np.frombuffer(payload.as_buffer(), np.uint8), count=high - low).astype(bool)
+            # Phrases of one content: that of the smallest document takes the answer, those of others repeat it.
+            by_key = np.argsort(block.key[chosen])
+            place = np.searchsorted(block.key[chosen], block.key, sorter=by_key) if len(chosen) else np.zeros(len(block.key), np.int64)
+            place = by_key[np.minimum(place, len(chosen) - 1)] if len(chosen) else place
+            known = block.key[chosen][place] == block.key if len(chosen) else np.zeros(len(block.key), bool)
+            out, base = [], 0
+            for a, b, data, offsets, p in block.slices:
+                own = np.flatnonzero(known[base : base + len(p.key)])
+                at = place[base + own]
+                n = p.count[own]
+                gone = flags[ranges(starts[at], n)] | np.repeat(block.doc[chosen][at] < block.doc[base + own], n) if len(own) else np.zeros(0, bool)
+                windows = ranges(p.first[own], n)[gone]
+                out.append(finish(block.ids.slice(a, b - a), data, offsets, p, windows))
+                base += len(p.key)
             return pa.concat_tables(out)
 
-        asked = self.placed.groupBy("block").applyInArrow(self._ask(), MESSAGE)
-        answered = asked.groupBy("bucket").applyInArrow(self._answer(), ANSWER)
-        named = self.placed.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(self._ask_phrases(), MESSAGE)
-        answered = answered.unionByName(named.groupBy("bucket").applyInArrow(self._answer(), ANSWER))
-        again = self.placed.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(self._ask_windows(), MESSAGE)
-        answered = answered.unionByName(again.groupBy("bucket").applyInArrow(self._answer(), ANSWER))
+        asked = self.placed.groupBy("block").applyInArrow(lambda key, docs: self._ask_anchors(key, docs), MESSAGE)
+        answered = asked.groupBy("shard").applyInArrow(lambda key, rows: self._answer_anchors(key, rows), ANSWER)
+        named = self.placed.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(lambda key, docs, rows: self._ask_phrases(key, docs, rows), MESSAGE)
+        answered = answered.unionByName(named.groupBy("shard").applyInArrow(lambda key, rows: self._answer_phrases(key, rows), ANSWER))
         return self.placed.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(close, schema)
