@@ -10,8 +10,10 @@ Prefix sums are two-level: a source is split into (size class, salt) blocks, blo
 of a source and documents within their block, so a source with a third of all rows is never one task's work.
 
 Defined results: null text has size 0; null source is a source of its own, last in the order of sources; a source
-without words has target 0 and takes nothing; equal rows are different documents and each gets its own place; an empty
-table gives an empty result.
+without words has target 0 and takes nothing; equal rows are different documents and each gets its own place; very long
+texts are counted whole; an empty table gives an empty result; extra columns are ignored by mix() and kept by
+mix_documents() whatever their names. The order of sources and the levels of their targets are windows over one row for
+each source, in one task.
 """
 
 from __future__ import annotations
@@ -90,8 +92,11 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: f
     )
 
 
-def mix_documents(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: float = MOST_COPIES, seed: int = 9) -> DataFrame:
-    """The mix itself: each row of docs as often as its copies say, with all its columns."""
+def mix_documents(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: float = MOST_COPIES, seed: int = 9, copy_column: str | None = None) -> DataFrame:
+    """The mix itself: each row of docs as often as its copies say, with all its columns.
+
+    copy_column: the name of one more column that numbers the copies of a row from 1.
+    """
     sized = _sized(docs, F.struct(*[docs[c] for c in docs.columns]).alias("mix_row"))
-    taken = _place(sized, weights, share, most, seed).where("copies > 0")
-    return taken.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("mix_row.*")
+    taken = _place(sized, weights, share, most, seed).where("copies > 0").withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return taken.select(*[F.col(f"mix_row.`{c}`").alias(c) for c in docs.columns], *([F.col("mix_copy").alias(copy_column)] if copy_column else []))

@@ -1,21 +1,28 @@
 """Quality rules: base rules with fixed cutoffs, then adaptive fences from mergeable quantile sketches.
 
-Per (lang, source) group a KLL sketch of each metric is built with partial aggregation; sketches of one language
-merge into the language's sketch, which serves groups of fewer than MIN_GROUP documents. A document is kept when it
-passes the base rules and no metric leaves its group's fence. The fence is a robust outlier bound (quartile plus
-SPREAD interquartile ranges), never tighter than FLOORS, so that a clean group loses nothing to its own tail, and never
-looser than LIMITS or the median fence of the language's sources, so that a source full of junk does not vouch for it.
+Metrics are log-odds of junk (symbols among characters, repeated lines among lines, each smoothed by half a count) and
+the logarithm of the mean word length, so texts without any junk differ by their length and a group's spread is never
+degenerate. A sketch of a metric counts values in bins of equal width (bins of equal ratio of the odds); sketches merge
+by adding counts, a quantile is off by less than one bin, and reruns agree. One is kept for each (lang, source), and
+those of one language add up to the language's.
+
+A group's quantile is shrunk to its language's as if PRIOR documents of the language belonged to the group. A fence
+stands SPREAD half-spreads from the median; the half-spread of an upper fence is the distance of the nearer quartile, that
+of a lower fence the distance of the upper quartile. Junk moves neither much as long as it is the lesser part of its
+group, so a source with much junk does not vouch for it. Nothing else decides: there are no fixed cutoffs besides the
+base rules.
 
 Defined results: null or empty text has no words, so the base rules reject it; null lang or source is a group of its
-own; repeated rows are judged one by one; an empty table gives an empty result; extra columns are ignored by stats()
-and kept by filter_documents().
+own; repeated rows and ties are judged one by one, a value on its fence is kept; very long texts are measured whole; an
+empty table gives an empty result; extra columns are ignored by judge() and kept by filter_documents() whatever their
+names.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.llm import text as T
@@ -24,14 +31,10 @@ from loomgraph.session import ensure_importable, materialize
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 WINDOW = 5
-MIN_GROUP = 50
-SKETCH_K = 400
-SPREAD = 8.0
-#: metric: no fence rejects a value at or below (above, for *_low) this one.
-FLOORS = {"symbol_ratio": 0.10, "dup_line_ratio": 0.50, "word_length": 14.0, "word_length_low": 2.0}
-#: metric: every fence rejects a value above this one.
-LIMITS = {"symbol_ratio": 0.30, "dup_line_ratio": 0.80, "word_length": 100.0}
-METRICS = ("symbol_ratio", "dup_line_ratio", "word_length")
+SPREAD = 6.0
+PRIOR = 100
+#: metric: (width of a bin, least half-spread, which fences it has)
+METRICS = {"symbol_odds": (0.05, 0.25, "high"), "dup_line_odds": (0.05, 0.25, "high"), "word_length_log": (0.005, 0.02, "both")}
 
 STATS_SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long"
 _SYMBOL = np.zeros(256, bool)
@@ -102,55 +105,67 @@ def stats(docs: DataFrame) -> DataFrame:
     return own.mapInArrow(_measure_batches, f"doc_id long, lang string, source string, {counts}")
 
 
+def _log_odds(part: Column, whole: Column) -> Column:
+    return F.log((part + 0.5) / (F.greatest(whole - part, F.lit(0)) + 0.5))
+
+
 def with_metrics(counts: DataFrame) -> DataFrame:
-    words = F.greatest(F.col("n_words"), F.lit(1))
     return counts.withColumns(
         {
             "base_failed": (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")),
-            "symbol_ratio": F.col("n_symbols") / F.greatest(F.col("word_chars"), F.lit(1)),
-            "dup_line_ratio": F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1)),
-            "word_length": F.col("word_chars") / words,
+            "symbol_odds": _log_odds(F.col("n_symbols"), F.col("word_chars")),
+            "dup_line_odds": _log_odds(F.col("n_dup_lines"), F.col("n_lines")),
+            # as if 20 words of 5 characters were added
+            "word_length_log": F.log((F.col("word_chars") + 100) / (F.col("n_words") + 20)),
         }
     )
 
 
+def sketches(measured: DataFrame) -> DataFrame:
+    """(lang, source, metric, bin, n): adding n over sources, or over tables, merges sketches."""
+    entries = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.floor(F.col(m) / width).cast("int").alias("bin")) for m, (width, *_) in METRICS.items()]))
+    return measured.select("lang", "source", entries.alias("e")).groupBy("lang", "source", "e.metric", "e.bin").agg(F.count(F.lit(1)).alias("n"))
+
+
+def quartiles(bins: DataFrame, *group: str) -> DataFrame:
+    """The three quartiles of each sketch, in values: the middle of the bin that holds them."""
+    upto = F.sum("n").over(Window.partitionBy(*group, "metric").orderBy("bin"))
+    total = F.sum("n").over(Window.partitionBy(*group, "metric"))
+    width = F.create_map(*[x for m, (w, *_) in METRICS.items() for x in (F.lit(m), F.lit(w))])[F.col("metric")]
+    placed = bins.withColumns({"upto": upto, "total": total})
+    at = lambda q: ((F.min(F.when(F.col("upto") >= q * F.col("total"), F.col("bin"))) + 0.5) * F.first(width)).alias(f"q{int(100 * q)}")
+    return placed.groupBy(*group, "metric").agg(F.first("total").alias("total"), at(0.25), at(0.5), at(0.75))
+
+
 def fences(measured: DataFrame) -> DataFrame:
-    """One row for each (lang, source): lower and upper fence of each metric."""
-    sketches = measured.groupBy("lang", "source").agg(
-        F.count(F.lit(1)).alias("n"), *[F.kll_sketch_agg_double(m, F.lit(SKETCH_K)).alias(m) for m in METRICS]
-    )
-    # one more aggregate over sketches, not over documents: languages are few, sketches small
-    by_lang = sketches.groupBy("lang").agg(*[F.kll_merge_agg_double(m).alias(f"lang_{m}") for m in METRICS])
-    both = sketches.alias("s").join(by_lang.withColumnRenamed("lang", "of_lang").alias("l"), F.col("lang").eqNullSafe(F.col("of_lang")))
-    own = {}
-    for m in METRICS:
-        sketch = F.when(F.col("n") >= MIN_GROUP, F.col(m)).otherwise(F.col(f"lang_{m}"))
-        low, high = (F.kll_sketch_get_quantile_double(sketch, F.lit(q)) for q in (0.25, 0.75))
-        own[f"{m}_high"] = high + SPREAD * (high - low)
-        if f"{m}_low" in FLOORS:
-            own[f"{m}_low"] = low - SPREAD * (high - low)
-    groups = both.select(F.col("s.lang").alias("g_lang"), F.col("s.source").alias("g_source"), *[v.alias(k) for k, v in own.items()])
-    # the lower of two sources' fences is the median for the upper side, and the higher for the lower side
-    middle = {k: F.percentile_approx(k, 0.5) if k.endswith("_high") else -F.percentile_approx(-F.col(k), 0.5) for k in own}
-    median = groups.groupBy(F.col("g_lang").alias("m_lang")).agg(*[v.alias(f"median_{k}") for k, v in middle.items()])
+    """One row for each (lang, source): g_lang, g_source, and lower and upper fence of each metric."""
+    bins = materialize(sketches(measured), "sketches")
+    own = quartiles(bins, "lang", "source")
+    of_lang = quartiles(bins.groupBy("lang", "metric", "bin").agg(F.sum("n").alias("n")), "lang")
+    of_lang = of_lang.select(F.col("lang").alias("l_lang"), F.col("metric").alias("l_metric"), *[F.col(q).alias(f"l_{q}") for q in ("q25", "q50", "q75")])
+    both = own.join(of_lang, F.col("lang").eqNullSafe(F.col("l_lang")) & (F.col("metric") == F.col("l_metric")))
+    q25, q50, q75 = ((F.col("total") * F.col(q) + PRIOR * F.col(f"l_{q}")) / (F.col("total") + PRIOR) for q in ("q25", "q50", "q75"))
+    least = F.create_map(*[x for m, (_, s, _) in METRICS.items() for x in (F.lit(m), F.lit(s))])[F.col("metric")]
+    high = q50 + SPREAD * F.greatest(F.least(q50 - q25, q75 - q50), least)
+    limits = both.select("lang", "source", "metric", high.alias("high"), (q50 - SPREAD * F.greatest(q75 - q50, least)).alias("low"))
     out = {}
-    for m in METRICS:
-        out[f"{m}_high"] = F.greatest(F.lit(FLOORS[m]), F.least(F.col(f"{m}_high"), F.col(f"median_{m}_high"), F.lit(LIMITS[m])))
-        if f"{m}_low" in FLOORS:
-            out[f"{m}_low"] = F.least(F.lit(FLOORS[f"{m}_low"]), F.greatest(F.col(f"{m}_low"), F.col(f"median_{m}_low")))
-    return groups.join(F.broadcast(median), F.col("g_lang").eqNullSafe(F.col("m_lang"))).select("g_lang", "g_source", *[v.alias(k) for k, v in out.items()])
+    for m, (*_, sides) in METRICS.items():
+        out[f"{m}_high"] = F.max(F.when(F.col("metric") == m, F.col("high")))
+        if sides == "both":
+            out[f"{m}_low"] = F.max(F.when(F.col("metric") == m, F.col("low")))
+    return limits.groupBy(F.col("lang").alias("g_lang"), F.col("source").alias("g_source")).agg(*[v.alias(k) for k, v in out.items()])
 
 
 def judge(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, source, counts, metrics, base_failed and kept for every document."""
+    """doc_id, lang, source, counts, metrics, fences, base_failed and kept for every document."""
     counts = with_metrics(materialize(stats(docs), "quality"))
     # Sketches skip what the base rules reject: junk must not set the fences.
     limits = fences(counts.where(~F.col("base_failed")))
     joined = counts.join(limits, F.col("lang").eqNullSafe(F.col("g_lang")) & F.col("source").eqNullSafe(F.col("g_source")), "left")
     inside = F.lit(True)
-    for m in METRICS:
+    for m, (*_, sides) in METRICS.items():
         inside = inside & F.coalesce(F.col(m) <= F.col(f"{m}_high"), F.lit(True))
-        if f"{m}_low" in FLOORS:
+        if sides == "both":
             inside = inside & F.coalesce(F.col(m) >= F.col(f"{m}_low"), F.lit(True))
     return joined.withColumn("kept", ~F.col("base_failed") & inside).drop("g_lang", "g_source")
 
@@ -158,7 +173,10 @@ def judge(docs: DataFrame) -> DataFrame:
 def filter_documents(docs: DataFrame) -> DataFrame:
     """The documents that the rules keep, with all their columns.
 
-    Documents whose rows share a doc_id are kept when any row of that id is; the semi join reads the small verdict table.
+    Documents whose rows share a doc_id are kept when any row of that id is; rows without doc_id likewise. The semi join
+    reads the small verdict table.
     """
-    verdicts = judge(docs).where("kept").select("doc_id").distinct()
-    return docs.join(verdicts, "doc_id", "left_semi")
+    verdicts = judge(docs).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
+    whole = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    left = whole.join(verdicts, F.col("row.doc_id").cast("long").eqNullSafe(F.col("kept_id")), "left_semi")
+    return left.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])

@@ -35,7 +35,7 @@ def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(_documents(spark, sf_dir))
+    return packing.pack(_documents(spark, sf_dir), packing.WEIGHTS)
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

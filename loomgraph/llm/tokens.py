@@ -1,13 +1,15 @@
 """Token counts and ids with public tokenizers, in Arrow batches.
 
-Rows are taken in runs of about BATCH_BYTES, so a batch of long texts is no heavier than one of short texts. A text of
+Rows are taken in runs of about BATCH_BYTES, so a batch of long texts is no heavier than one of short texts, and each
+run is encoded by one call of the library; only lengths are kept where only counts are wanted. A text of
 more than LONG_CHARS is cut where a space or line break stands between characters that are no white space; the pattern
 that splits text before the merges starts a new piece there in any case, so the parts encode alone as they do in the
 text. Byte-level vocabularies in .json files run on the tiktoken library from the same vocabulary, several times
 faster, once its ids agree with the file's own library on a probe text; otherwise the file's own library runs.
 
 Defined results: null is the empty text, which has no tokens; special strings inside texts are the library's default,
-that is, special tokens; extra columns are ignored.
+that is, special tokens; repeated rows are counted one by one; an empty table gives an empty result; extra columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -60,14 +62,20 @@ class Encoder:
             model = Tokenizer.from_file(path)
             size = model.get_vocab_size(with_added_tokens=True)
             own = lambda text: model.encode(text, add_special_tokens=False).ids
+            self.batch = lambda texts: [x.ids for x in model.encode_batch(texts, add_special_tokens=False)]
             fast = self._fast(path)
-            self.ids = fast if fast and list(fast(_PROBE)) == own(_PROBE) else own
+            if fast and (probe := own(_PROBE)) == fast.encode(_PROBE, allowed_special="all"):
+                assert fast.encode_batch([_PROBE], num_threads=1, allowed_special="all") == [probe]
+                self.ids = lambda text: fast.encode_to_numpy(text, allowed_special="all")
+                self.batch = lambda texts: fast.encode_batch(texts, num_threads=1, allowed_special="all")
+            else:
+                self.ids = own
         elif path.endswith(".model"):
             import sentencepiece
 
             model = sentencepiece.SentencePieceProcessor(model_file=path)
             size = model.get_piece_size()
-            self.ids = lambda text: model.encode(text, num_threads=1)
+            self.ids = self.batch = lambda texts: model.encode(texts, num_threads=1)
         else:
             raise ValueError(f"neither a .json nor a .model file: {path}")
         self.splits = path.endswith(".json") and self.ids is not own
@@ -85,8 +93,7 @@ class Encoder:
         to_byte = _byte_of_character()
         special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         ranks = {bytes(to_byte[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
-        model = tiktoken.Encoding("from-file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
-        return lambda text: model.encode_to_numpy(text, allowed_special="all")
+        return tiktoken.Encoding("from-file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         ids, kind = self.ids, self.dtype
@@ -95,6 +102,12 @@ class Encoder:
             for x in texts
         ]
 
+    def counts(self, texts: list[str]) -> list[int]:
+        """The number of ids of each text, from one call for all of them."""
+        parts = [safe_parts(x) if self.splits else [x] for x in texts]
+        lengths = iter([len(ids) for ids in self.batch([p for text in parts for p in text])])
+        return [sum(next(lengths) for _ in text) for text in parts]
+
 
 def encoder(path: str) -> Encoder:
     if path not in _encoders:
@@ -108,12 +121,18 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def encoded(column, model: Encoder):
-    """(first row, list of id bytes) for runs of rows of about BATCH_BYTES."""
+def runs(column):
+    """(first row, texts) for runs of rows of about BATCH_BYTES."""
     sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     offsets = np.concatenate([[0], np.cumsum(sizes)])
     for a, b in T.slices(offsets, BATCH_BYTES):
-        yield a, model.encode([x or "" for x in column.slice(a, b - a).to_pylist()])
+        yield a, [x or "" for x in column.slice(a, b - a).to_pylist()]
+
+
+def encoded(column, model: Encoder):
+    """(first row, list of id bytes) for runs of rows of about BATCH_BYTES."""
+    for a, texts in runs(column):
+        yield a, model.encode(texts)
 
 
 def token_counts(docs: DataFrame, tokenizer: str | None = None, limit: int = TOKEN_LIMIT) -> DataFrame:
@@ -125,7 +144,7 @@ def token_counts(docs: DataFrame, tokenizer: str | None = None, limit: int = TOK
         model = encoder(path)
         for batch in batches:
             column = batch.column("text")
-            n = [len(ids) // model.dtype.itemsize for _, part in encoded(column, model) for ids in part]
+            n = [count for _, texts in runs(column) for count in model.counts(texts)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pc.fill_null(pc.binary_length(column), 0).cast(pa.int64()), pa.array(n, pa.int64())],
                 names=["doc_id", "n_bytes", "n_tokens"],

@@ -128,3 +128,24 @@ def targets(sizes):
             left -= out[s]
         open_ -= full
     return out
+
+
+def fences(rows, metrics):
+    """rows: (lang, source, {metric: value}); the exact fences of each (lang, source): metric -> (low, high)."""
+
+    def quartiles(values):
+        values = sorted(values)
+        return [values[-(-len(values) * q // 4) - 1] for q in (1, 2, 3)]
+
+    by_lang, by_group = {}, {}
+    for lang, source, values in rows:
+        for m, v in values.items():
+            by_lang.setdefault((lang, m), []).append(v)
+            by_group.setdefault((lang, source, m), []).append(v)
+    out = {}
+    for (lang, source, m), values in by_group.items():
+        n = len(values)
+        a, b, c = ((n * x + 100 * y) / (n + 100) for x, y in zip(quartiles(values), quartiles(by_lang[lang, m])))
+        least = metrics[m][1]
+        out.setdefault((lang, source), {})[m] = (b - 6 * max(c - b, least), b + 6 * max(min(b - a, c - b), least))
+    return out
