@@ -88,37 +88,100 @@ def test_lm_scoring(cases):
         if rows is not EDGE:
             out = [r for r in got.values() if r.held_out]
             assert sum(r.score for r in out) > sum(r.base_score for r in out) * 0.97
+            assert all(math.isclose(r.perplexity, 10 ** (-r.score / r.n_tokens), rel_tol=1e-9) for r in out)
 
 
 def test_lm_probabilities_add_up(spark):
-    """Over the vocabulary, the end token and the unknown word, for a context that was seen."""
+    """Over the vocabulary, the end token and the unknown word, after words that are contexts."""
     rows = [(i, " ".join("abcde"[(i * 7 + j * j) % 5] + "xy"[(i + j) % 2] for j in range(40)), "en", "s") for i in range(40)]
     model = lm.Model(documents(spark, rows))
+    assert len(model.contexts) == 10 and model.vocabulary == 11
     vocabulary = sorted({w for _, t, *_ in rows for w in t.split()})
-    probes = [(1000 + i, f"ax {w}", "en", "s") for i, w in enumerate([*vocabulary, "zzz"])] + [(2000, "ax", "en", "s")]
-    got = {r.doc_id: r.score for r in model.score(documents(spark, probes)).collect()}
-    # score("ax w") = p(ax) p(w | ax) p(end | w); score("w"-less parts come from shorter probes)
-    ends = {r.doc_id: r.score for r in model.score(documents(spark, [(i, w, "en", "s") for i, w in enumerate([*vocabulary, "zzz"])])).collect()}
-    starts = {i: 10 ** ends[i] for i in ends}  # p(w | start) p(end | w)
-    alone = 10 ** got[2000]  # p(ax | start) p(end | ax)
-    assert 0 < alone < 1 and all(0 < v < 1 for v in starts.values())
-    assert sum(starts.values()) < 1 and sum(10 ** got[1000 + i] for i in range(len(vocabulary) + 1)) < 1
+    probes = [f"{u} {w}" for u in vocabulary for w in [*vocabulary, "zzz"]] + vocabulary + ["zzz", ""]
+    got = {probes[r.doc_id]: 10**r.score for r in model.score(documents(spark, [(i, t, "en", "s") for i, t in enumerate(probes)])).collect()}
+    # got[u] = p(u | start) p(end | u), got[u w] = p(u | start) p(w | u) p(end | w)
+    every = [*vocabulary, "zzz"]
+    for u in vocabulary:
+        # Unknown p(end | .) and p(. | start) drop out of the ratio of these: p(w | u) p(u | start) = got[u w] p(w | start) / got[w]
+        assert all(0 < got[f"{u} {w}"] < got[u] or w == "zzz" for w in every)
+    start = model_probabilities(model, None)
+    assert math.isclose(sum(start.values()), 1, abs_tol=1e-9)
+    for u in vocabulary:
+        after = model_probabilities(model, u)
+        assert math.isclose(sum(after.values()), 1, abs_tol=1e-9)
+        for w in every:
+            ends = model_probabilities(model, w)["end"]
+            assert math.isclose(got[f"{u} {w}"], start[u] * after[w] * ends, rel_tol=1e-9)
+
+
+def model_probabilities(model, context):
+    """Predictive probabilities after a word (None: the start), from the state of the model and the formula."""
+    import numpy as np
 
+    from loomgraph.llm import text as T
+
+    name = lambda w: int(lm.word_hashes(*T.utf8(__import__("pyarrow").array([w])))[0][0])
+    place = {int(h): i for i, h in enumerate(model.contexts)}
+    c = len(place) + 1 if context is None else place.get(name(context), len(place))
+    counts, tables, parents = {}, {}, {}
+    for r in model.state.collect():
+        bucket = lm.Bucket(r.asDict(), model.samples[-1], model.discounts, model.vocabulary)
+        kept = np.frombuffer(r["kept"], np.int64)
+        n, samples = len(bucket.counts), np.frombuffer(r["kept"], np.int64)[len(bucket.counts) :].reshape(2 * lm.KEPT, -1)
+        for i, w in enumerate(bucket.words):
+            parents[int(w)] = samples[:, i]
+        for i in np.flatnonzero(bucket.contexts == c):
+            counts[int(bucket.words[bucket.word_of[i]])], tables[int(bucket.words[bucket.word_of[i]])] = bucket.counts[i], kept[:n][i]
+    d0, d = model.discounts
+    seen, out = model.context_totals[c], {}
+    names = {name(w): w for w in ["ax", "ay", "bx", "by", "cx", "cy", "dx", "dy", "ex", "ey"]} | {int(lm.END): "end", 0: "zzz"}
+    for h in [*parents, 0]:
+        p = (counts.get(h, 0) - d * tables.get(h, 0) / lm.KEPT) / (1 + seen)
+        for s, sample in enumerate(model.samples):
+            customers, own = parents[h][2 * s : 2 * s + 2] if h else (0, 0)
+            parent = (customers - d0 * own + (1 + d0 * sample.tables) / (model.vocabulary + 1)) / (1 + sample.customers)
+            p += (1 + d * sample.of_context[c]) / (1 + seen) * parent / lm.KEPT
+        out[names[h]] = p
+    return out
+
+
+def test_gibbs_sampling_has_the_exact_posterior_of_table_counts():
+    """p(t) is in proportion to S(c, t) a^t, with generalized Stirling numbers S of the discount."""
+    import numpy as np
 
-def test_seating_has_the_expected_number_of_tables():
+    d, n = 0.5, 4000
+    for c, a in ((2, 0.3), (5, 2.0), (12, 0.8)):
+        stirling = {(1, 1): 1.0}
+        for m in range(1, c):
+            for t in range(1, m + 2):
+                stirling[m + 1, t] = stirling.get((m, t - 1), 0.0) + (m - t * d) * stirling.get((m, t), 0.0)
+        weights = np.array([stirling[c, t] * a**t for t in range(1, c + 1)])
+        rng = np.random.default_rng(1)
+        tables = lm.Tables(np.full(n, c), np.full(n, 1), np.full(n, c))
+        for _ in range(25):
+            for dishes, matrix, rows in tables.steps(np.full(n, c)):
+                tables.leave(dishes, matrix, rows, rng)
+                tables.sit(dishes, matrix, rows, np.full(len(rows), a), d, rng)
+            assert (tables.customers == c).all()
+            tables = lm.Tables(tables.customers, tables.tables, tables.sizes())
+        got = np.bincount(tables.tables, minlength=c + 1)[1:] / n
+        assert np.abs(got - weights / weights.sum()).max() < 0.04
+
+
+def test_sweeps_keep_every_customer(spark):
     import numpy as np
 
-    rng = np.random.default_rng(0)
-    exact = []
-    for _ in range(4000):
-        t = 1
-        for n in range(1, 12):
-            t += rng.random() < 0.8 / (0.8 + n - 0.5 * t)
-        exact.append(t)
-    got = lm.seat(np.full(4000, 12), np.full(4000, 0.8), 0.5, rng)
-    assert abs(got.mean() - np.mean(exact)) < 0.1
-    big = lm.seat(np.array([0, 1, 10**7]), np.array([1.0, 1.0, 1.0]), 0.5, rng)
-    assert big[0] == 0 and big[1] == 1 and 2 < big[2] < 1000
+    model = lm.Model(documents(spark, [(i, " ".join(f"w{(i * j) % 17}" for j in range(200)), "en", "s") for i in range(60)]))
+    customers = np.zeros(model.n_contexts, int)
+    for r in model.state.collect():
+        bucket = lm.Bucket(r.asDict(), model.samples[-1], model.discounts, model.vocabulary)
+        sizes, first = bucket.below.sizes(), np.cumsum(bucket.below.tables) - bucket.below.tables
+        assert (sizes > 0).all() and (np.add.reduceat(sizes, first) == bucket.counts).all()
+        above = bucket.above.sizes()
+        assert (above > 0).all() and above.sum() == bucket.below.tables.sum()
+        customers += bucket.of_context(bucket.counts, model.n_contexts)
+    assert (customers == model.context_totals).all()
+    assert 0 < model.samples[-1].of_context.sum() == model.samples[-1].customers
 
 
 def test_quality(cases):
@@ -358,18 +421,45 @@ def test_mixing(cases):
 def test_fingerprints(cases):
     for table, rows in cases:
         generated = rows is not EDGE
-        got = {r.doc_id: r for r in fingerprints.fingerprints(table, block_ids=7).collect()}
         want = brute.edited(pairs(rows))
-        assert {d: (r.n_chars, r.edited_sha256) for d, r in got.items()} == want
-        text = dict(pairs(rows))
-        prints = {}
-        for d, r in got.items():
-            assert prints.setdefault(text[d] or "", r.fingerprint) == r.fingerprint
-            assert 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
+        text = {d: t or "" for d, t in pairs(rows)}
+        order = sorted(text)
+        for block_bytes in (20_000, 8 << 20):
+            got = {r.doc_id: r for r in fingerprints.fingerprints(table, block_bytes).collect()}
+            assert {d: (r.n_chars, r.edited_sha256) for d, r in got.items()} == want
+            prints = {}
+            for d, r in got.items():
+                assert prints.setdefault(text[d], r.fingerprint) == r.fingerprint
+                follower = text[order[(order.index(d) + 1) % len(order)]]
+                half = len(text[d]) // 2
+                for near, other in ((r.near_edited, text[d][: len(text[d]) - half] + follower[:half]), (r.near_next, follower)):
+                    assert 0 <= near <= 1 and math.isclose(near, likeness_by_sets(text[d], other), abs_tol=1e-12), d
         near = [r for r in got.values() if r.n_chars > 200]
         assert not generated or sum(r.near_edited > r.near_next for r in near) >= 0.95 * len(near)
 
 
+def likeness_by_sets(a, b):
+    x, y = (set(fingerprints.paragraphs([t.encode()])[1].tolist()) for t in (a, b))
+    return 1 - len(x ^ y) / (len(x) + len(y)) if x or y else 1.0
+
+
+def test_fingerprints_are_those_of_the_text_alone_and_subtract():
+    import base64
+
+    import numpy as np
+
+    a, b = LONG, LONG.replace("w5x5", "changed", 3)
+    cells = []
+    for texts in ([a, b], [SENTENCE, a, b]):
+        prints = fingerprints.encode(len(texts), fingerprints.paragraphs([t.encode() for t in texts]))[-2:]
+        cells.append(prints)
+    assert cells[0] == cells[1]
+    x, y = (np.frombuffer(base64.b64decode(p), fingerprints.CELL) for p in cells[0])
+    _, found, done = fingerprints.peel(1, fingerprints.CELLS, x["count"].astype(np.int64) - y["count"], x["xor"] ^ y["xor"], x["check"] ^ y["check"])
+    own = [set(fingerprints.paragraphs([t.encode()])[1].tolist()) for t in (a, b)]
+    assert done.all() and set(found.tolist()) == own[0] ^ own[1] and 2 <= len(found) <= 12
+
+
 def test_peeling_counts_the_difference_exactly():
     import numpy as np
 
