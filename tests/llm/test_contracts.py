@@ -70,6 +70,44 @@ def test_license_templates_without_marks_and_wrapped(spark):
         assert {p.line for p in r.paragraphs} == {2}
 
 
+def test_license_scan_knows_what_it_does_not_know(spark):
+    """Licences of other families, wrapped or not, are unknown, those that took no part in training too."""
+    lines = [*licenses.OTHERS, *licenses.HELD_OUT, "Licensed under the Mulan Permissive Software License v2", "Licensed under the NTP License"]
+    rows = [(i, f"Some text before.\n\n{t}\n\nand after", "en", "a") for i, t in enumerate(lines)]
+    got = {r.doc_id: r for r in licenses.scan(documents(spark, rows)).collect()}
+    for i, t in enumerate(lines):
+        assert (got[i].families, got[i].n_paragraphs, got[i].n_unknown) == ([], 3, 3), t
+
+
+def test_license_gate_misses_no_template():
+    import random
+
+    weights, gate, rng = licenses.bigram_weights(), set(licenses.gate_words()), random.Random(2)
+    for t in [t for ts in licenses.TEMPLATES.values() for t in ts]:
+        grams = licenses._template_bigrams(t)
+        for _ in range(200):  # any part of the bigrams that can be confirmed has a gate word
+            some = rng.sample(grams, rng.randrange(1, len(grams) + 1))
+            if sum(weights[g] for g in some) >= licenses.CONFIRM * sum(weights[g] for g in grams):
+                assert any(set(g.split()) & gate for g in some), t
+
+
+def test_license_scores_are_those_of_the_trained_weights(spark):
+    """The plan's probability of a paragraph against the regression worked out in numpy."""
+    import numpy as np
+
+    model = licenses.classifier(spark)
+    lines = [t for ts in licenses.TEMPLATES.values() for t in ts]
+    got = {r.doc_id: r.paragraphs for r in licenses.scan(documents(spark, [(i, t, "en", "a") for i, t in enumerate(lines)])).collect()}
+    frame = spark.createDataFrame(list(enumerate(lines)), "id long, line string")
+    words = licenses._words(F.col("line"))
+    grams = dict(frame.select("id", licenses._hashed(F.concat(words, licenses._bigrams(words)))).collect())
+    for i, t in enumerate(lines):
+        z = (model.weights[grams[i]].sum(0)) / math.sqrt(len(grams[i])) + model.bias
+        p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        family = licenses.FAMILIES[int(p.argmax())]
+        assert any(x.family == family and x.probability >= p.max() - 1e-6 for x in got[i]), t
+
+
 def test_lm_scoring(cases):
     import zlib
 
