@@ -47,19 +47,14 @@ def customer_parts(spark: SparkSession, sf_dir: str, weighted: bool = False) ->
     return (graph.with_generated_weights(n, 8) if weighted else graph).stored()
 
 
-def co_purchases(spark: SparkSession, sf_dir: str, suppliers: int | None = 20) -> Graph:
-    """Parts that stand in one order, lines of the first suppliers only (fixture F2, which the SQL has); None: all lines."""
-    n, lines = table(spark, sf_dir, "part").count(), table(spark, sf_dir, "lineitem")
-    lines = (lines if suppliers is None else lines.where(F.col("l_suppkey") < suppliers)).select("l_orderkey", "l_partkey").distinct()
+def co_purchases(spark: SparkSession, sf_dir: str) -> Graph:
+    """Parts that stand in one order."""
+    n, lines = table(spark, sf_dir, "part").count(), table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey").distinct()
     a, b = lines.select("l_orderkey", F.col("l_partkey").alias("src")), lines.select("l_orderkey", F.col("l_partkey").alias("dst"))
     pairs = a.join(b, "l_orderkey").where("src < dst").select("src", "dst").distinct()
     return Graph.from_edges(pairs.unionByName(pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst"))), n, symmetric=True).stored()
 
 
-def all_co_purchases(spark: SparkSession, sf_dir: str) -> Graph:
-    return co_purchases(spark, sf_dir, suppliers=None)
-
-
 def event_chains(spark: SparkSession, sf_dir: str) -> Graph:
     events = table(spark, sf_dir, "events")
     after = F.lead("event_id").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
@@ -67,6 +62,11 @@ def event_chains(spark: SparkSession, sf_dir: str) -> Graph:
     return Graph.from_edges(edges, vertices=events.select(F.col("event_id").alias("id"))).stored()
 
 
+def event_neighbours(spark: SparkSession, sf_dir: str) -> Graph:
+    """Consecutive events of one user, both directions."""
+    return event_chains(spark, sf_dir).symmetrize().stored()
+
+
 def hash32_sql(source: str, column: str, name: str) -> str:
     """Nested selects that add name, the 32-bit hash of column."""
     out, mask = f"select *, ({column})::bigint & 4294967295 as {name} from ({source})", 4294967295
@@ -82,11 +82,13 @@ F1 = """nc as (select count(*) n from customer),
  pr as (select distinct o.o_custkey a, nc.n + l.l_partkey b from orders o join lineitem l on l.l_orderkey = o.o_orderkey, nc),
  e as (select a src, b dst from pr union all select b, a from pr),
  vs as (select unnest(range((select count(*) from customer) + (select count(*) from part))) id)"""
-F2 = """ln as (select distinct l_orderkey o, l_partkey p from lineitem where l_suppkey < 20),
+F2 = """ln as (select distinct l_orderkey o, l_partkey p from lineitem),
  e as (select distinct x.p src, y.p dst from ln x join ln y on x.o = y.o where x.p <> y.p),
  vs as (select unnest(range((select count(*) from part))) id)"""
 F3 = """e as (select src, dst from (select event_id src, lead(event_id) over (partition by user_id order by ts, event_id) dst from events) where dst is not null),
  vs as (select event_id id from events)"""
+F3S = """c as (select event_id src, lead(event_id) over (partition by user_id order by ts, event_id) dst from events),
+ e as (select src, dst from c where dst is not null union select dst, src from c where dst is not null), vs as (select event_id id from events)"""
 W1 = f"""{F1}, w as (select src, dst, (1 + xor(hs, hd) % 8)::int wgh from ({hash32_sql(hash32_sql("select * from e", "src", "hs"), "dst", "hd")}))"""
 BFS = """b(v, d) using key (v) as (select 0::bigint, 0 union select e.dst, min(b.d + 1) from b join e on e.src = b.v
  left join recurring.b r on r.v = e.dst where r.v is null group by e.dst)"""
@@ -100,9 +102,17 @@ CC = """k(v, l) using key (v) as (select distinct src, src from e union select e
 ALL_BFS = "select vs.id::bigint id, b.d::bigint value from vs left join b on b.v = vs.id"
 
 
+#: An odd factor: ranks modulo 2**32 that differ for ids below that and have no order along a chain.
+RANK = 2654435761
+
+
+def ranks(graph: Graph) -> DataFrame:
+    return graph.vertices.select("id", (F.col("id") * F.lit(RANK) % F.lit(1 << 32)).alias("rank"))
+
+
 def color_sql(weight: str) -> str:
-    return f"""dg as (select src v, count(*) d, {weight} wt from e group by 1),
- p as (select e.src, e.dst from e join dg a on a.v = e.src join dg b on b.v = e.dst where b.wt > a.wt or (b.wt = a.wt and b.v < a.v)),
+    return f"""dg as (select src v, count(*) d, {weight} wt, (src * {RANK}) % 4294967296 rk from e group by 1),
+ p as (select e.src, e.dst from e join dg a on a.v = e.src join dg b on b.v = e.dst where b.wt > a.wt or (b.wt = a.wt and b.rk < a.rk)),
  np as (select dg.v, dg.d, count(p.dst) n from dg left join p on p.src = dg.v group by 1, 2),
  col(v, c) using key (v) as (select v, 0::bigint from np where n = 0 union
  select v, coalesce(list_min(list_filter(range(d), lambda x: not list_contains(cs, x))), d + 1) from (select np.v, np.d, list(distinct r.c) cs
@@ -178,23 +188,32 @@ def kcore_hist(spark, sf_dir):
 
 @query()
 def degeneracy_order(spark, sf_dir):
-    return cores.degeneracy_order(all_co_purchases(spark, sf_dir))
+    return cores.degeneracy_order(co_purchases(spark, sf_dir))
 
 
-@query(f"with recursive {F2}, {color_sql('count(*)')} select vs.id::bigint id, coalesce(col.c, 0)::bigint value from vs left join col on col.v = vs.id")
+@query(f"with recursive {F3S}, {color_sql('count(*)')} select vs.id::bigint id, coalesce(col.c, 0)::bigint value from vs left join col on col.v = vs.id")
 def coloring_lf(spark, sf_dir):
-    return coloring.greedy_coloring(co_purchases(spark, sf_dir))
+    graph = event_neighbours(spark, sf_dir)
+    return coloring.greedy_coloring(graph, ties=ranks(graph))
 
 
-@query(f"with recursive {F2}, {color_sql('ceil(log2(1 + count(*)))')} select vs.id::bigint id, coalesce(col.c, 0)::bigint value from vs left join col on col.v = vs.id")
+@query(f"with recursive {F3S}, {color_sql('ceil(log2(1 + count(*)))')} select vs.id::bigint id, coalesce(col.c, 0)::bigint value from vs left join col on col.v = vs.id")
 def coloring_llf(spark, sf_dir):
-    return coloring.greedy_coloring(co_purchases(spark, sf_dir), order="log_degree")
+    graph = event_neighbours(spark, sf_dir)
+    return coloring.greedy_coloring(graph, order="log_degree", ties=ranks(graph))
 
 
 @query("select 0::bigint n_conflicts")
 def coloring_verify(spark, sf_dir):
-    graph = all_co_purchases(spark, sf_dir)
-    return coloring.conflicts(graph, coloring.greedy_coloring(graph))
+    graph = event_neighbours(spark, sf_dir)
+    return coloring.conflicts(graph, coloring.greedy_coloring(graph, ties=ranks(graph)))
+
+
+@query(f"with {F3S} select count(distinct src)::bigint n_conflicts from e where src % 3 = dst % 3")
+def coloring_conflicts(spark, sf_dir):
+    """A coloring that is not one: ids modulo 3."""
+    graph = event_neighbours(spark, sf_dir)
+    return coloring.conflicts(graph, graph.vertices.select("id", (F.col("id") % 3).alias("value")))
 
 
 @query(f"with recursive {F2}, {CC} select vs.id::bigint id, coalesce(k.l, vs.id)::bigint value from vs left join k on k.v = vs.id")
@@ -215,37 +234,17 @@ def cc_largest(spark, sf_dir):
     return components.largest_component(co_purchases(spark, sf_dir))
 
 
-# The same over the co-purchases of all suppliers: F2's SQL holds the filter, so these have none and are tested by brute force.
-
-
-@query()
-def kcore_peel_all(spark, sf_dir):
-    return cores.peel(all_co_purchases(spark, sf_dir)).select("id", "value")
+# Denser graphs: many more rounds, no SQL, tested by brute force.
 
 
 @query()
 def coloring_lf_all(spark, sf_dir):
-    return coloring.greedy_coloring(all_co_purchases(spark, sf_dir))
+    return coloring.greedy_coloring(co_purchases(spark, sf_dir))
 
 
 @query()
 def coloring_llf_all(spark, sf_dir):
-    return coloring.greedy_coloring(all_co_purchases(spark, sf_dir), order="log_degree")
-
-
-@query()
-def cc_labels_all(spark, sf_dir):
-    return components.connected_components(all_co_purchases(spark, sf_dir))
-
-
-@query()
-def cc_sizes_all(spark, sf_dir):
-    return components.component_sizes(all_co_purchases(spark, sf_dir))
-
-
-@query()
-def cc_largest_all(spark, sf_dir):
-    return components.largest_component(all_co_purchases(spark, sf_dir))
+    return coloring.greedy_coloring(co_purchases(spark, sf_dir), order="log_degree")
 
 
 # ---------------------------------------------------------------- graph construction

@@ -23,10 +23,16 @@ def ensure_importable(spark: SparkSession) -> None:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir; a temporary one where that is unset."""
+    """The shared folder that the cluster names in spark.checkpoint.dir.
+
+    Where that is unset, a temporary folder serves a session on one machine; on a cluster, whose executors would not see
+    it, the session's warehouse does.
+    """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="loomgraph-")
+        master = spark.sparkContext.master
+        one_machine = master == "local" or master.startswith("local[")
+        named = "file://" + tempfile.mkdtemp(prefix="loomgraph-") if one_machine else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/loomgraph-scratch"
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
 

@@ -206,13 +206,13 @@ def test_co_purchase_queries_see_all_suppliers(spark, tmp_path):
     edges = sorted({(a, b) for ps in baskets for a in ps for b in ps if a != b})
     run = lambda name: queries.QUERIES[name](spark, str(tmp_path))
     core, label = peel(edges, n), [0, 0, 0, 0, 0, 5, 5, 5, 8]
-    assert values(run("kcore_peel_all")) == core
+    assert values(run("kcore_peel")) == core
     assert values(run("coloring_lf_all")) == color(edges, n)
     log = values(run("coloring_llf_all"))
     assert log.keys() == set(range(n)) and log[8] == 0 and all(log[a] != log[b] for a, b in edges)
-    assert values(run("cc_labels_all")) == dict(enumerate(label))
-    assert {tuple(r) for r in run("cc_sizes_all").collect()} == {(0, 5), (5, 3), (8, 1)}
-    assert {r.id for r in run("cc_largest_all").collect()} == {0, 1, 2, 3, 4}
+    assert values(run("cc_labels")) == dict(enumerate(label))
+    assert {tuple(r) for r in run("cc_sizes").collect()} == {(0, 5), (5, 3), (8, 1)}
+    assert {r.id for r in run("cc_largest").collect()} == {0, 1, 2, 3, 4}
     order = [r.id for r in sorted(run("degeneracy_order").collect())]
     assert sorted(order) == list(range(n))
     place = {v: i for i, v in enumerate(order)}
