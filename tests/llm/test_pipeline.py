@@ -53,4 +53,4 @@ def test_stages(spark):
 
 def test_run(spark):
     out = corpus_pipeline.run(spark, SF)
-    assert out.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] and out.count() > 0
+    assert out.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "copy"] and out.count() > 0
