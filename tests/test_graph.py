@@ -198,6 +198,7 @@ def test_fingerprint_is_order_dependent(spark):
 def test_co_purchase_queries_see_all_suppliers(spark, tmp_path):
     """Lines of suppliers from 20 on: all cores, colors and components would be those of isolated vertices without them."""
     from loomgraph import queries
+    from loomgraph.plans import coloring
 
     n, baskets = 9, [(0, 1, 2, 3), (3, 4), (5, 6, 7), (0, 1)]
     lines = [(o, p, 15 + 3 * i) for o, ps in enumerate(baskets) for i, p in enumerate(ps)]
@@ -218,4 +219,6 @@ def test_co_purchase_queries_see_all_suppliers(spark, tmp_path):
     place = {v: i for i, v in enumerate(order)}
     later = [sum(place[b] > place[a] for x, b in edges if x == a) for a in order]
     assert max(later) == max(core.values()) == 3
-    assert queries.QUERIES["coloring_verify"](spark, str(tmp_path)).first().n_conflicts == 0
+    graph = queries.co_purchases(spark, str(tmp_path))
+    assert coloring.conflicts(graph, run("coloring_lf_all")).first().n_conflicts == 0
+    assert coloring.conflicts(graph, graph.vertices.selectExpr("id", "0L as value")).first().n_conflicts == 8
