@@ -25,8 +25,12 @@ HASH32_2_ADD, HASH32_2_OR = 0x6D2B79F5, (1, 61)
 HASH32_3_ADD, HASH32_3_MULTIPLY = 0x9E3779B9, (0x85EBCA6B, 0xC2B2AE3D)
 #: Fixed values of the 64-bit hashes.
 HASH64_LINEAR, HASH64_MULTIPLY = (3935559000370003845, 2691343689449507681), 4768777513237032717
+#: Right, left, right before the product; left, right, left after it.
+HASH64_SHIFTS = (21, 37, 4, 20, 41, 5)
 HASH64_2_ROUNDS = [(30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)]
 MIX64_MULTIPLY = (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53)
+#: Fixed value: how far the seeds of a generator's children lie apart.
+GENERATOR_STRIDE = 0x7FFFFFFF
 
 
 def _cut(x: Column) -> Column:
@@ -69,12 +73,13 @@ def hash32_3(x: Column) -> Column:
 def np_hash64(u: np.ndarray) -> np.ndarray:
     u = np.asarray(u).astype(np.uint64)
     v = u * np.uint64(HASH64_LINEAR[0]) + np.uint64(HASH64_LINEAR[1])
-    for by in (-21, 37, -4):
-        v ^= v << np.uint64(by) if by > 0 else v >> np.uint64(-by)
+    v ^= v >> np.uint64(HASH64_SHIFTS[0])
+    v ^= v << np.uint64(HASH64_SHIFTS[1])
+    v ^= v >> np.uint64(HASH64_SHIFTS[2])
     v = v * np.uint64(HASH64_MULTIPLY)
-    for by in (20, -41, 5):
-        v ^= v << np.uint64(by) if by > 0 else v >> np.uint64(-by)
-    return v
+    v ^= v << np.uint64(HASH64_SHIFTS[3])
+    v ^= v >> np.uint64(HASH64_SHIFTS[4])
+    return v ^ v << np.uint64(HASH64_SHIFTS[5])
 
 
 def np_hash64_2(x: np.ndarray) -> np.ndarray:
@@ -126,6 +131,21 @@ def log2_up(x: Column) -> Column:
     return F.when(x == 1, F.lit(0)).otherwise(F.length(F.bin(x - 1)))
 
 
+def ith_random(i: Column, state: int = 0) -> Column:
+    """The i-th number of the generator in that state, as the LONG of the same bits."""
+    return hash64(i + F.lit(state))
+
+
+def fork(i: Column, state: int = 0) -> Column:
+    """The state of the i-th generator forked from that state."""
+    return hash64(hash64(i + F.lit(state)))
+
+
+def generator_at(i: Column, state: int = 0) -> Column:
+    """The state of a generator's i-th child."""
+    return hash64((i + 1) * F.lit(GENERATOR_STRIDE) + F.lit(state))
+
+
 def random_permutation(n: int) -> np.ndarray:
     """The library-wide default permutation of 0..n-1 for small n: a shuffle that swaps by hash64. Driver side, harness only."""
     if n >= 8192:

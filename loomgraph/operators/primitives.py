@@ -11,6 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from loomgraph.session import materialize
+
 MONOIDS: dict[str, tuple[Callable[[Column], Column], object]] = {
     "plus": (F.sum, 0), "multiplies": (F.product, 1.0), "logical_and": (F.bool_and, True), "logical_or": (F.bool_or, False),
     "bit_and": (F.bit_and, -1), "bit_or": (F.bit_or, 0), "bit_xor": (F.bit_xor, 0), "maximum": (F.max, None), "minimum": (F.min, None),
@@ -21,9 +23,40 @@ def tabulate(spark: SparkSession, n: int, **columns: Column) -> DataFrame:
     return spark.range(n).withColumns(columns)
 
 
+def numbered(df: DataFrame, *order: str, weight: str | None = None) -> DataFrame:
+    """df with place: how many rows (or the sum of weight over the rows) stand before, in the order of those columns.
+
+    order must settle ties. The range-partitioned sort is written once, since a second run could cut its parts elsewhere;
+    a part then counts as one row, so no task orders more than its part or one row for each part.
+    """
+    rows = materialize(df.orderBy(*order).withColumn("sort_at", F.monotonically_increasing_id()), "sorted")
+    rows = rows.withColumn("sort_part", F.shiftright("sort_at", 33))
+    sums = rows.groupBy(F.col("sort_part").alias("sum_part")).agg((F.count(F.lit(1)) if weight is None else F.sum(weight)).alias("sum_n"))
+    ahead = sums.select("sum_part", (F.sum("sum_n").over(Window.orderBy("sum_part")) - F.col("sum_n")).alias("ahead"))
+    if weight is None:
+        inside = F.col("sort_at") - F.shiftleft("sort_part", 33)
+    else:
+        inside = F.sum(weight).over(Window.partitionBy("sort_part").orderBy("sort_at")) - F.col(weight)
+    # Broadcast: one row for each shuffle partition.
+    joined = rows.join(F.broadcast(ahead), F.col("sort_part") == F.col("sum_part"))
+    return joined.withColumn("place", F.col("ahead") + inside).drop("sort_at", "sort_part", "sum_part", "ahead")
+
+
+def _ranked(df: DataFrame, name: str, order: list[str], by: tuple[str, ...]) -> DataFrame:
+    """Places in the global order by (by, order), less the first place of each group: no group is one task's."""
+    rows = numbered(df, *by, *order)
+    if not by:
+        return rows.withColumnRenamed("place", name)
+    first = rows.groupBy(*[F.col(c).alias(f"group_{c}") for c in by]).agg(F.min("place").alias("first_place"))
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"group_{c}"))
+    return rows.join(first, same).withColumn(name, F.col("place") - F.col("first_place")).drop("place", "first_place", *[f"group_{c}" for c in by])
+
+
 def partition(df: DataFrame, flag: Column, pos: str, *by: str) -> DataFrame:
     """New positions: rows without the flag first, each side in its old order."""
-    return df.withColumn("new_pos", F.row_number().over(Window.partitionBy(*by).orderBy(flag.cast("int"), pos)) - 1)
+    return _ranked(df.withColumn("side_flag", flag.cast("int")), "new_pos", ["side_flag", pos], by).drop("side_flag")
 
 
 def reduce(df: DataFrame, value: Column, monoid: str, identity=None) -> DataFrame:
@@ -85,7 +118,7 @@ def long_scan(df: DataFrame, value: str, pos: str, block: int = 1 << 16) -> Data
 
 def rank(df: DataFrame, value: str, pos: str, *by: str) -> DataFrame:
     """rank: position from 0 in the stable sort by value."""
-    return df.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(value, pos)) - 1)
+    return _ranked(df, "rank", [value, pos], by)
 
 
 def unique(df: DataFrame, value: str, pos: str, *by: str) -> DataFrame:
@@ -113,11 +146,14 @@ def stable_sort(df: DataFrame, key: str, pos: str) -> DataFrame:
 
 
 def counting_sort(df: DataFrame, key: str, pos: str) -> DataFrame:
-    """new_pos: place in the stable sort by a key of few values, from counts of keys and ranks inside them."""
-    counts = df.groupBy(F.col(key).alias("c_key")).agg(F.count(F.lit(1)).alias("n"))
-    ahead = counts.select("c_key", (F.sum("n").over(Window.orderBy("c_key")) - F.col("n")).alias("first"))
-    inside = F.row_number().over(Window.partitionBy(key).orderBy(pos)) - 1
-    return df.join(ahead, F.col(key) == F.col("c_key")).withColumn("new_pos", F.col("first") + inside).drop("c_key", "first")
+    """new_pos: place in the stable sort by key."""
+    return _ranked(df, "new_pos", [key, pos], ())
+
+
+def bucket_offsets(df: DataFrame, key: str) -> DataFrame:
+    """(key, first, n): where the rows of a key start in the sort by it, and how many there are."""
+    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    return numbered(counts, key, weight="n").select(key, F.col("place").alias("first"), "n")
 
 
 def kth_smallest(df: DataFrame, value: str, k: int) -> DataFrame:
@@ -134,9 +170,7 @@ def lower_bound(df: DataFrame, value: str, probes: DataFrame, probe: str) -> Dat
     """(probe, place): how many values are smaller. Counts by value are merged with the probes in one order."""
     values = df.groupBy(F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("n")).select("v", "n", F.lit(1).alias("kind"))
     asked = probes.select(F.col(probe).alias("v"), F.lit(0).cast("long").alias("n"), F.lit(0).alias("kind")).distinct()
-    below = Window.orderBy("v", "kind").rowsBetween(Window.unboundedPreceding, -1)
-    both = values.unionByName(asked).withColumn("place", F.coalesce(F.sum("n").over(below), F.lit(0)))
-    return both.where("kind = 0").select(F.col("v").alias(probe), "place")
+    return numbered(values.unionByName(asked), "v", "kind", weight="n").where("kind = 0").select(F.col("v").alias(probe), "place")
 
 
 def find_if(df: DataFrame, predicate: Column, pos: str, n: int) -> DataFrame:

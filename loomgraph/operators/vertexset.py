@@ -44,6 +44,10 @@ class VertexSet:
         """Members that insert(others) would add."""
         return VertexSet(others.ids.distinct().join(self.ids, "id", "left_anti"))
 
+    def newly_removed(self, others: VertexSet) -> VertexSet:
+        """Members that remove(others) would take away."""
+        return self.intersect(others)
+
     def each(self, attributes: DataFrame, **columns: Column) -> DataFrame:
         """Members with columns computed from attributes(id, ...)."""
         return self.ids.join(attributes, "id").withColumns(columns)
@@ -86,6 +90,12 @@ class Frontier:
     def remove_next(self, others: VertexSet) -> None:
         self.next = self.next.remove(others)
 
+    def contains_next(self, others: DataFrame) -> DataFrame:
+        return self.next.contains(others)
+
+    def empty_next(self) -> bool:
+        return self.next.is_empty()
+
     def advance(self) -> bool:
         """Swap; False if the new round has no member."""
         self.now = VertexSet(materialize(self.next.ids, "frontier"))

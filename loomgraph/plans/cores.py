@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.graph import Graph
+from loomgraph.operators.primitives import numbered
 from loomgraph.plans.superstep import Supersteps
 from loomgraph.session import materialize
 
@@ -48,20 +51,16 @@ def peel(graph: Graph, load: DataFrame | None = None, steps: Supersteps | None =
     gone, k, turn = None, 0, 0
     steps = steps or Supersteps()
     while (low := left.agg(F.min("deg")).first()[0]) is not None:
-        k = max(k, low)
+        began, k = time.time(), max(k, low)
         out = materialize(left.where(F.col("deg") <= k).select("id", F.lit(k).cast("long").alias("value"), F.lit(turn).alias("turn")), "peeled")
         gone = out if gone is None else gone.unionByName(out)
         lost = edges.join(out.select(F.col("id").alias("o_id")), F.col("src") == F.col("o_id"), "left_semi").groupBy(F.col("dst").alias("d_id")).agg(F.count(F.lit(1)).alias("lost"))
         left = materialize(left.where(F.col("deg") > k).join(lost, F.col("id") == F.col("d_id"), "left").select("id", (F.col("deg") - F.coalesce("lost", F.lit(0))).alias("deg")), "left")
-        steps.log.append((turn, out.count(), 0.0))
+        steps.log.append((turn, out.count(), time.time() - began))
         turn += 1
     return gone if gone is not None else left.select("id", F.col("deg").alias("value"), F.lit(0).alias("turn"))
 
 
 def degeneracy_order(graph: Graph, load: DataFrame | None = None) -> DataFrame:
-    """(pos, id): vertices in peel order, by id inside a round. Global positions from per-round counts."""
-    peeled = materialize(peel(graph, load), "order")
-    sizes = peeled.groupBy("turn").agg(F.count(F.lit(1)).alias("n"))  # one row for each round
-    ahead = sizes.select(F.col("turn").alias("t"), (F.sum("n").over(Window.orderBy("turn")) - F.col("n")).alias("ahead"))
-    place = F.row_number().over(Window.partitionBy("turn").orderBy("id")) - 1
-    return peeled.withColumn("place", place).join(ahead, F.col("turn") == F.col("t")).select((F.col("ahead") + F.col("place")).alias("pos"), "id")
+    """(pos, id): vertices in peel order, by id inside a round."""
+    return numbered(peel(graph, load).select("turn", "id"), "turn", "id").select(F.col("place").alias("pos"), "id")

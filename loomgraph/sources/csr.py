@@ -90,25 +90,51 @@ def read_double(spark: SparkSession, path: str) -> tuple[Graph, Graph]:
     return read_binary(spark, path, part=0, symmetric=False), read_binary(spark, path, part=1, symmetric=False)
 
 
+def _packed(rows: DataFrame, kind: np.dtype):
+    """The records of rows in order, in chunks of bytes that the tasks encode."""
+
+    def encode(batches):
+        for batch in batches:
+            records = np.empty(batch.num_rows, kind)
+            for name in kind.names:
+                records[name] = batch.column(name).to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array([records.tobytes()], pa.binary())], names=["chunk"])
+
+    for row in rows.mapInArrow(encode, "chunk binary").toLocalIterator():
+        yield row["chunk"]
+
+
 def write_binary(graph: Graph, path: str) -> None:
-    """One local CSR file, sorted by source and target. The format is one file: rows stream in, a partition at a time."""
+    """One CSR file, sorted by source and target, in a folder that the driver can open.
+
+    The format is one file: tasks sort and encode, the driver only appends their chunks, one partition at a time.
+    """
     n, m = graph.vertices.count(), graph.edges.count()
     size = HEADER_BYTES + 8 * (n + 1) + (8 if graph.weighted else 4) * m
-    with open(path, "wb") as out:
+    weight = "<f4" if dict(graph.edges.dtypes).get("wgh") == "float" else "<i4"
+    record = np.dtype(([("wgh", weight)] if graph.weighted else []) + [("dst", "<u4")])
+    with open(path.removeprefix("file://"), "wb") as out:
         out.write(np.array([n, m, size], "<u8").tobytes())
-        for row in graph.offsets().orderBy("id").toLocalIterator():
-            out.write(int(row["first"]).to_bytes(8, "little"))
+        for chunk in _packed(graph.offsets().orderBy("id").select("first"), np.dtype([("first", "<u8")])):
+            out.write(chunk)
         out.write(m.to_bytes(8, "little"))
-        weight = "<f4" if dict(graph.edges.dtypes).get("wgh") == "float" else "<i4"
-        for row in graph.edges.orderBy("src", "dst").toLocalIterator():
-            if graph.weighted:
-                out.write(np.array([row["wgh"]], weight).tobytes())
-            out.write(int(row["dst"]).to_bytes(4, "little"))
+        for chunk in _packed(graph.edges.orderBy("src", *record.names[::-1]).select(*record.names), record):
+            out.write(chunk)
+
+
+def write_weighted(spark: SparkSession, path: str, folder: str, limit: int = 0) -> str:
+    """Reads a graph file, generates its weights and writes the binary file with the weights' name to folder."""
+    out = f"{folder.rstrip('/')}/{weighted_name(path, limit)}"
+    write_binary(read_graph(spark, path, weight_limit=limit), out)
+    return out
 
 
 def _numbered(spark: SparkSession, path: str) -> DataFrame:
-    """(pos, token) of a text file: positions from counts of file blocks, then of lines in a block."""
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    """(pos, token) of a text file: positions from counts of file blocks, then of lines in a block.
+
+    Of a folder, the files follow each other by name.
+    """
+    lines = spark.read.text(path).select("value", F.struct("_metadata.file_path", "_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
     counted = lines.select("block", "line", tokens(F.col("value")).alias("t")).withColumn("n", F.size("t"))
     blocks = counted.groupBy(F.col("block").alias("b")).agg(F.sum("n").alias("n"))
     ahead = blocks.select("b", (F.sum("n").over(Window.orderBy("b")) - F.col("n")).alias("ahead"))
@@ -140,6 +166,16 @@ def read_adjacency(spark: SparkSession, path: str, weight: str | None = None, sy
     return Graph.from_edges(edges.select("src", "dst", *(["wgh"] if weight is not None else [])), n, symmetric=known)
 
 
+def read_both(spark: SparkSession, path: str, symmetric: bool | None = None) -> tuple[Graph, Graph]:
+    """A graph and its inverse: itself if symmetric, the second block of a binary file that has two, else the transpose."""
+    if path.endswith(".bin") and not (is_symmetric_name(path) if symmetric is None else symmetric):
+        head = spark.read.format("binaryFile").load(path).select("length", F.substring("content", 1, HEADER_BYTES).alias("head")).first()
+        if head["length"] > int(np.frombuffer(head["head"], "<u8")[2]):
+            return read_double(spark, path)
+    graph = read_graph(spark, path, symmetric=symmetric)
+    return graph, graph.transpose()
+
+
 def write_adjacency(graph: Graph, path: str) -> None:
     """A folder of text parts, one token a line, that read in order (and as a folder) as the file."""
     spark = graph.edges.sparkSession
@@ -152,7 +188,7 @@ def write_adjacency(graph: Graph, path: str) -> None:
     rows = head
     for part in parts:
         rows = rows.unionByName(part)
-    rows.orderBy("part", "a", "b").select("token").coalesce(1).write.text(path)
+    rows.orderBy("part", "a", "b", "token").select("token").write.text(path)
 
 
 def read_graph(spark: SparkSession, path: str, weight: str | None = None, weight_limit: int | None = None, symmetric: bool | None = None) -> Graph:

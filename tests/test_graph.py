@@ -222,3 +222,91 @@ def test_co_purchase_queries_see_all_suppliers(spark, tmp_path):
     graph = queries.co_purchases(spark, str(tmp_path))
     assert coloring.conflicts(graph, run("coloring_lf_all")).first().n_conflicts == 0
     assert coloring.conflicts(graph, graph.vertices.selectExpr("id", "0L as value")).first().n_conflicts == 8
+
+
+def test_ranks_over_sorted_parts(spark):
+    """Hot groups, ties by position, null groups, and an empty table."""
+    from loomgraph.operators import primitives as P
+
+    rows = [(i, (i * 37) % 11, "a" if i % 3 else None, i % 5 == 0) for i in range(400)]
+    df = spark.createDataFrame(rows, "pos long, v long, g string, flag boolean").repartition(7)
+    got = {r.pos: r["rank"] for r in P.rank(df, "v", "pos", "g").collect()}
+    for g in ("a", None):
+        want = sorted((v, p) for p, v, h, _ in rows if h == g)
+        assert [got[p] for _, p in want] == list(range(len(want)))
+    side = {r.pos: r.new_pos for r in P.partition(df, F.col("flag"), "pos").collect()}
+    assert side == {p: i for i, (_, p) in enumerate(sorted((f, p) for p, _, _, f in rows))}
+    assert P.rank(df.where("false"), "v", "pos").count() == 0
+    bound = {r.p: r.place for r in P.lower_bound(df, "v", spark.createDataFrame([(-1,), (4,), (4,), (99,)], "p long"), "p").collect()}
+    assert bound == {-1: 0, 4: sum(v < 4 for _, v, _, _ in rows), 99: 400}
+    assert {tuple(r) for r in P.bucket_offsets(df, "v").collect()} == {(k, sum(v < k for _, v, _, _ in rows), sum(v == k for _, v, _, _ in rows)) for k in range(11)}
+
+
+def plain_hash64(x):
+    m = 2**64 - 1
+    v = (x * 3935559000370003845 + 2691343689449507681) & m
+    v ^= v >> 21
+    v ^= v << 37 & m
+    v ^= v >> 4
+    v = v * 4768777513237032717 & m
+    v ^= v << 20 & m
+    v ^= v >> 41
+    return v ^ v << 5 & m
+
+
+@pytest.mark.parametrize("n", [0, 1, 50, 9000])
+def test_random_order(spark, n):
+    from loomgraph.operators import sequences as S
+
+    def knuth(xs, state):
+        for i in range(len(xs) - 1, 0, -1):
+            j = plain_hash64((i + state) % 2**64) % (i + 1)
+            xs[i], xs[j] = xs[j], xs[i]
+        return xs
+
+    want = knuth(list(range(n)), 0)
+    if n >= 8192:
+        bits = (14 - 7) // 2
+        want = [x for b in range(1 << bits) for x in knuth([i for i in range(n) if plain_hash64(i) % (1 << bits) == b], plain_hash64(plain_hash64(b)))]
+    got = [r.value for r in S.random_order(spark, n).orderBy("pos").collect()]
+    assert got == want
+
+
+def test_sequence_edges(spark):
+    from loomgraph.operators import sequences as S
+
+    seq = lambda xs: spark.createDataFrame(list(enumerate(xs)), "pos long, v string")
+    text, none = seq("abcabcab"), seq("")
+    one = lambda df: tuple(df.first())
+    assert one(S.find_span(text, seq("abc"), "v", "pos", 8)) == (0,) and one(S.find_span(text, seq("abc"), "v", "pos", 8, last=True)) == (3,)
+    assert one(S.find_span(text, seq("ba"), "v", "pos", 8)) == (8,)
+    assert one(S.find_span(text, none, "v", "pos", 8)) == (0,) and one(S.find_span(text, none, "v", "pos", 8, last=True)) == (8,)
+    for a, b in [("abc", "abc"), ("ab", "abc"), ("abc", "ab"), ("abd", "abc"), ("", ""), ("", "a")]:
+        assert one(S.compare(seq(a), seq(b), "v", "pos")) == (a == b, a < b)
+    assert one(S.is_partitioned(none, F.col("v") == "a", "pos")) == (True,)
+    assert one(S.find_first_of(text, seq("xcb"), "v", "pos", 8)) == (1,)
+
+
+def test_results_are_recorded(spark, tmp_path):
+    result = spark.createDataFrame([(0, 1), (1, 2), (2, None)], "id long, value long")
+    empty = [spark.createDataFrame([], "name string")] * 2
+    times, checks = R.record_result(result, 1.5, *empty, "g1", "bfs", dump=str(tmp_path / "dump"))
+    assert tuple(times.first()) == ("g1", 1.5) and checks.first()["bfs"] == R.fingerprint(result)
+    again, _ = R.record_result(result, 0.5, times, checks, "g1", "bfs")
+    assert tuple(again.first()) == ("g1", 0.5) and spark.read.csv(str(tmp_path / "dump")).count() == 3
+
+
+def test_two_block_file_and_weighing_tool(spark, tmp_path):
+    g = random_graph(spark, 30, 80, symmetric=False)
+    want = sorted(map(tuple, g.edges.collect()))
+    one, two = str(tmp_path / "one.bin"), str(tmp_path / "two.bin")
+    csr.write_binary(g, one)
+    back = str(tmp_path / "back.bin")
+    csr.write_binary(g.transpose(), back)
+    with open(two, "wb") as out:
+        out.write(open(one, "rb").read() + open(back, "rb").read())
+    for path in (one, two):
+        there, inverse = csr.read_both(spark, path)
+        assert sorted(map(tuple, there.edges.collect())) == want and sorted((b, a) for a, b in inverse.edges.collect()) == want
+    named = csr.write_weighted(spark, one, str(tmp_path), 5)
+    assert named.endswith("one_wgh5.bin") and sorted(map(tuple, csr.read_graph(spark, named, "int").edges.collect())) == sorted(map(tuple, g.with_generated_weights(30, 5).edges.collect()))
