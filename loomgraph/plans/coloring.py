@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.functions.hashing import log2_up
 from loomgraph.graph import Graph
 from loomgraph.plans.superstep import Supersteps
-from loomgraph.session import materialize
+from loomgraph.session import as_one, discard, materialize
 
 
 def greedy_coloring(graph: Graph, order: str = "degree", ties: DataFrame | None = None, steps: Supersteps | None = None) -> DataFrame:
@@ -36,25 +38,30 @@ def greedy_coloring(graph: Graph, order: str = "degree", ties: DataFrame | None
     def step(turn: int, state: dict):
         fresh = state["front"].select(F.col("id").alias("c_id"))
         done = before.join(fresh, F.col("dst") == F.col("c_id"), "left_semi").groupBy(F.col("src").alias("d_id")).agg(F.count(F.lit(1)).alias("done"))
-        left = materialize(state["open"].where("waiting > 0").join(done, F.col("id") == F.col("d_id"), "left").select("id", "deg", (F.col("waiting") - F.coalesce("done", F.lit(0))).alias("waiting")), "open")
+        old = state["open"]
+        left = materialize(old.where("waiting > 0").join(done, F.col("id") == F.col("d_id"), "left").select("id", "deg", (F.col("waiting") - F.coalesce("done", F.lit(0))).alias("waiting")), "open")
         ready = left.where("waiting = 0").select(F.col("id").alias("r_id"), "deg")
         used = (
-            before.join(ready, F.col("src") == F.col("r_id")).join(state["colored"].select(F.col("id").alias("n_id"), "value"), F.col("dst") == F.col("n_id"))
+            before.join(ready, F.col("src") == F.col("r_id")).join(as_one(colors).select(F.col("id").alias("n_id"), "value"), F.col("dst") == F.col("n_id"))
             .groupBy(F.col("src").alias("id"), "deg").agg(F.collect_set("value").alias("used"))
         )
         # As many candidates as there are used colors, plus one, hold a free color; only those below the degree count.
         free = F.array_min(F.array_except(F.sequence(F.lit(0).cast("long"), F.size("used").cast("long")), F.col("used")))
         new = materialize(used.select("id", F.when(free < F.col("deg"), free).otherwise(F.col("deg") + 1).alias("value")), "colored")
-        return {"open": left, "front": new, "colored": materialize(state["colored"].select("id", "value").unionByName(new), "colored")}, "front"
+        colors.append(new)
+        discard(old)
+        return {"open": left, "front": new}
 
-    state, turn = {"open": start, "front": colored, "colored": colored}, 0
+    # Colors stay where each round wrote them and are scanned together.
+    colors, state, turn = [colored], {"open": start, "front": colored}, 0
     while True:
-        state, _ = step(turn, state)
+        began = time.time()
+        state = step(turn, state)
         size = state["front"].count()
-        steps.log.append((turn, size, 0.0))
+        steps.log.append((turn, size, time.time() - began))
         turn += 1
         if not size:
-            return state["colored"]
+            return as_one(colors)
 
 
 def conflicts(graph: Graph, colors: DataFrame) -> DataFrame:

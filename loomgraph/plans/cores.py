@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from loomgraph.graph import Graph
 from loomgraph.operators.primitives import numbered
 from loomgraph.plans.superstep import Supersteps
-from loomgraph.session import materialize
+from loomgraph.session import as_one, discard, materialize
 
 
 def core_numbers(graph: Graph, steps: Supersteps | None = None) -> DataFrame:
@@ -22,11 +22,13 @@ def core_numbers(graph: Graph, steps: Supersteps | None = None) -> DataFrame:
     steps = steps or Supersteps()
     edges = graph.edges.select("src", "dst")
     start = materialize(graph.degrees().select("id", F.col("deg").alias("value")), "cores")
-    busy = materialize(start.where("value > 0").select("id"), "front")
 
     def step(turn: int, state: dict):
-        values = state["values"]
-        mine = values.join(state["front"].select(F.col("id").alias("f_id")), F.col("id") == F.col("f_id"), "left_semi").select(F.col("id").alias("m_id"), F.col("value").alias("own"))
+        values, front = state["values"], F.col("value") > 0
+        mine = values.where(front).select(F.col("id").alias("m_id"), F.col("value").alias("own"))
+        if turn:
+            touched = edges.join(state["lower"], F.col("dst") == F.col("l_id"), "left_semi").select(F.col("src").alias("t_id"))
+            mine = mine.join(touched, F.col("m_id") == F.col("t_id"), "left_semi")
         other = values.select(F.col("id").alias("n_id"), F.col("value").alias("theirs"))
         near = edges.join(mine, F.col("src") == F.col("m_id")).join(other, F.col("dst") == F.col("n_id"))
         counts = near.groupBy("src", "own", F.least("own", "theirs").alias("level")).agg(F.count(F.lit(1)).alias("n"))
@@ -34,10 +36,9 @@ def core_numbers(graph: Graph, steps: Supersteps | None = None) -> DataFrame:
         lower = counts.withColumn("upto", upto).groupBy("src", "own").agg(F.max(F.least("level", "upto")).alias("new")).where("new < own")
         lower = materialize(lower.select(F.col("src").alias("l_id"), "new"), "lower")
         values = values.join(lower, F.col("id") == F.col("l_id"), "left").select("id", F.coalesce("new", "value").alias("value"))
-        touched = edges.join(lower, F.col("dst") == F.col("l_id"), "left_semi").select(F.col("src").alias("id")).distinct()
-        return {"values": values, "front": touched}, "front"
+        return {"values": values, "lower": lower}, "lower"
 
-    return steps.run({"values": start, "front": busy}, step)["values"]
+    return steps.run({"values": start}, step)["values"]
 
 
 def peel(graph: Graph, load: DataFrame | None = None, steps: Supersteps | None = None) -> DataFrame:
@@ -48,17 +49,24 @@ def peel(graph: Graph, load: DataFrame | None = None, steps: Supersteps | None =
     """
     edges = graph.edges.select("src", "dst")
     left = materialize((load or graph.degrees()).select("id", "deg"), "left")
-    gone, k, turn = None, 0, 0
+    gone, k, turn, n = [], 0, 0, None
     steps = steps or Supersteps()
-    while (low := left.agg(F.min("deg")).first()[0]) is not None:
-        began, k = time.time(), max(k, low)
+    began = time.time()
+    while True:
+        low, rest = left.agg(F.min("deg"), F.count(F.lit(1))).first()
+        if n is not None:
+            steps.log.append((turn - 1, n - rest, time.time() - began))
+        if low is None:
+            break
+        began, k, n = time.time(), max(k, low), rest
         out = materialize(left.where(F.col("deg") <= k).select("id", F.lit(k).cast("long").alias("value"), F.lit(turn).alias("turn")), "peeled")
-        gone = out if gone is None else gone.unionByName(out)
+        gone.append(out)
         lost = edges.join(out.select(F.col("id").alias("o_id")), F.col("src") == F.col("o_id"), "left_semi").groupBy(F.col("dst").alias("d_id")).agg(F.count(F.lit(1)).alias("lost"))
-        left = materialize(left.where(F.col("deg") > k).join(lost, F.col("id") == F.col("d_id"), "left").select("id", (F.col("deg") - F.coalesce("lost", F.lit(0))).alias("deg")), "left")
-        steps.log.append((turn, out.count(), time.time() - began))
+        old = left
+        left = materialize(old.where(F.col("deg") > k).join(lost, F.col("id") == F.col("d_id"), "left").select("id", (F.col("deg") - F.coalesce("lost", F.lit(0))).alias("deg")), "left")
+        discard(old)
         turn += 1
-    return gone if gone is not None else left.select("id", F.col("deg").alias("value"), F.lit(0).alias("turn"))
+    return as_one(gone) if gone else left.select("id", F.col("deg").alias("value"), F.lit(0).alias("turn"))
 
 
 def degeneracy_order(graph: Graph, load: DataFrame | None = None) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.graph import Graph
 from loomgraph.plans.superstep import Supersteps
-from loomgraph.session import materialize
+from loomgraph.session import as_one, materialize
 
 #: Fixed values at the compatibility boundary.
 UNREACHED_HOPS, UNREACHED_DISTANCE = 4294967295, 2147483647
@@ -58,12 +58,13 @@ def bfs(graph: Graph, source: int, direction: str = "auto", hops: int = 1, steps
                 offers = F.array(F.struct("id", "dist"), F.struct(F.col("dst").alias("id"), (F.col("dist") + 1).alias("dist")))
                 at = both.select(F.explode(offers).alias("o")).where("o.id is not null").groupBy("o.id").agg(F.min("o.dist").alias("dist"))
             new = at.join(reached.select("id"), "id", "left_anti")
-        new = materialize(new, "level")
-        last = new.where(F.col("dist") == (turn + 1) * hops)
-        return {"front": last, "reached": reached.unionByName(new)}
+        new = materialize(new.select("id", "dist"), "level")
+        levels.append(new)
+        return {"front": new.where(F.col("dist") == (turn + 1) * hops), "reached": as_one(levels)}
 
-    # Levels stay on disk as they are; "reached" is their union, so nothing is rewritten from round to round.
-    start = materialize(start, "start")
+    # Levels stay on disk as they are; "reached" scans them all at once, so nothing is rewritten from round to round.
+    start = materialize(start.select("id", "dist"), "start")
+    levels = [start]
     state, turn = {"front": start, "reached": start}, 0
     while steps.max_rounds is None or turn < steps.max_rounds:
         began = time.time()
