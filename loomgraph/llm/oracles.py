@@ -25,3 +25,13 @@ with w as (select doc_id, regexp_extract_all(coalesce(text, ''), '{WORD}') ws fr
    join w on w.doc_id = o.doc_id left join c on c.doc_id = o.doc_id and c.i = o.i)
 select w.doc_id, len(w.ws)::bigint n_words, coalesce(k.m, 0)::bigint n_removed, sha256(coalesce(k.t, '')) kept_sha256
 from w left join (select doc_id, count(*) filter (where gone) m, string_agg(x, ' ' order by i) filter (where not gone) t from z group by 1) k on k.doc_id = w.doc_id"""
+
+FILL_IN_MIDDLE = r"""
+with d as (select doc_id, coalesce(text, '') t, sha256('42:' || doc_id) h from documents),
+ u as (select doc_id, t, regexp_extract_all(t, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') us,
+   ('0x' || h[1:8])::bigint h1, ('0x' || h[9:16])::bigint h2, ('0x' || h[17:24])::bigint h3, ('0x' || h[25:32])::bigint h4 from d),
+ c as (select *, len(us) n, least(h1 % (len(us) + 1), h2 % (len(us) + 1)) a, greatest(h1 % (len(us) + 1), h2 % (len(us) + 1)) b,
+   case when t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or h3 % 100 >= 50 then 'plain' when h4 % 100 < 80 then 'spm' else 'psm' end form from u),
+ p as (select *, array_to_string(us[1:a], '') x, array_to_string(us[a + 1:b], '') y, array_to_string(us[b + 1:], '') z from c)
+select doc_id, n::bigint n, form, case when form <> 'plain' then length(x) end::bigint prefix_chars, case when form <> 'plain' then length(y) end::bigint middle_chars,
+ sha256(case form when 'plain' then t when 'psm' then '<P>' || x || '<S>' || z || '<M>' || y else '<S>' || z || '<P>' || x || '<M>' || y end) output_sha256, sha256(t) restored_sha256 from p"""

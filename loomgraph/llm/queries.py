@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import fingerprints, licenses, lm, mixing, neardup, oracles, packing, quality, substrings, suffixes, tokens
+from loomgraph.llm import fingerprints, licenses, lm, middle, mixing, neardup, neighbours, oracles, packing, periodic, quality, substrings, suffixes, tokens
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,10 +54,23 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprints(_documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_quality_rules, op3_lm_scoring, op4_token_counts, op5_minhash_near_dedup, op6_packing, op7_substring_dedup, op8_suffix_array_dedup, op9_source_mixing, op10_fingerprints)}
-#: The other operators rest on sketches, sampling, tokenizers or trained models, which SQL cannot express, or are too slow in SQL
-#: on whole tables (op8); tests/llm holds them against brute-force versions.
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return middle.digests(_documents(spark, sf_dir))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.summaries(_documents(spark, sf_dir), planted=True)
+
+
+def op13_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 100 == 0)
+
+
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_quality_rules, op3_lm_scoring, op4_token_counts, op5_minhash_near_dedup, op6_packing, op7_substring_dedup, op8_suffix_array_dedup, op9_source_mixing, op10_fingerprints, op11_fill_in_middle, op12_periodic_runs, op13_nearest_neighbours)}
+#: The other operators rest on sketches, sampling, random projections, tokenizers or trained models, which SQL cannot express, or are too slow in SQL
+#: on whole tables (op8, op12); tests/llm holds them against brute-force versions.
 ORACLE_SQL = {
     "op5_minhash_near_dedup": oracles.NEAR_DUPLICATES,
     "op7_substring_dedup": oracles.REPEATED_WORDS,
+    "op11_fill_in_middle": oracles.FILL_IN_MIDDLE,
 }
