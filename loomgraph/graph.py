@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions.hashing import hash32
-from loomgraph.session import materialize
+from loomgraph.tables import stored_by
 
 
 @dataclass(frozen=True)
@@ -35,8 +35,8 @@ class Graph:
         return "wgh" in self.edges.columns
 
     def stored(self) -> Graph:
-        """Written once to the shared folder: loops read it in every round."""
-        return replace(self, vertices=materialize(self.vertices, "vertices"), edges=materialize(self.edges, "edges"))
+        """Written once to the shared folder, edges by source: loops read them in every round as they lie."""
+        return replace(self, vertices=stored_by(self.vertices, "id", "vertices"), edges=stored_by(self.edges, "src", "edges"))
 
     def degrees(self) -> DataFrame:
         """(id, deg) of every vertex, isolated ones with 0."""

@@ -2,66 +2,58 @@
 
 from __future__ import annotations
 
-import time
-
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.functions.hashing import log2_up
 from loomgraph.graph import Graph
+from loomgraph.plans.partitioned import Adjacency, Blocks, last_values, local_search
 from loomgraph.plans.superstep import Supersteps
-from loomgraph.session import as_one, discard, materialize
+from loomgraph.session import materialize
 
 
-def greedy_coloring(graph: Graph, order: str = "degree", ties: DataFrame | None = None, steps: Supersteps | None = None) -> DataFrame:
+def greedy_coloring(graph: Graph, order: str = "degree", ties: DataFrame | None = None, steps: Supersteps | None = None, size: int | None = None) -> DataFrame:
     """(id, value): the smallest color below the degree that no neighbour of higher priority has, else degree + 1.
 
     Priority is the degree (order "degree") or its rounded-up logarithm ("log_degree"), then ties(id, rank), then the
-    smaller id. Isolated vertices have color 0. Each round colors the vertices whose higher neighbours all have colors.
+    smaller id. Isolated vertices have color 0.
+
+    Blocks are runs of the order of priority and hold edges to neighbours of higher priority only. A round settles in each
+    block all vertices whose higher neighbours have colors, in one sweep over many levels of dependency, and sends their
+    colors to the blocks that wait for them: every color once. The first block is settled by the first round, the second by
+    the next at the latest, so there are no more rounds than blocks, nor than levels.
     """
-    steps = steps or Supersteps()
-    ranked = graph.degrees().withColumn("weight", F.col("deg") if order == "degree" else log2_up(F.col("deg") + 1))
+    ranked = graph.degrees().withColumn("back_weight", -(F.col("deg") if order == "degree" else log2_up(F.col("deg") + 1)))
     if ties is not None:
         ranked = ranked.join(ties.select(F.col("id").alias("t_id"), "rank"), F.col("id") == F.col("t_id")).drop("t_id")
     else:
         ranked = ranked.withColumn("rank", F.col("id"))
     ranked = materialize(ranked, "ranked")
-    low, high = (ranked.select(*[F.col(c).alias(f"{e}_{c}") for c in ("id", "deg", "weight", "rank")]) for e in ("s", "d"))
-    above = (F.col("d_weight") > F.col("s_weight")) | ((F.col("d_weight") == F.col("s_weight")) & (F.col("d_rank") < F.col("s_rank")))
-    before = graph.edges.select("src", "dst").join(low, F.col("src") == F.col("s_id")).join(high, F.col("dst") == F.col("d_id")).where(above)
-    before = materialize(before.select("src", "dst"), "before")
-    waits = before.groupBy(F.col("src").alias("w_id")).agg(F.count(F.lit(1)).alias("waiting"))
-    start = ranked.join(waits, F.col("id") == F.col("w_id"), "left").select("id", "deg", F.coalesce("waiting", F.lit(0)).alias("waiting"))
-    start = materialize(start, "open")
-    colored = materialize(start.where("waiting = 0").select("id", F.lit(0).cast("long").alias("value")), "colored")
-
-    def step(turn: int, state: dict):
-        fresh = state["front"].select(F.col("id").alias("c_id"))
-        done = before.join(fresh, F.col("dst") == F.col("c_id"), "left_semi").groupBy(F.col("src").alias("d_id")).agg(F.count(F.lit(1)).alias("done"))
-        old = state["open"]
-        left = materialize(old.where("waiting > 0").join(done, F.col("id") == F.col("d_id"), "left").select("id", "deg", (F.col("waiting") - F.coalesce("done", F.lit(0))).alias("waiting")), "open")
-        ready = left.where("waiting = 0").select(F.col("id").alias("r_id"), "deg")
-        used = (
-            before.join(ready, F.col("src") == F.col("r_id")).join(as_one(colors).select(F.col("id").alias("n_id"), "value"), F.col("dst") == F.col("n_id"))
-            .groupBy(F.col("src").alias("id"), "deg").agg(F.collect_set("value").alias("used"))
-        )
-        # As many candidates as there are used colors, plus one, hold a free color; only those below the degree count.
-        free = F.array_min(F.array_except(F.sequence(F.lit(0).cast("long"), F.size("used").cast("long")), F.col("used")))
-        new = materialize(used.select("id", F.when(free < F.col("deg"), free).otherwise(F.col("deg") + 1).alias("value")), "colored")
-        colors.append(new)
-        discard(old)
-        return {"open": left, "front": new}
-
-    # Colors stay where each round wrote them and are scanned together.
-    colors, state, turn = [colored], {"open": start, "front": colored}, 0
-    while True:
-        began = time.time()
-        state = step(turn, state)
-        size = state["front"].count()
-        steps.log.append((turn, size, time.time() - began))
-        turn += 1
-        if not size:
-            return as_one(colors)
+    low, high = (ranked.select(F.col("id").alias(f"{e}_id"), F.struct("back_weight", "rank", "id").alias(f"{e}_order")) for e in "sd")
+    before = graph.edges.select("src", "dst").join(low, F.col("src") == F.col("s_id")).join(high, F.col("dst") == F.col("d_id")).where("d_order < s_order").select("src", "dst")
+    blocks = Blocks.build(ranked, before, ["back_weight", "rank", "id"], ("deg",), size)
+    return local_search(blocks, settle_colors, steps=steps).select("id", "value")
+
+
+def settle_colors(block: Adjacency, mail: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Colors of the vertices that can have one now: mail holds the colors of this block's vertices and their neighbours."""
+    colors = last_values(mail["id"], mail["value"], block.ids, -1)
+    near, inside = last_values(mail["id"], mail["value"], block.targets, -1), block.index(block.targets)
+    degrees, new = block.of_vertices("deg"), []
+    for i in np.flatnonzero(colors < 0).tolist():
+        a, b = block.bounds[i], block.bounds[i + 1]
+        used, at = near[a:b].copy(), inside[a:b]
+        used[at >= 0] = colors[at[at >= 0]]  # neighbours of higher priority stand before
+        if (used < 0).any():
+            continue
+        # As many candidates as there are neighbours, plus one, hold a free color.
+        taken = np.zeros(b - a + 1, bool)
+        taken[used[used <= b - a]] = True
+        free = int(np.argmin(taken))
+        colors[i] = free if free < degrees[i] or not degrees[i] else degrees[i] + 1
+        new.append(i)
+    return block.ids[new], colors[new], np.zeros(len(new), bool)
 
 
 def conflicts(graph: Graph, colors: DataFrame) -> DataFrame:

@@ -4,41 +4,67 @@ from __future__ import annotations
 
 import time
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.graph import Graph
 from loomgraph.operators.primitives import numbered
+from loomgraph.plans.partitioned import Adjacency, Blocks, last_values, local_search
 from loomgraph.plans.superstep import Supersteps
 from loomgraph.session import as_one, discard, materialize
 
 
-def core_numbers(graph: Graph, steps: Supersteps | None = None) -> DataFrame:
-    """(id, value): the core number, as the fixpoint of the h-index of the neighbours' values, from degrees downwards.
+def core_numbers(graph: Graph, steps: Supersteps | None = None, size: int | None = None) -> DataFrame:
+    """(id, value): the core number.
 
-    A vertex's h-index comes from counts of its neighbours by value, capped at its own: partial aggregation keeps hubs
-    from being one task's list. Only neighbours of vertices that changed are looked at again.
+    Local search on blocks of vertices by id: a round peels each block as a whole, cascades and all, with what its
+    neighbours in other blocks have at most, and sends on the numbers that went down. Numbers only fall, from the degrees,
+    and stay once every vertex has as many neighbours with at least its number as that says.
     """
-    steps = steps or Supersteps()
-    edges = graph.edges.select("src", "dst")
-    start = materialize(graph.degrees().select("id", F.col("deg").alias("value")), "cores")
+    blocks = Blocks.build(graph.degrees(), graph.edges.select("src", "dst"), ["id"], size=size)
+    return local_search(blocks, peel_block, steps=steps).groupBy("id").agg(F.min("value").alias("value"))
 
-    def step(turn: int, state: dict):
-        values, front = state["values"], F.col("value") > 0
-        mine = values.where(front).select(F.col("id").alias("m_id"), F.col("value").alias("own"))
-        if turn:
-            touched = edges.join(state["lower"], F.col("dst") == F.col("l_id"), "left_semi").select(F.col("src").alias("t_id"))
-            mine = mine.join(touched, F.col("m_id") == F.col("t_id"), "left_semi")
-        other = values.select(F.col("id").alias("n_id"), F.col("value").alias("theirs"))
-        near = edges.join(mine, F.col("src") == F.col("m_id")).join(other, F.col("dst") == F.col("n_id"))
-        counts = near.groupBy("src", "own", F.least("own", "theirs").alias("level")).agg(F.count(F.lit(1)).alias("n"))
-        upto = F.sum("n").over(Window.partitionBy("src").orderBy(F.col("level").desc()))
-        lower = counts.withColumn("upto", upto).groupBy("src", "own").agg(F.max(F.least("level", "upto")).alias("new")).where("new < own")
-        lower = materialize(lower.select(F.col("src").alias("l_id"), "new"), "lower")
-        values = values.join(lower, F.col("id") == F.col("l_id"), "left").select("id", F.coalesce("new", "value").alias("value"))
-        return {"values": values, "lower": lower}, "lower"
 
-    return steps.run({"values": start}, step)["values"]
+def peel_block(block: Adjacency, mail: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The numbers that fall if the block is peeled level by level; a neighbour elsewhere goes with the level of its number."""
+    n, most = len(block.ids), np.iinfo(np.int64).max
+    old = last_values(mail["id"], mail["value"], block.ids, most)
+    inside = block.index(block.targets)
+    sources = np.repeat(np.arange(n), np.diff(block.bounds))
+    away = np.flatnonzero(inside < 0)
+    bound = last_values(mail["id"], mail["value"], block.targets[away], most)
+    away = away[np.argsort(bound, kind="stable")]
+    bound = np.sort(bound)
+    # Neighbours of unknown number outlast all levels.
+    leaving, levels = sources[away[bound < most]].tolist(), bound[bound < most].tolist()
+    left, targets, bounds = np.diff(block.bounds).tolist(), inside.tolist(), block.bounds.tolist()
+    number, gone, waiting = [0] * n, [False] * n, [[] for _ in range(max(left, default=0) + 1)]
+    for i, d in enumerate(left):
+        waiting[d].append(i)
+    at = 0
+    for level in range(len(waiting)):
+        stack = [i for i in waiting[level] if left[i] <= level]
+        while at < len(leaving) and levels[at] <= level:
+            i = leaving[at]
+            at += 1
+            left[i] -= 1
+            (stack if left[i] <= level else waiting[left[i]]).append(i)
+        while stack:
+            i = stack.pop()
+            if gone[i]:
+                continue
+            gone[i], number[i] = True, level
+            for j in targets[bounds[i] : bounds[i + 1]]:
+                if j >= 0 and not gone[j]:
+                    left[j] -= 1
+                    if left[j] <= level:
+                        stack.append(j)
+                    else:
+                        waiting[left[j]].append(j)
+    number = np.array(number, np.int64)
+    fallen = np.flatnonzero(number < old)
+    return block.ids[fallen], number[fallen], np.zeros(len(fallen), bool)
 
 
 def peel(graph: Graph, load: DataFrame | None = None, steps: Supersteps | None = None) -> DataFrame:

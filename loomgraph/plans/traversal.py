@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import heapq
 import time
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.graph import Graph
+from loomgraph.plans.partitioned import Adjacency, Blocks, local_search
 from loomgraph.plans.superstep import Supersteps
-from loomgraph.session import as_one, materialize
+from loomgraph.tables import Log, lies_by, stored_by
 
 #: Fixed values at the compatibility boundary.
 UNREACHED_HOPS, UNREACHED_DISTANCE = 4294967295, 2147483647
@@ -20,114 +23,148 @@ def _result(graph: Graph, reached: DataFrame) -> DataFrame:
     return graph.vertices.join(own, F.col("id") == F.col("r_id"), "left").select("id", F.col("dist").cast("long").alias("value"))
 
 
-def bfs(graph: Graph, source: int, direction: str = "auto", hops: int = 1, steps: Supersteps | None = None) -> DataFrame:
+def _by_source(graph: Graph, *columns: str) -> DataFrame:
+    """The edges, stored by source: each round's join reads them where they lie."""
+    return (graph.edges if lies_by(graph.edges, "src") else stored_by(graph.edges, "src", "edges")).select("src", "dst", *columns)
+
+
+def _source(graph: Graph, source: int) -> DataFrame:
+    return graph.vertices.where(F.col("id") == source).distinct().select("id", F.lit(0).cast("long").alias("value"), F.lit(0).alias("turn"))
+
+
+def bfs(graph: Graph, source: int, direction: str = "auto", steps: Supersteps | None = None) -> DataFrame:
     """(id, value): hops from source along edges, NULL where it cannot be reached.
 
     A round expands the frontier by push (frontier join edges) or, if its out-edges are more than an eighth of all, by
-    pull (vertices not yet reached that have an in-neighbour in the frontier); direction fixes one of them. hops > 1
-    expands so many levels in one job, for graphs of long diameter.
+    pull (vertices not yet reached that have an in-neighbour in the frontier); direction fixes one of them. Levels are
+    appended to a log with their out-degrees, so a round is one job, which also counts what the next one decides by.
     """
-    spark = graph.edges.sparkSession
-    edges = graph.edges.select("src", "dst")
-    out_degree = materialize(edges.groupBy(F.col("src").alias("d_id")).agg(F.count(F.lit(1)).alias("deg")), "degrees") if direction == "auto" else None
+    edges, steps = _by_source(graph), steps or Supersteps()
+    degrees = edges.groupBy("src").agg(F.count(F.lit(1)).alias("deg"))
     m = edges.count() if direction == "auto" else 0
-    steps = steps or Supersteps()
-    start = spark.createDataFrame([(source, 0)], "id long, dist long").join(graph.vertices, "id", "left_semi")
-
-    def expand(front: DataFrame, reached: DataFrame, pull: bool) -> DataFrame:
-        if pull:
-            todo = graph.vertices.join(reached.select("id"), "id", "left_anti")
-            touched = edges.join(front.select(F.col("id").alias("f_id")), F.col("src") == F.col("f_id"), "left_semi").select(F.col("dst").alias("id"))
-            return todo.join(touched, "id", "left_semi")
-        found = front.select(F.col("id").alias("f_id")).join(edges, F.col("f_id") == F.col("src")).select(F.col("dst").alias("id")).distinct()
-        return found.join(reached.select("id"), "id", "left_anti")
-
-    def step(turn: int, state: dict):
-        front, reached = state["front"], state["reached"]
-        pull = direction == "pull"
-        if direction == "auto":
-            load = front.join(out_degree, F.col("id") == F.col("d_id")).agg(F.sum("deg")).first()[0] or 0
-            pull = 8 * load > m
-        if hops == 1:
-            new = expand(front, reached, pull).withColumn("dist", F.lit(turn + 1).cast("long"))
-        else:
-            # Each hop keeps the members and adds their neighbours from one join, so the plan is a chain.
-            at = front.select("id", "dist")
-            for _ in range(hops):
-                both = at.join(edges, F.col("id") == F.col("src"), "left")
-                offers = F.array(F.struct("id", "dist"), F.struct(F.col("dst").alias("id"), (F.col("dist") + 1).alias("dist")))
-                at = both.select(F.explode(offers).alias("o")).where("o.id is not null").groupBy("o.id").agg(F.min("o.dist").alias("dist"))
-            new = at.join(reached.select("id"), "id", "left_anti")
-        new = materialize(new.select("id", "dist"), "level")
-        levels.append(new)
-        return {"front": new.where(F.col("dist") == (turn + 1) * hops), "reached": as_one(levels)}
-
-    # Levels stay on disk as they are; "reached" scans them all at once, so nothing is rewritten from round to round.
-    start = materialize(start.select("id", "dist"), "start")
-    levels = [start]
-    state, turn = {"front": start, "reached": start}, 0
-    while steps.max_rounds is None or turn < steps.max_rounds:
+    load = F.coalesce(F.sum("deg"), F.lit(0))
+    levels = Log("id", "levels")
+
+    def add(found: DataFrame, dealt: bool) -> dict:
+        return levels.append(found.join(degrees, F.col("id") == F.col("src"), "left").select("id", "value", "turn", "deg"), dealt, load=load)
+
+    size, turn = add(_source(graph, source), False), 0
+    while size["n"] and turn != steps.max_rounds:
         began = time.time()
-        state = step(turn, state)
-        size = state["front"].count()
-        steps.log.append((turn, size, time.time() - began))
+        reached = levels.read()
+        front = reached.where(F.col("turn") == turn).select(F.col("id").alias("f_id"))
+        found = front.join(edges, F.col("f_id") == F.col("src")).select(F.col("dst").alias("id"))
+        if direction == "pull" or (direction == "auto" and 8 * size["load"] > m):
+            found = graph.vertices.join(reached.select("id"), "id", "left_anti").join(found, "id", "left_semi")
+        else:
+            found = found.distinct().join(reached.select("id"), "id", "left_anti")
         turn += 1
-        if not size:
-            break
-    return _result(graph, state["reached"])
+        size = add(found.select("id", F.lit(turn).cast("long").alias("value"), F.lit(turn).alias("turn")), True)
+        steps.log.append((turn - 1, size["n"], time.time() - began))
+    return _result(graph, levels.read().select("id", F.col("value").alias("dist")))
 
 
 def bellman_ford(graph: Graph, source: int, steps: Supersteps | None = None) -> DataFrame:
     """(id, value): shortest distance from source; weights may be negative. Synchronous rounds, at most n of them.
 
-    Without weights each edge counts 1. A round relaxes the out-edges of vertices that improved in the round before.
+    Without weights each edge counts 1. A round relaxes the out-edges of vertices that improved in the round before and
+    appends what they improve; nothing that stands is written again.
     """
-    spark = graph.edges.sparkSession
-    edges = graph.edges if graph.weighted else graph.edges.withColumn("wgh", F.lit(1))
-    steps = steps or Supersteps(graph.vertices.count())
-    start = materialize(spark.createDataFrame([(source, 0)], "id long, dist long").join(graph.vertices, "id", "left_semi"), "start")
-
-    def step(turn: int, state: dict):
-        better = relax(state["front"], edges, state["dist"])
-        better = materialize(better, "front")
-        return {"front": better, "dist": settle(state["dist"], better)}, "front"
-
-    return _result(graph, steps.run({"front": start, "dist": start}, step)["dist"])
-
-
-def relax(front: DataFrame, edges: DataFrame, dist: DataFrame) -> DataFrame:
-    """(id, dist) of the vertices whose distance the frontier improves: one minimum for each destination."""
-    offered = front.select(F.col("id").alias("f_id"), F.col("dist").alias("f_dist")).join(edges, F.col("f_id") == F.col("src"))
-    best = offered.groupBy(F.col("dst").alias("id")).agg(F.min(F.col("f_dist") + F.col("wgh")).cast("long").alias("dist"))
-    old = dist.select(F.col("id").alias("o_id"), F.col("dist").alias("o_dist"))
-    return best.join(old, F.col("id") == F.col("o_id"), "left").where(F.col("o_dist").isNull() | (F.col("dist") < F.col("o_dist"))).select("id", "dist")
+    graph = graph if graph.weighted else graph.with_unit_weights("int")
+    edges, steps = _by_source(graph, "wgh"), steps or Supersteps(graph.vertices.count())
+    dist = Log("id", "distances")
+    size, turn = dist.append(_source(graph, source))["n"], 0
+    while size and turn != steps.max_rounds:
+        began = time.time()
+        front = dist.read().where(F.col("turn") == turn)
+        turn += 1
+        size = dist.append(relax(front, edges, dist).withColumn("turn", F.lit(turn)), True)["n"]
+        steps.log.append((turn - 1, size, time.time() - began))
+    return _result(graph, dist.least().select("id", F.col("value").alias("dist")))
 
 
-def settle(dist: DataFrame, better: DataFrame) -> DataFrame:
-    return dist.select("id", "dist").unionByName(better.select("id", "dist")).groupBy("id").agg(F.min("dist").alias("dist"))
+def relax(front: DataFrame, edges: DataFrame, dist: Log) -> DataFrame:
+    """(id, value) of the vertices whose distance the frontier improves: one minimum for each destination."""
+    offered = front.select(F.col("id").alias("f_id"), F.col("value").alias("f_value")).join(edges, F.col("f_id") == F.col("src"))
+    best = offered.groupBy(F.col("dst").alias("id")).agg(F.min(F.col("f_value") + F.col("wgh")).cast("long").alias("value"))
+    old = dist.least().select(F.col("id").alias("o_id"), F.col("value").alias("o_value"))
+    return best.join(old, F.col("id") == F.col("o_id"), "left").where(F.col("o_value").isNull() | (F.col("value") < F.col("o_value"))).select("id", "value")
 
 
 def weighted_bfs(graph: Graph, source: int, width: int = 1, steps: Supersteps | None = None) -> DataFrame:
     """(id, value): shortest distance from source for weights of at least 0, settled in order of distance.
 
-    The open set holds (id, dist); each round extracts all members with less than the smallest distance plus width,
-    relaxes them and re-opens what improved.
+    Each round relaxes all open vertices with less than the smallest open distance plus width. Open is a vertex whose
+    distance came in the last round or is not below any bound so far; bounds never fall, so the last one tells.
     """
-    spark = graph.edges.sparkSession
-    edges = graph.edges if graph.weighted else graph.edges.withColumn("wgh", F.lit(1))
-    steps = steps or Supersteps()
-    start = materialize(spark.createDataFrame([(source, 0)], "id long, dist long").join(graph.vertices, "id", "left_semi"), "start")
-
-    def step(turn: int, state: dict):
-        opened = state["open"]
-        low = opened.agg(F.min("dist")).first()[0]
+    graph = graph if graph.weighted else graph.with_unit_weights("int")
+    edges, steps = _by_source(graph, "wgh"), steps or Supersteps()
+    dist = Log("id", "distances")
+    dist.append(_source(graph, source))
+    turn, bound = 0, 0
+    while turn != steps.max_rounds:
+        began = time.time()
+        opened = dist.least().where((F.col("turn") == turn) | (F.col("value") >= bound))
+        low = opened.agg(F.min("value")).first()[0]
         if low is None:
-            return state, "open"
-        better = materialize(relax(opened.where(F.col("dist") < low + width), edges, state["dist"]), "better")
-        left = opened.where(F.col("dist") >= low + width)
-        return {"open": settle(left, better), "dist": settle(state["dist"], better)}, "open"
+            break
+        bound, turn = low + width, turn + 1
+        size = dist.append(relax(opened.where(F.col("value") < bound), edges, dist).withColumn("turn", F.lit(turn)), True)["n"]
+        steps.log.append((turn - 1, size, time.time() - began))
+    return _result(graph, dist.least().select("id", F.col("value").alias("dist")))
+
 
-    return _result(graph, steps.run({"open": start, "dist": start}, step)["dist"])
+def local_distances(graph: Graph, source: int, hops: int | None = None, queue: int | None = None, steps: Supersteps | None = None, size: int | None = None) -> DataFrame:
+    """(id, value): shortest distance from source for weights of at least 0 (without weights: hops), by local search.
+
+    A round follows improvements inside each block, at most so many hops far and through a queue of so many vertices (None:
+    until nothing improves), and offers distances to vertices of other blocks; what a bound left waits for the next round.
+    """
+    graph = graph if graph.weighted else graph.with_unit_weights("int")
+    blocks = Blocks.build(graph.degrees(), graph.edges.select("src", "dst", "wgh"), ["id"], size=size)
+    rows = local_search(blocks, relax_block(hops, queue), _source(graph, source), listening=False, steps=steps)
+    return _result(graph, rows.groupBy("id").agg(F.min("value").alias("dist")))
+
+
+def relax_block(hops: int | None, queue: int | None):
+    """A kernel: rows that are no news are the block's vertices with the distances at which their edges were followed."""
+
+    def kernel(block: Adjacency, mail: dict):
+        never = np.iinfo(np.int64).max
+        best, followed = np.full(len(block.ids), never), np.full(len(block.ids), never)
+        at = block.index(mail["id"])
+        np.minimum.at(best, at, mail["value"])
+        np.minimum.at(followed, at[~mail["news"]], mail["value"][~mail["news"]])
+        best, followed = best.tolist(), followed.tolist()
+        inside, targets, weights, bounds = (x.tolist() for x in (block.index(block.targets), block.targets, block.of_edges("wgh"), block.bounds))
+        heap = [(d, 0, i) for i, d in enumerate(best) if d < followed[i]]
+        heapq.heapify(heap)
+        done, waiting, offers = set(), set(), {}
+        while heap:
+            d, far, i = heapq.heappop(heap)
+            if d > best[i] or d >= followed[i]:
+                continue
+            if (hops is not None and far >= hops) or (queue is not None and len(done) >= queue and i not in done):
+                waiting.add(i)
+                continue
+            followed[i] = d
+            done.add(i)
+            for e in range(bounds[i], bounds[i + 1]):
+                there, j = d + weights[e], inside[e]
+                if j < 0:
+                    if there < offers.get(targets[e], never):
+                        offers[targets[e]] = there
+                elif there < best[j]:
+                    best[j] = there
+                    heapq.heappush(heap, (there, far + 1, j))
+        waiting = [i for i in waiting if best[i] < followed[i]]
+        own = [*done, *waiting]
+        values = [followed[i] for i in done] + [best[i] for i in waiting] + list(offers.values())
+        again = np.zeros(len(values), bool)
+        again[len(done) : len(own)] = True
+        return np.concatenate([block.ids[own], np.array(list(offers), np.int64)]), np.array(values, np.int64), again
+
+    return kernel
 
 
 def with_sentinels(result: DataFrame, sentinel: int = UNREACHED_HOPS) -> DataFrame:

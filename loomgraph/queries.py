@@ -110,8 +110,8 @@ def ranks(graph: Graph) -> DataFrame:
     return graph.vertices.select("id", (F.col("id") * F.lit(RANK) % F.lit(1 << 32)).alias("rank"))
 
 
-def color_sql(weight: str) -> str:
-    return f"""dg as (select src v, count(*) d, {weight} wt, (src * {RANK}) % 4294967296 rk from e group by 1),
+def color_sql(weight: str, rank: str = f"(src * {RANK}) % 4294967296") -> str:
+    return f"""dg as (select src v, count(*) d, {weight} wt, {rank} rk from e group by 1),
  p as (select e.src, e.dst from e join dg a on a.v = e.src join dg b on b.v = e.dst where b.wt > a.wt or (b.wt = a.wt and b.rk < a.rk)),
  np as (select dg.v, dg.d, count(p.dst) n from dg left join p on p.src = dg.v group by 1, 2),
  col(v, c) using key (v) as (select v, 0::bigint from np where n = 0 union
@@ -135,7 +135,7 @@ def bfs_pull(spark, sf_dir):
 
 @query(f"with recursive {F3}, {BFS} {ALL_BFS}")
 def bfs_multihop(spark, sf_dir):
-    return traversal.bfs(event_chains(spark, sf_dir), 0, direction="push", hops=8)
+    return traversal.local_distances(event_chains(spark, sf_dir), 0, hops=8, queue=4096)
 
 
 @query(f"with recursive {F1}, {BFS} select coalesce(d, -1)::bigint hops, count(*) n from vs left join b on b.v = vs.id group by 1")
@@ -158,6 +158,11 @@ def sssp_unit_weights(spark, sf_dir):
     return traversal.bellman_ford(customer_parts(spark, sf_dir).with_unit_weights("int"), 0)
 
 
+@query(f"with recursive {W1}, {SSSP} select vs.id::bigint id, b.d value from vs left join b on b.v = vs.id")
+def sssp_local(spark, sf_dir):
+    return traversal.local_distances(customer_parts(spark, sf_dir, weighted=True), 0)
+
+
 @query(f"with recursive {W1}, {SSSP} select vs.id::bigint id, b.d value from vs left join b on b.v = vs.id")
 def wbfs_min_bucket(spark, sf_dir):
     return traversal.weighted_bfs(customer_parts(spark, sf_dir, weighted=True), 0)
@@ -181,6 +186,12 @@ def kcore_peel(spark, sf_dir):
     return cores.peel(co_purchases(spark, sf_dir)).select("id", "value")
 
 
+@query(f"with recursive {F2}, {CORE} select vs.id::bigint id, coalesce(k.c, 0)::bigint value from vs left join k on k.v = vs.id")
+def kcore_local(spark, sf_dir):
+    """Local search in small blocks, so that there are several at any size."""
+    return cores.core_numbers(co_purchases(spark, sf_dir), size=1 << 16)
+
+
 @query(f"with recursive {F1}, {CORE} select coalesce(k.c, 0)::bigint core, count(*) n from vs left join k on k.v = vs.id group by 1")
 def kcore_hist(spark, sf_dir):
     return P.histogram_by_key(cores.core_numbers(customer_parts(spark, sf_dir)).select(F.col("value").alias("core")), "core")
@@ -191,21 +202,35 @@ def degeneracy_order(spark, sf_dir):
     return cores.degeneracy_order(co_purchases(spark, sf_dir))
 
 
-@query(f"with recursive {F3S}, {color_sql('count(*)')} select vs.id::bigint id, coalesce(col.c, 0)::bigint value from vs left join col on col.v = vs.id")
+COLORS = "select vs.id::bigint id, coalesce(col.c, 0)::bigint value from vs left join col on col.v = vs.id"
+LOG_DEGREE = "ceil(log2(1 + count(*)))"
+
+
+@query(f"with recursive {F2}, {color_sql('count(*)')} {COLORS}")
 def coloring_lf(spark, sf_dir):
-    graph = event_neighbours(spark, sf_dir)
+    graph = co_purchases(spark, sf_dir)
     return coloring.greedy_coloring(graph, ties=ranks(graph))
 
 
-@query(f"with recursive {F3S}, {color_sql('ceil(log2(1 + count(*)))')} select vs.id::bigint id, coalesce(col.c, 0)::bigint value from vs left join col on col.v = vs.id")
+@query(f"with recursive {F2}, {color_sql(LOG_DEGREE)} {COLORS}")
 def coloring_llf(spark, sf_dir):
-    graph = event_neighbours(spark, sf_dir)
+    graph = co_purchases(spark, sf_dir)
     return coloring.greedy_coloring(graph, order="log_degree", ties=ranks(graph))
 
 
-@query("select 0::bigint n_conflicts")
+@query(f"with recursive {F2}, {color_sql('count(*)', 'src')} {COLORS}")
+def coloring_lf_all(spark, sf_dir):
+    return coloring.greedy_coloring(co_purchases(spark, sf_dir))
+
+
+@query(f"with recursive {F2}, {color_sql(LOG_DEGREE, 'src')} {COLORS}")
+def coloring_llf_all(spark, sf_dir):
+    return coloring.greedy_coloring(co_purchases(spark, sf_dir), order="log_degree")
+
+
+@query(f"with recursive {F2}, {color_sql('count(*)')}, cs as ({COLORS}) select count(distinct src) filter (where a.value = b.value)::bigint n_conflicts from e join cs a on a.id = src join cs b on b.id = dst")
 def coloring_verify(spark, sf_dir):
-    graph = event_neighbours(spark, sf_dir)
+    graph = co_purchases(spark, sf_dir)
     return coloring.conflicts(graph, coloring.greedy_coloring(graph, ties=ranks(graph)))
 
 
@@ -234,19 +259,6 @@ def cc_largest(spark, sf_dir):
     return components.largest_component(co_purchases(spark, sf_dir))
 
 
-# Denser graphs: many more rounds, no SQL, tested by brute force.
-
-
-@query()
-def coloring_lf_all(spark, sf_dir):
-    return coloring.greedy_coloring(co_purchases(spark, sf_dir))
-
-
-@query()
-def coloring_llf_all(spark, sf_dir):
-    return coloring.greedy_coloring(co_purchases(spark, sf_dir), order="log_degree")
-
-
 # ---------------------------------------------------------------- graph construction
 
 

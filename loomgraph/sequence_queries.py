@@ -86,7 +86,7 @@ def io_pbbs_roundtrip(spark, sf_dir):
 
 @query(f"with recursive {Q.F3}, {Q.BFS} select vs.id::bigint id from vs left join b on b.v = vs.id where b.d is null")
 def bfs_unreachable(spark, sf_dir):
-    return traversal.bfs(Q.event_chains(spark, sf_dir), 0, direction="push", hops=8).where("value is null").select("id")
+    return traversal.local_distances(Q.event_chains(spark, sf_dir), 0).where("value is null").select("id")
 
 
 @query(f"with recursive {Q.F1}, {Q.BFS}, l as (select d, count(*)::bigint n from b group by 1) select d::int round, coalesce((select n from l x where x.d = l.d + 1), 0)::bigint frontier_size from l")
@@ -118,9 +118,9 @@ def kcore_max(spark, sf_dir):
     return cores.core_numbers(Q.customer_parts(spark, sf_dir)).agg(F.max("value").alias("value"))
 
 
-@query(f"with recursive {Q.F3S}, {Q.color_sql('count(*)')} select count(distinct coalesce(col.c, 0))::bigint n_colors from vs left join col on col.v = vs.id")
+@query(f"with recursive {Q.F2}, {Q.color_sql('count(*)')} select count(distinct coalesce(col.c, 0))::bigint n_colors from vs left join col on col.v = vs.id")
 def coloring_num_colors(spark, sf_dir):
-    graph = Q.event_neighbours(spark, sf_dir)
+    graph = Q.co_purchases(spark, sf_dir)
     return coloring.greedy_coloring(graph, ties=Q.ranks(graph)).agg(F.count_distinct("value").alias("n_colors"))
 
 

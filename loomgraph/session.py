@@ -51,6 +51,11 @@ def materialize(df: DataFrame, label: str = "table") -> DataFrame:
     return out
 
 
+def keep_until_exit(spark: SparkSession, path: str) -> None:
+    """Delete what another writer puts at path when the process ends."""
+    _written[path] = spark
+
+
 def as_one(tables: list[DataFrame]) -> DataFrame:
     """The rows of tables of one schema that materialize() wrote, as one scan: the plan does not grow with their number."""
     return tables[0].sparkSession.read.schema(tables[0].schema).parquet(*[t._loomgraph_path for t in tables])

@@ -114,7 +114,7 @@ def test_no_edges(spark):
 def test_directed_chain_by_push_pull_and_hops(spark):
     g = graph(spark, [(i, i + 1) for i in range(11)], 12)
     want = {i: i - 2 if i >= 2 else None for i in range(12)}
-    assert values(traversal.bfs(g, 2)) == values(traversal.bfs(g, 2, direction="pull")) == values(traversal.bfs(g, 2, direction="push", hops=3)) == want
+    assert values(traversal.bfs(g, 2)) == values(traversal.bfs(g, 2, direction="pull")) == values(traversal.local_distances(g, 2, hops=3)) == values(traversal.local_distances(g, 2, hops=1, queue=1, size=4)) == want
 
 
 def test_random_graph_against_plain_python(spark):
