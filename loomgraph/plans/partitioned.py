@@ -22,8 +22,8 @@ from loomgraph.plans.superstep import Supersteps
 from loomgraph.session import ensure_importable, materialize
 from loomgraph.tables import Log, stored_by
 
-#: Edges of a block: a few megabytes, and some tenths of a second of a kernel's time.
-BLOCK_EDGES = 1 << 18
+#: Edges of a block: 32 MB as arrays, a few seconds of a kernel's time.
+BLOCK_EDGES = 1 << 21
 
 
 @dataclass(frozen=True)

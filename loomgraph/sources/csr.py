@@ -3,19 +3,25 @@
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 from pathlib import PurePosixPath
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from loomgraph.functions.strings import tokens
 from loomgraph.graph import Graph
+from loomgraph.operators.primitives import numbered
+from loomgraph.session import ensure_importable
 
 #: Fixed values of the formats.
 HEADER_BYTES, PLAIN, WEIGHTED = 24, "AdjacencyGraph", "WeightedAdjacencyGraph"
-BATCH = 1 << 18
+#: Edges that a task hands over at once, and edges of a partition of a file.
+BATCH, SPLIT_EDGES = 1 << 18, 1 << 24
 
 
 def graph_name(path: str) -> str:
@@ -31,58 +37,122 @@ def weighted_name(path: str, limit: int = 0, extension: str = ".bin") -> str:
     return f"{graph_name(path)}_wgh{limit or 'log'}{extension}"
 
 
-def _decode(raw, weight: str | None):
-    """(n, sources and targets and weights in batches) of the block at the start of raw, and its length in bytes."""
-    n, m, size = (int(x) for x in np.frombuffer(raw, "<u8", 3))
-    plain = HEADER_BYTES + 8 * (n + 1) + 4 * m
-    if size not in (plain, plain + 4 * m):
-        raise ValueError(f"{size} bytes for {n} vertices and {m} edges is no CSR layout")
-    offsets = np.frombuffer(raw, "<u8", n + 1, HEADER_BYTES).astype(np.int64)
-    at = HEADER_BYTES + 8 * (n + 1)
-    if size == plain:
-        targets, weights = np.frombuffer(raw, "<u4", m, at), None
-    else:
-        kind = np.dtype([("wgh", "<f4" if weight == "float" else "<i4"), ("dst", "<u4")])
-        records = np.frombuffer(raw, kind, m, at)
-        targets, weights = records["dst"], records["wgh"]
-    return n, offsets, targets, weights, size
+@dataclass(frozen=True)
+class Layout:
+    """Where the sections of a block stand in its file: three counts, n + 1 offsets, m records of a target (and a weight)."""
+
+    at: int
+    n: int
+    m: int
+    size: int
+
+    @property
+    def weighted(self) -> bool:
+        return self.size > HEADER_BYTES + 8 * (self.n + 1) + 4 * self.m
+
+    @property
+    def records(self) -> int:
+        return self.at + HEADER_BYTES + 8 * (self.n + 1)
+
+    @property
+    def end(self) -> int:
+        return self.at + self.size
+
+    @staticmethod
+    def read(file, at: int = 0) -> Layout:
+        file.seek(at)
+        n, m, size = (int(x) for x in np.frombuffer(file.read(HEADER_BYTES), "<u8", 3))
+        plain = HEADER_BYTES + 8 * (n + 1) + 4 * m
+        if size not in (plain, plain + 4 * m):
+            raise ValueError(f"{size} bytes for {n} vertices and {m} edges is no CSR layout")
+        return Layout(at, n, m, size)
+
+    def offsets(self, file, first: int, count: int) -> np.ndarray:
+        file.seek(self.at + HEADER_BYTES + 8 * first)
+        return np.frombuffer(file.read(8 * min(count, self.n + 1 - first)), "<u8").astype(np.int64)
+
+    def source_of(self, file, edge: int) -> int:
+        """The vertex that has the edge, by bisecting the offsets in the file."""
+        low, high = 0, self.n
+        while high - low > 1:
+            middle = (low + high) // 2
+            low, high = (middle, high) if self.offsets(file, middle, 1)[0] <= edge else (low, middle)
+        return low
+
+
+def _open(path: str):
+    """A file that Arrow's file systems can open: a local path or a URI such as hdfs:// or s3://."""
+    system, inside = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+    return system.open_input_file(inside)
 
 
-def read_binary(spark: SparkSession, path: str, weight: str | None = None, symmetric: bool | None = None, part: int = 0) -> Graph:
-    """A binary CSR file; weight: None, "int" or "float". part 1 is the second of two blocks, the in-edges of a double file.
+def _layout(path: str, part: int = 0) -> Layout:
+    with _open(path) as file:
+        layout = Layout.read(file)
+        for _ in range(part):
+            layout = Layout.read(file, layout.end)
+        return layout
 
-    Spark's file reader delivers the file as one row (2 GB at most); it is decoded in batches, never as one table.
+
+class CsrEdges(DataSource):
+    """Spark data source "loomgraph_csr": the edges of a binary CSR file, a partition for each range of about SPLIT_EDGES edges.
+
+    Options: path, weight ("int", "float" or none), part (which block of the file). A task reads its range of the records and
+    the offsets that it needs, so neither the file's size nor a vertex's degree meets a limit.
     """
-    more = "" if weight is None else f", wgh {weight}"
-    kind = pa.float32() if weight == "float" else pa.int32()
 
-    def edges(batches):
-        for batch in batches:
-            for content in batch.column("content"):
-                raw = memoryview(content.as_buffer())
-                for _ in range(part):
-                    raw = raw[_decode(raw, weight)[-1] :]
-                n, offsets, targets, weights, _ = _decode(raw, weight)
-                for a in range(0, len(targets), BATCH):
-                    b = min(a + BATCH, len(targets))
-                    source = np.searchsorted(offsets, np.arange(a, b), "right") - 1
-                    columns = [pa.array(source, pa.int64()), pa.array(targets[a:b].astype(np.int64))]
-                    if weight is not None:
-                        columns.append(pa.array(np.ones(b - a) if weights is None else weights[a:b].copy(), kind))
+    @classmethod
+    def name(cls) -> str:
+        return "loomgraph_csr"
+
+    def schema(self) -> str:
+        return "src long, dst long" + (f", wgh {weight}" if (weight := self.options.get("weight")) else "")
+
+    def reader(self, schema) -> CsrReader:
+        return CsrReader(self.options["path"], self.options.get("weight") or None, int(self.options.get("part", 0)), int(self.options.get("split", SPLIT_EDGES)))
+
+
+class CsrReader(DataSourceReader):
+    def __init__(self, path: str, weight: str | None, part: int, split: int):
+        self.path, self.weight, self.split, self.layout = path, weight, split, _layout(path, part)
+
+    def partitions(self) -> list[InputPartition]:
+        return [InputPartition(a) for a in range(0, self.layout.m, self.split)] or [InputPartition(0)]
+
+    def read(self, partition: InputPartition):
+        layout, a = self.layout, partition.value
+        end = min(a + self.split, layout.m)
+        if a >= end:
+            return
+        weight = "<f4" if self.weight == "float" else "<i4"
+        record = np.dtype(([("wgh", weight)] if layout.weighted else []) + [("dst", "<u4")])
+        with _open(self.path) as file:
+            vertex = layout.source_of(file, a)
+            while a < end:
+                offsets = layout.offsets(file, vertex, BATCH)
+                # The edges of the vertices whose ends are known.
+                b = min(end, a + BATCH, int(offsets[-1]))
+                if b > a:
+                    file.seek(layout.records + record.itemsize * a)
+                    rows = np.frombuffer(file.read(record.itemsize * (b - a)), record)
+                    source = vertex + np.searchsorted(offsets, np.arange(a, b), "right") - 1
+                    columns = [pa.array(source, pa.int64()), pa.array(rows["dst"].astype(np.int64))]
+                    if self.weight:
+                        kind = pa.float32() if self.weight == "float" else pa.int32()
+                        columns.append(pa.array(np.ascontiguousarray(rows["wgh"]) if layout.weighted else np.ones(b - a), kind))
                     yield pa.RecordBatch.from_arrays(columns, names=["src", "dst", "wgh"][: len(columns)])
+                    vertex, a = int(source[-1]), b
+                else:
+                    vertex += len(offsets) - 1
 
-    def header(batches):
-        for batch in batches:
-            for content in batch.column("content"):
-                raw = memoryview(content.as_buffer())
-                for _ in range(part):
-                    raw = raw[_decode(raw, weight)[-1] :]
-                yield pa.RecordBatch.from_arrays([pa.array([int(np.frombuffer(raw, "<u8", 1)[0])])], names=["n"])
-
-    file = spark.read.format("binaryFile").load(path).select("content")
-    n = file.mapInArrow(header, "n long").first()["n"]
+
+def read_binary(spark: SparkSession, path: str, weight: str | None = None, symmetric: bool | None = None, part: int = 0, split: int | None = None) -> Graph:
+    """A binary CSR file of any size; weight: None, "int" or "float". part 1 is the second of two blocks, the in-edges of a double file."""
+    ensure_importable(spark)
+    spark.dataSource.register(CsrEdges)
+    options = {"path": path, "weight": weight or "", "part": str(part), "split": str(split or SPLIT_EDGES)}
     known = is_symmetric_name(path) if symmetric is None else symmetric
-    return Graph.from_edges(file.mapInArrow(edges, f"src long, dst long{more}"), n, symmetric=known)
+    return Graph.from_edges(spark.read.format("loomgraph_csr").options(**options).load(), _layout(path, part).n, symmetric=known)
 
 
 def read_double(spark: SparkSession, path: str) -> tuple[Graph, Graph]:
@@ -90,36 +160,99 @@ def read_double(spark: SparkSession, path: str) -> tuple[Graph, Graph]:
     return read_binary(spark, path, part=0, symmetric=False), read_binary(spark, path, part=1, symmetric=False)
 
 
-def _packed(rows: DataFrame, kind: np.dtype):
-    """The records of rows in order, in chunks of bytes that the tasks encode."""
+def _write_ranges(rows: DataFrame, kind: np.dtype, base: int, path: str) -> DataFrame:
+    """(start, bytes): runs of rows (at, columns of kind) that tasks wrote, the row of position at to byte base + at * its size.
 
-    def encode(batches):
+    A local (or mounted) file is written in place, so running a task again writes the same bytes to the same place; on
+    other file systems a run is a part file named by its start.
+    """
+    local = "://" not in path or path.startswith("file:")
+
+    def sink(start: int):
+        if local:
+            out = open(path.removeprefix("file://"), "r+b")
+            out.seek(start)
+            return out
+        system, inside = fs.FileSystem.from_uri(path)
+        return system.open_output_stream(f"{inside}.parts/{start:020d}")
+
+    def write(batches):
+        out, start, end = None, 0, 0
         for batch in batches:
-            records = np.empty(batch.num_rows, kind)
+            at = batch.column("at").to_numpy()
+            order = np.argsort(at, kind="stable")
+            at, records = at[order], np.empty(len(at), kind)
             for name in kind.names:
-                records[name] = batch.column(name).to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array([records.tobytes()], pa.binary())], names=["chunk"])
-
-    for row in rows.mapInArrow(encode, "chunk binary").toLocalIterator():
-        yield row["chunk"]
+                records[name] = batch.column(name).to_numpy()[order]
+            cuts = np.flatnonzero(np.diff(at) != 1) + 1
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(at)], strict=True):
+                if a == b:
+                    continue
+                if out is None or base + int(at[a]) * kind.itemsize != end:
+                    if out:
+                        out.close()
+                        yield pa.RecordBatch.from_pydict({"start": [start], "bytes": [end - start]})
+                    start = end = base + int(at[a]) * kind.itemsize
+                    out = sink(start)
+                out.write(records[a:b].tobytes())
+                end += (b - a) * kind.itemsize
+        if out:
+            out.close()
+            yield pa.RecordBatch.from_pydict({"start": [start], "bytes": [end - start]})
+
+    return rows.mapInArrow(write, "start long, bytes long")
+
+
+def _join(spark: SparkSession, path: str, starts: list[int]) -> None:
+    """Makes one file of the part files: by the file system where it can (HDFS), else as one copied stream."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    system = target.getFileSystem(conf)
+    parts = [jvm.org.apache.hadoop.fs.Path(f"{path}.parts/{start:020d}") for start in starts]
+    out = system.create(target, True)
+    if path.startswith("hdfs:"):
+        out.close()
+        system.concat(target, _java_array(spark, parts))
+    else:
+        for part in parts:
+            source = system.open(part)
+            jvm.org.apache.hadoop.io.IOUtils.copyBytes(source, out, conf, False)
+            source.close()
+        out.close()
+    system.delete(jvm.org.apache.hadoop.fs.Path(f"{path}.parts"), True)
+
+
+def _java_array(spark: SparkSession, paths: list):
+    out = spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.org.apache.hadoop.fs.Path, len(paths))
+    for i, x in enumerate(paths):
+        out[i] = x
+    return out
 
 
 def write_binary(graph: Graph, path: str) -> None:
-    """One CSR file, sorted by source and target, in a folder that the driver can open.
+    """One CSR file, edges by source and target. Tasks write their ranges of it; only ranges' starts reach the driver.
 
-    The format is one file: tasks sort and encode, the driver only appends their chunks, one partition at a time.
+    Vertices are 0..n-1. A local path must be one that all executors see, such as a mounted folder.
     """
+    spark = graph.edges.sparkSession
+    ensure_importable(spark)
     n, m = graph.vertices.count(), graph.edges.count()
     size = HEADER_BYTES + 8 * (n + 1) + (8 if graph.weighted else 4) * m
     weight = "<f4" if dict(graph.edges.dtypes).get("wgh") == "float" else "<i4"
     record = np.dtype(([("wgh", weight)] if graph.weighted else []) + [("dst", "<u4")])
-    with open(path.removeprefix("file://"), "wb") as out:
-        out.write(np.array([n, m, size], "<u8").tobytes())
-        for chunk in _packed(graph.offsets().orderBy("id").select("first"), np.dtype([("first", "<u8")])):
-            out.write(chunk)
-        out.write(m.to_bytes(8, "little"))
-        for chunk in _packed(graph.edges.orderBy("src", *record.names[::-1]).select(*record.names), record):
-            out.write(chunk)
+    if local := "://" not in path or path.startswith("file:"):
+        with open(path.removeprefix("file://"), "wb") as out:
+            out.truncate(size)
+    head = spark.createDataFrame([(i, x) for i, x in enumerate((n, m, size))] + [(3 + n, m)], "at long, first long").coalesce(1)
+    firsts = graph.offsets().select((F.col("id") + 3).alias("at"), "first").repartitionByRange("at").sortWithinPartitions("at")
+    edges = numbered(graph.edges, "src", *record.names[::-1]).select(F.col("place").alias("at"), *record.names)
+    counts = np.dtype([("first", "<u8")])
+    written = _write_ranges(head, counts, 0, path).unionByName(_write_ranges(firsts, counts, 0, path)).unionByName(_write_ranges(edges, record, HEADER_BYTES + 8 * (n + 1), path))
+    ranges = sorted((r["start"], r["bytes"]) for r in written.collect())  # a row for each sorted part
+    if sum(count for _, count in ranges) != size or any(a + count != b for (a, count), (b, _) in zip(ranges, ranges[1:], strict=False)):
+        raise ValueError(f"the vertices are not 0 to {n - 1}, or {path} was not written whole")
+    if not local:
+        _join(spark, path, [start for start, _ in ranges])
 
 
 def write_weighted(spark: SparkSession, path: str, folder: str, limit: int = 0) -> str:
@@ -169,8 +302,9 @@ def read_adjacency(spark: SparkSession, path: str, weight: str | None = None, sy
 def read_both(spark: SparkSession, path: str, symmetric: bool | None = None) -> tuple[Graph, Graph]:
     """A graph and its inverse: itself if symmetric, the second block of a binary file that has two, else the transpose."""
     if path.endswith(".bin") and not (is_symmetric_name(path) if symmetric is None else symmetric):
-        head = spark.read.format("binaryFile").load(path).select("length", F.substring("content", 1, HEADER_BYTES).alias("head")).first()
-        if head["length"] > int(np.frombuffer(head["head"], "<u8")[2]):
+        with _open(path) as file:
+            two = file.size() > Layout.read(file).end
+        if two:
             return read_double(spark, path)
     graph = read_graph(spark, path, symmetric=symmetric)
     return graph, graph.transpose()
