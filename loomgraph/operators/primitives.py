@@ -19,12 +19,16 @@ MONOIDS: dict[str, tuple[Callable[[Column], Column], object]] = {
 }
 
 
+#: Rows of a block of a long sequence, as a power of two.
+BLOCK_BITS = 16
+
+
 def tabulate(spark: SparkSession, n: int, **columns: Column) -> DataFrame:
     return spark.range(n).withColumns(columns)
 
 
-def numbered(df: DataFrame, *order: str, weight: str | None = None) -> DataFrame:
-    """df with place: how many rows (or the sum of weight over the rows) stand before, in the order of those columns.
+def numbered(df: DataFrame, *order: str | Column, weight: str | None = None, name: str = "place") -> DataFrame:
+    """df with place (or name): how many rows (or the sum of weight over the rows) stand before, in the order of those columns.
 
     order must settle ties. The range-partitioned sort is written once, since a second run could cut its parts elsewhere;
     a part then counts as one row, so no task orders more than its part or one row for each part.
@@ -39,7 +43,7 @@ def numbered(df: DataFrame, *order: str, weight: str | None = None) -> DataFrame
         inside = F.sum(weight).over(Window.partitionBy("sort_part").orderBy("sort_at")) - F.col(weight)
     # Broadcast: one row for each shuffle partition.
     joined = rows.join(F.broadcast(ahead), F.col("sort_part") == F.col("sum_part"))
-    return joined.withColumn("place", F.col("ahead") + inside).drop("sort_at", "sort_part", "sum_part", "ahead")
+    return joined.withColumn(name, F.col("ahead") + inside).drop("sort_at", "sort_part", "sum_part", "ahead")
 
 
 def _ranked(df: DataFrame, name: str, order: list[str], by: tuple[str, ...]) -> DataFrame:
@@ -100,11 +104,31 @@ def first_max(df: DataFrame, value: str, pos: str, *by: str) -> DataFrame:
     return df.groupBy(*by).agg(F.max(F.struct(F.col(value), (-F.col(pos)).alias("back"))).alias("m")).select(*by, (-F.col("m.back")).alias(pos), F.col(f"m.{value}"))
 
 
+#: How two folds of neighbouring stretches make one, NULL standing for a stretch without values.
+_JOIN: dict[Callable, Callable[[Column, Column], Column]] = {
+    F.sum: lambda a, b: a + b, F.product: lambda a, b: a * b, F.min: F.least, F.max: F.greatest, F.bool_and: lambda a, b: a & b, F.bool_or: lambda a, b: a | b,
+    F.bit_and: Column.bitwiseAND, F.bit_or: Column.bitwiseOR, F.bit_xor: Column.bitwiseXOR,
+}
+
+
 def scan(df: DataFrame, value: str, pos: str, *by: str, fold: Callable = F.sum, identity=0, inclusive: bool = False, backwards: bool = False) -> DataFrame:
-    """prefix: fold of the values before (inclusive: up to) each position, from the end if backwards."""
-    order = F.col(pos).desc() if backwards else F.col(pos)
-    frame = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
-    return df.withColumn("prefix", F.coalesce(fold(value).over(frame), F.lit(identity)))
+    """prefix: fold of the values before (inclusive: up to) each position, from the end if backwards.
+
+    fold is one of Spark's aggregates in MONOIDS; monoids.scan takes any other. Positions settle the order of a sequence, and
+    a sequence may hold all rows: windows run inside blocks of BLOCK rows, and over one row for each block.
+    """
+    rows = numbered(df, *by, F.col(pos).desc() if backwards else F.col(pos), name="seq_place").withColumn("scan_block", F.shiftright("seq_place", BLOCK_BITS))
+    keys = ["scan_block", *by]
+    folds = rows.groupBy(*keys).agg(fold(value).alias("own"))
+    ahead = fold("own").over(Window.partitionBy(*by).orderBy("scan_block").rowsBetween(Window.unboundedPreceding, -1))
+    ahead = folds.select(*[F.col(c).alias(f"ahead_{c}") for c in keys], ahead.alias("ahead"))
+    frame = Window.partitionBy(*keys).orderBy("seq_place").rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    same = F.lit(True)
+    for c in keys:
+        same = same & F.col(c).eqNullSafe(F.col(f"ahead_{c}"))
+    joined = rows.withColumn("inside", fold(value).over(frame)).join(ahead, same)
+    whole = F.coalesce(_JOIN[fold](F.col("ahead"), F.col("inside")), F.col("ahead"), F.col("inside"), F.lit(identity))
+    return joined.withColumn("prefix", whole).select(*df.columns, "prefix")
 
 
 def long_scan(df: DataFrame, value: str, pos: str, block: int = 1 << 16) -> DataFrame:
@@ -121,23 +145,39 @@ def rank(df: DataFrame, value: str, pos: str, *by: str) -> DataFrame:
     return _ranked(df, "rank", [value, pos], by)
 
 
+def with_previous(df: DataFrame, value: str, pos: str, *by: str) -> DataFrame:
+    """df with last_value, the value at the position before, and is_first, whether the sequence starts here.
+
+    The sorted sequence is cut in blocks of BLOCK rows; each block gets the last row of the one before, so nothing but
+    those ends is exchanged between blocks and no sequence is one task's.
+    """
+    rows = numbered(df, *by, pos, name="seq_place").withColumn("in_block", F.shiftright("seq_place", BLOCK_BITS))
+    ends = rows.where(F.col("seq_place") % (1 << BLOCK_BITS) == (1 << BLOCK_BITS) - 1).withColumn("in_block", F.col("in_block") + 1)
+    both = rows.withColumn("is_end", F.lit(False)).unionByName(ends.withColumn("is_end", F.lit(True)))
+    before = Window.partitionBy("in_block").orderBy("seq_place")
+    first = F.lag("seq_place").over(before).isNull()
+    for c in by:
+        first = first | ~F.col(c).eqNullSafe(F.lag(c).over(before))
+    marked = both.withColumns({"is_first": first, "last_value": F.lag(value).over(before)}).where("not is_end")
+    return marked.withColumn("last_value", F.when(~F.col("is_first"), F.col("last_value"))).drop("in_block", "is_end", "seq_place")
+
+
 def unique(df: DataFrame, value: str, pos: str, *by: str) -> DataFrame:
     """Rows that differ from the row before."""
-    before = Window.partitionBy(*by).orderBy(pos)
-    marked = df.withColumns({"last_value": F.lag(value).over(before), "is_first": F.row_number().over(before) == 1})
+    marked = with_previous(df, value, pos, *by)
     return marked.where(F.col("is_first") | ~F.col(value).eqNullSafe(F.col("last_value"))).drop("last_value", "is_first")
 
 
 def adjacent_equal(df: DataFrame, value: str, pos: str, *by: str) -> DataFrame:
     """(by, pos): the first position whose value equals the next one."""
-    after = F.lead(value).over(Window.partitionBy(*by).orderBy(pos))
-    return df.withColumn("after", after).where(F.col(value) == F.col("after")).groupBy(*by).agg(F.min(pos).alias(pos))
+    # The position before the first row that equals its predecessor.
+    marked = with_previous(df.withColumn("value_at", F.struct(F.col(value).alias("v"), F.col(pos).alias("p"))), "value_at", pos, *by)
+    return marked.where(F.col(value) == F.col("last_value.v")).groupBy(*by).agg(F.min("last_value.p").alias(pos))
 
 
 def is_sorted(df: DataFrame, value: str, pos: str, *by: str) -> DataFrame:
     """(by, sorted, upto): whether the values rise, and the first position where they fall (NULL if never)."""
-    falls = F.col(value) < F.lag(value).over(Window.partitionBy(*by).orderBy(pos))
-    marked = df.withColumn("falls", F.coalesce(falls, F.lit(False)))
+    marked = with_previous(df, value, pos, *by).withColumn("falls", F.coalesce(F.col(value) < F.col("last_value"), F.lit(False)))
     return marked.groupBy(*by).agg((~F.bool_or("falls")).alias("sorted"), F.min(F.when(F.col("falls"), F.col(pos))).alias("upto"))
 
 

@@ -6,13 +6,13 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import LongType
 
 from loomgraph.functions.hashing import np_mix64
-from loomgraph.operators.primitives import numbered
+from loomgraph.operators.primitives import numbered, scan
 from loomgraph.operators.sequences import random_order
 
 #: Fixed values of the fingerprint.
@@ -91,7 +91,9 @@ def relative(df: DataFrame, base: str, own: str, cap: float = 5.0) -> DataFrame:
 
 
 def fill_forward(df: DataFrame, value: str, pos: str, *by: str) -> DataFrame:
-    return df.withColumn(value, F.last(value, ignorenulls=True).over(Window.partitionBy(*by).orderBy(pos)))
+    """NULLs take the last value before them in their sequence: a scan, in blocks, of the place that has it."""
+    own = df.withColumn("filled_at", F.when(F.col(value).isNotNull(), F.struct(F.col(pos).alias("p"), F.col(value).alias("v"))))
+    return scan(own, "filled_at", pos, *by, fold=F.max, identity=None, inclusive=True).withColumn(value, F.col("prefix.v")).drop("filled_at", "prefix")
 
 
 def significant(value: Column, digits: int = 3) -> Column:

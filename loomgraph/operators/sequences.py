@@ -45,15 +45,86 @@ def find_first_of(df: DataFrame, others: DataFrame, value: str, pos: str, n: int
     return df.join(others.select(value).distinct(), value, "left_semi").agg(F.coalesce(F.min(pos), F.lit(n)).alias("place"))
 
 
+#: Positions of a block of a search; the two primes of its rolling hashes; most distinct pattern values that are broadcast.
+SEARCH_BLOCK, PRIMES, SMALL = 1 << 16, (2147483647, 2147483629), 50_000
+
+
 def occurrences(df: DataFrame, pattern: DataFrame, value: str, pos: str) -> DataFrame:
     """(start): where pattern (gapless positions from 0) stands in df (gapless positions); no row for an empty pattern.
 
-    Each equal value votes for a start, summed up before the shuffle; a start needs as many votes as the pattern has rows.
+    Values become the pattern's codes. The sequence is cut in blocks that overlap by the pattern's length less one; in a
+    block the rolling hashes of all windows are worked out at once and those equal to the pattern's are compared with it,
+    sharing what overlapping ones have in common. A block's work is linear, however often a value stands in both.
+    The pattern is the question: its codes, 8 bytes an element, go to every task. NULL equals nothing.
     """
-    wanted = pattern.select(F.col(value).alias("p_value"), F.col(pos).alias("p_pos"))
-    votes = df.join(wanted, F.col(value) == F.col("p_value")).groupBy((F.col(pos) - F.col("p_pos")).alias("start")).agg(F.count(F.lit(1)).alias("votes"))
-    size = pattern.agg(F.count(F.lit(1)).alias("size"))
-    return votes.where(F.col("votes") == size.scalar()).select("start")
+    coded = numbered(pattern.select(value).where(F.col(value).isNotNull()).distinct(), value, name="code").withColumnRenamed(value, "p_value")
+    asked = pattern.join(coded, F.col(value) == F.col("p_value"), "left").select(pos, F.coalesce("code", F.lit(-2)).alias("code"))
+    wanted = np.array([c for _, c in sorted((r[0], r[1]) for r in asked.collect())], np.int64)
+    m = len(wanted)
+    block = max(SEARCH_BLOCK, m)
+    if not m:
+        return df.select(F.col(pos).alias("start")).limit(0)
+    coded = F.broadcast(coded) if len(set(wanted.tolist())) <= SMALL else coded
+    rows = df.join(coded, F.col(value) == F.col("p_value"), "left").select(F.col(pos).cast("long").alias("at"), F.coalesce("code", F.lit(-1)).cast("long").alias("code"))
+    own = F.floor(F.col("at") / block)
+    # A row is also the tail of a window that starts in the block before.
+    tail = F.when(F.col("at") - own * block < m - 1, F.array(own, own - 1)).otherwise(F.array(own))
+    find = _finder(wanted, block)
+    return rows.withColumn("block", F.explode(tail)).groupBy("block").applyInArrow(find, "start long")
+
+
+def _finder(wanted: np.ndarray, block: int):
+    m = len(wanted)
+    repeats = _self_overlaps(wanted)
+
+    def hashes(codes: np.ndarray, prime: int, base: int) -> tuple[np.ndarray, np.ndarray]:
+        power = np.ones(len(codes) + 1, np.int64)
+        known = 1
+        while known < len(power):
+            more = power[: min(known, len(power) - known)] * pow(base, known, prime) % prime
+            power[known : known + len(more)] = more
+            known += len(more)
+        return np.concatenate([[0], np.cumsum((codes + 3) * power[:-1] % prime) % prime]), power
+
+    def find(key, table):
+        at = table.column("at").to_numpy()
+        order = np.argsort(at, kind="stable")
+        at, codes = at[order], table.column("code").to_numpy()[order]
+        ok = np.arange(len(codes) - m + 1) if len(codes) >= m else np.zeros(0, np.int64)
+        ok = ok[at[ok] // block == key[0].as_py()]
+        for prime, base in zip(PRIMES, (911382323, 972663749), strict=True):
+            sums, power = hashes(codes, prime, base)
+            own, _ = hashes(wanted, prime, base)
+            ok = ok[(sums[ok + m] - sums[ok]) % prime == own[m] * power[ok] % prime]
+        starts, last = [], None
+        for i in ok.tolist():
+            step = m if last is None else i - last
+            # The part that the last occurrence covers is known to equal the pattern from step on.
+            if step >= m or repeats[step]:
+                known = max(0, m - step)
+                if np.array_equal(codes[i + known : i + m], wanted[known:]):
+                    starts.append(i)
+                    last = i
+        return pa.table({"start": pa.array(at[starts] if starts else np.zeros(0, np.int64), pa.int64())})
+
+    return find
+
+
+def _self_overlaps(wanted: np.ndarray) -> np.ndarray:
+    """For each step whether the pattern, moved on by it, agrees with itself: from the borders of the whole pattern."""
+    codes, m = wanted.tolist(), len(wanted)
+    border = [0] * (m + 1)
+    k = 0
+    for i in range(1, m):
+        while k and codes[i] != codes[k]:
+            k = border[k]
+        k += codes[i] == codes[k]
+        border[i + 1] = k
+    out, k = np.zeros(m + 1, bool), m
+    while k:
+        out[m - k] = True
+        k = border[k]
+    return out
 
 
 def find_span(df: DataFrame, pattern: DataFrame, value: str, pos: str, n: int, last: bool = False) -> DataFrame:

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from loomgraph.operators.primitives import numbered
 from loomgraph.session import materialize
 
 
@@ -78,6 +79,40 @@ class VertexSet:
         return rows.groupBy(F.bitmap_bucket_number("id").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("id")).alias("bits")).withColumn("n", F.bitmap_count("bits"))
 
 
+    def words(self) -> DataFrame:
+        """(word, bits, n, before): the members of each run of 64 ids as bits of a number, and how many stand before the run.
+
+        Popcounts are summed in two levels, inside runs of 1,024 words and over one row for each of these.
+        """
+        bit = F.expr("shiftleft(1L, cast(id & 63 as int))")
+        words = self.ids.groupBy(F.shiftright("id", 6).alias("word")).agg(F.bit_or(bit).alias("bits")).withColumns({"n": F.bit_count("bits").cast("long"), "run": F.shiftright("word", 10)})
+        runs = words.groupBy(F.col("run").alias("of_run")).agg(F.sum("n").alias("in_run"))
+        ahead = runs.select("of_run", (F.sum("in_run").over(Window.orderBy("of_run")) - F.col("in_run")).alias("ahead"))
+        inside = F.sum("n").over(Window.partitionBy("run").orderBy("word")) - F.col("n")
+        return words.withColumn("inside", inside).join(ahead, F.col("run") == F.col("of_run")).select("word", "bits", "n", (F.col("ahead") + F.col("inside")).alias("before"))
+
+    def rank(self, asked: DataFrame) -> DataFrame:
+        """(id, rank): how many members are smaller than each asked id, a member or not."""
+        words, asked = self.words(), asked.select(F.col("id").cast("long").alias("id")).distinct()
+        # A word that has no member gets its sum from the order of words; one that has, its own bits below the id as well.
+        both = words.select("word", F.lit(1).alias("kind"), "n").unionByName(asked.select(F.shiftright("id", 6).alias("word"), F.lit(0).alias("kind"), F.lit(0).cast("long").alias("n")).distinct())
+        ahead = numbered(both, "word", "kind", weight="n").where("kind = 0").select(F.col("word").alias("a_word"), F.col("place").alias("ahead"))
+        below = F.expr("bit_count(bits & ~shiftleft(-1L, cast(id & 63 as int)))")
+        joined = asked.withColumn("in_word", F.shiftright("id", 6)).join(ahead, F.col("in_word") == F.col("a_word")).join(words.select("word", "bits"), F.col("in_word") == F.col("word"), "left")
+        return joined.select("id", (F.col("ahead") + F.coalesce(below, F.lit(0))).cast("long").alias("rank"))
+
+    def select(self, asked: DataFrame) -> DataFrame:
+        """(k, id): the member with k smaller ones, for each asked k that has one.
+
+        A word's members have at most two different k >> 6, by which words and questions are joined.
+        """
+        words = self.words().withColumn("near", F.explode(F.expr("sequence(shiftright(before, 6), shiftright(before + n - 1, 6))")))
+        asked = asked.select(F.col("k").cast("long").alias("k")).distinct()
+        hit = asked.join(words, F.shiftright("k", 6) == F.col("near")).where("k >= before and k < before + n")
+        place = F.expr("filter(sequence(0, 63), i -> shiftright(bits, i) & 1 = 1)[cast(k - before as int)]")
+        return hit.select("k", (F.shiftleft("word", 6) + place).alias("id"))
+
+
 class Frontier:
     """Two sets: members of this round and of the next. Empty at first; for_each clears unless told not to."""
 

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions import hashing, strings
 from loomgraph.graph import Graph, random_graph
+from loomgraph.operators import monoids as M
 from loomgraph.operators import primitives as P
 from loomgraph.operators import results as R
 from loomgraph.operators import vertexset as V
@@ -332,6 +334,17 @@ def vs_edge_sum(spark, sf_dir):
     return _customers(spark, sf_dir, "c_nationkey = 3").edge_sum(customer_parts(spark, sf_dir).degrees())
 
 
+@query("select c_custkey id, (count(*) filter (where c_nationkey < 10) over (order by c_custkey) - (c_nationkey < 10)::int)::bigint rank from customer")
+def vs_rank(spark, sf_dir):
+    return _customers(spark, sf_dir, "c_nationkey < 10").rank(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id")))
+
+
+@query("select k, c_custkey id from (select c_custkey, row_number() over (order by c_custkey) - 1 k from customer where c_nationkey < 10) where k in (select s_suppkey from supplier)")
+def vs_select(spark, sf_dir):
+    """The customer of each supplier's number, among those of the first ten nations."""
+    return _customers(spark, sf_dir, "c_nationkey < 10").select(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k")))
+
+
 @query("select min(c_acctbal) \"value\" from customer where c_nationkey = 3")
 def vs_min_attr(spark, sf_dir):
     return _customers(spark, sf_dir, "c_nationkey = 3").min_of(_balance(spark, sf_dir), "c_acctbal", 1.7976931348623157e308)
@@ -507,6 +520,31 @@ def win_long_scan(spark, sf_dir):
     return P.long_scan(_orders(spark, sf_dir), "o_custkey", "o_orderkey", block=1000).select("o_orderkey", "prefix")
 
 
+@query("select o_orderkey, min(o_totalprice) over (order by o_orderkey desc rows between unbounded preceding and 1 preceding) prefix from orders")
+def win_scan_min_all(spark, sf_dir):
+    """One sequence of the whole table, from its end."""
+    return P.scan(_orders(spark, sf_dir), "o_totalprice", "o_orderkey", fold=F.min, identity=None, backwards=True).select("o_orderkey", "prefix")
+
+
+@query(
+    """select o_orderkey, coalesce(sum(o_custkey) over w, 0)::bigint total, coalesce(max(o_totalprice) over w, 0) top from orders
+ window w as (order by o_orderkey rows between unbounded preceding and 1 preceding)"""
+)
+def win_scan_pair_all(spark, sf_dir):
+    both = M.pair(M.simple("total", "long", 0, np.add), M.simple("top", "double", 0.0, np.maximum))
+    return M.scan(_orders(spark, sf_dir), both, (F.col("o_custkey"), F.col("o_totalprice")), "o_orderkey").select("o_orderkey", "total", "top")
+
+
+@query("select event_id, event_type from (select *, lag(event_type) over (order by event_id) p from events) where p is null or p <> event_type")
+def win_unique_all(spark, sf_dir):
+    return P.unique(table(spark, sf_dir, "events"), "event_type", "event_id").select("event_id", "event_type")
+
+
+@query("select not bool_or(f) sorted, min(case when f then event_id end) upto from (select *, coalesce(ts < lag(ts) over (order by event_id), false) f from events)")
+def win_is_sorted_all(spark, sf_dir):
+    return P.is_sorted(table(spark, sf_dir, "events"), "ts", "event_id")
+
+
 @query("select o_orderkey, (row_number() over (partition by o_orderstatus order by o_custkey, o_orderkey) - 1)::bigint rank from orders")
 def win_rank(spark, sf_dir):
     return P.rank(_orders(spark, sf_dir), "o_custkey", "o_orderkey", "o_orderstatus").select("o_orderkey", F.col("rank").cast("long"))

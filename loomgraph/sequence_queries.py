@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from loomgraph import queries as Q
 from loomgraph.functions import hashing, strings
 from loomgraph.graph import Graph
+from loomgraph.operators import monoids as M
 from loomgraph.operators import primitives as P
 from loomgraph.operators import results as R
 from loomgraph.operators import sequences as S
@@ -241,6 +243,19 @@ def seq_search(spark, sf_dir):
     return first.select(F.col("place").alias("first")).withColumn("last", last.scalar())
 
 
+@query(
+    """with e as (select (row_number() over (order by event_id) - 1)::bigint i, event_type = 'click' t from events), n as (select least(1000, count(*)) m, count(*) // 2 half from e),
+ p as (select string_agg(t::int::varchar, '' order by i) s from e), w as (select substr(s, half + 1, m) x from p, n)
+ select i as start from e, p, w, n where substr(s, i + 1, m) = x and i + m <= length(s)"""
+)
+def seq_search_long(spark, sf_dir):
+    """A pattern of 1,000 elements out of the middle of a sequence that has two values."""
+    events = S.enumerate_rows(table(spark, sf_dir, "events").select("event_id", (F.col("event_type") == "click").alias("t")), "event_id").select("place", "t")
+    n = events.count()
+    pattern = S.cut(events, "place", n // 2, n // 2 + min(1000, n)).select((F.col("place") - n // 2).alias("place"), "t")
+    return S.occurrences(events, pattern, "t", "place")
+
+
 @query("select false equal, (select o_custkey from orders where o_orderkey = 701) < (select o_custkey + 1 from orders where o_orderkey = 701) less")
 def seq_compare(spark, sf_dir):
     orders = table(spark, sf_dir, "orders")
@@ -265,8 +280,27 @@ def agg_minmax(spark, sf_dir):
 
 @query("select o_custkey, sum(o_orderkey)::bigint a, min(o_totalprice) b from orders group by 1")
 def agg_pair_monoid(spark, sf_dir):
-    folds = [P.MONOIDS[name][0](value).alias(out) for name, value, out in (("plus", "o_orderkey", "a"), ("minimum", "o_totalprice", "b"))]
-    return table(spark, sf_dir, "orders").groupBy("o_custkey").agg(*folds)
+    both = M.pair(M.simple("a", "long", 0, np.add), M.simple("b", "double", float("inf"), np.minimum))
+    return M.aggregate(table(spark, sf_dir, "orders"), both, (F.col("o_orderkey"), F.col("o_totalprice")), "o_custkey")
+
+
+@query(
+    """select l_returnflag, low.q q, low.k k, n, round(mean, 6) mean, round(variance, 3) variance from (select l_returnflag, min({'q': l_quantity::double, 'k': l_orderkey}) low,
+ count(*)::bigint n, avg(l_extendedprice::double) mean, var_pop(l_extendedprice::double) variance from lineitem group by 1)"""
+)
+def agg_custom_monoid(spark, sf_dir):
+    """A merge of one's own beside a lexicographic one: count, mean and squared deviations of stretches of rows."""
+
+    def merge(a, b):
+        (n, mean, dev), (m, other, more) = a, b
+        total = np.maximum(n + m, 1)
+        return n + m, (n * mean + m * other) / total, dev + more + (other - mean) ** 2 * n * m / total
+
+    moments = M.Monoid({"n": "long", "mean": "double", "dev": "double"}, (0, 0.0, 0.0), merge)
+    first = M.lexicographic({"q": "double", "k": "long"}, (float("inf"), 2**62))
+    lines, price = table(spark, sf_dir, "lineitem"), F.col("l_extendedprice").cast("double")
+    out = M.aggregate(lines, M.pair(first, moments), (F.col("l_quantity"), F.col("l_orderkey"), F.lit(1), price, F.lit(0.0)), "l_returnflag")
+    return out.select("l_returnflag", "q", "k", "n", F.round("mean", 6).alias("mean"), F.round(F.col("dev") / F.col("n"), 3).alias("variance"))
 
 
 @query("select 0 i, sum(l_quantity) \"value\" from lineitem union all select 1, sum(l_linenumber) from lineitem")
