@@ -89,6 +89,16 @@ def histogram_by_index(df: DataFrame, key: str, n: int) -> DataFrame:
     return reduce_by_index(df, key, F.lit(1), "plus", n).select("idx", F.col("value").cast("long").alias("n"))
 
 
+def group_by_key(df: DataFrame, key: str, value: str, most: int | None = None) -> DataFrame:
+    """(key, values): the values of a key in any order; most: several rows for a key that has more, each with about that many."""
+    if most is None:
+        return df.groupBy(key).agg(F.collect_list(value).alias("values"))
+    counts = df.groupBy(F.col(key).alias("of_key")).agg(F.ceil(F.count(F.lit(1)) / most).alias("parts")).where("parts > 1")
+    dealt = df.join(counts, F.col(key) == F.col("of_key"), "left")
+    part = F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64(*df.columns, F.monotonically_increasing_id()), F.col("parts")))
+    return dealt.withColumn("part", part).groupBy(key, "part").agg(F.collect_list(value).alias("values")).drop("part")
+
+
 def group_by_key_ordered(df: DataFrame, key: str, value: str, pos: str) -> DataFrame:
     """(key, values): the values of a key in order of position. A key's values become one array."""
     rows = F.array_sort(F.collect_list(F.struct(pos, value)))

@@ -12,7 +12,8 @@ from loomgraph.graph import Graph
 from loomgraph.operators.primitives import numbered
 from loomgraph.plans.partitioned import Adjacency, Blocks, last_values, local_search
 from loomgraph.plans.superstep import Supersteps
-from loomgraph.session import as_one, discard, materialize
+from loomgraph.session import as_one, discard
+from loomgraph.tables import materialize_measured
 
 
 def core_numbers(graph: Graph, steps: Supersteps | None = None, size: int | None = None) -> DataFrame:
@@ -74,23 +75,19 @@ def peel(graph: Graph, load: DataFrame | None = None, steps: Supersteps | None =
     smallest count left or the k before if that is larger, and lowers the counts of their neighbours.
     """
     edges = graph.edges.select("src", "dst")
-    left = materialize((load or graph.degrees()).select("id", "deg"), "left")
-    gone, k, turn, n = [], 0, 0, None
+    left, seen = materialize_measured((load or graph.degrees()).select("id", "deg"), "left", low=F.min("deg"))
+    gone, k, turn = [], 0, 0
     steps = steps or Supersteps()
-    began = time.time()
-    while True:
-        low, rest = left.agg(F.min("deg"), F.count(F.lit(1))).first()
-        if n is not None:
-            steps.log.append((turn - 1, n - rest, time.time() - began))
-        if low is None:
-            break
-        began, k, n = time.time(), max(k, low), rest
-        out = materialize(left.where(F.col("deg") <= k).select("id", F.lit(k).cast("long").alias("value"), F.lit(turn).alias("turn")), "peeled")
+    # The job that lowers the counts also finds the smallest one, which the next round starts from.
+    while seen["n"]:
+        began, k = time.time(), max(k, seen["low"])
+        out, peeled = materialize_measured(left.where(F.col("deg") <= k).select("id", F.lit(k).cast("long").alias("value"), F.lit(turn).alias("turn")), "peeled")
         gone.append(out)
         lost = edges.join(out.select(F.col("id").alias("o_id")), F.col("src") == F.col("o_id"), "left_semi").groupBy(F.col("dst").alias("d_id")).agg(F.count(F.lit(1)).alias("lost"))
-        old = left
-        left = materialize(old.where(F.col("deg") > k).join(lost, F.col("id") == F.col("d_id"), "left").select("id", (F.col("deg") - F.coalesce("lost", F.lit(0))).alias("deg")), "left")
+        old, left = left, left.where(F.col("deg") > k).join(lost, F.col("id") == F.col("d_id"), "left").select("id", (F.col("deg") - F.coalesce("lost", F.lit(0))).alias("deg"))
+        left, seen = materialize_measured(left, "left", low=F.min("deg"))
         discard(old)
+        steps.log.append((turn, peeled["n"], time.time() - began))
         turn += 1
     return as_one(gone) if gone else left.select("id", F.col("deg").alias("value"), F.lit(0).alias("turn"))
 

@@ -76,7 +76,7 @@ def local_search(blocks: Blocks, kernel: Kernel, start: DataFrame | None = None,
     def send(rows: DataFrame, turn: int) -> int:
         """Rows (id, value, giver) become mail; the number of those that wake a block."""
         post = rows.join(readers, "id").select("block", "id", "value", F.lit(turn).alias("turn"), "own", (F.col("block") != F.col("giver")).alias("news"))
-        return mail.append(post, news=F.count_if("news"))["news"]
+        return mail.append(post, news=F.count_if("news"))["news"] or 0
 
     def run(now: int):
         def work(key, edges: pa.Table, rows: pa.Table) -> pa.Table:

@@ -54,7 +54,7 @@ def bfs(graph: Graph, source: int, direction: str = "auto", steps: Supersteps |
         reached = levels.read()
         front = reached.where(F.col("turn") == turn).select(F.col("id").alias("f_id"))
         found = front.join(edges, F.col("f_id") == F.col("src")).select(F.col("dst").alias("id"))
-        if direction == "pull" or (direction == "auto" and 8 * size["load"] > m):
+        if direction == "pull" or (direction == "auto" and 8 * (size["load"] or 0) > m):
             found = graph.vertices.join(reached.select("id"), "id", "left_anti").join(found, "id", "left_semi")
         else:
             found = found.distinct().join(reached.select("id"), "id", "left_anti")

@@ -15,6 +15,7 @@ from loomgraph.operators import primitives as P
 from loomgraph.operators import results as R
 from loomgraph.operators import vertexset as V
 from loomgraph.plans import coloring, components, cores, traversal
+from loomgraph.plans.superstep import Supersteps
 from loomgraph.session import ensure_importable
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -199,11 +200,35 @@ def kcore_hist(spark, sf_dir):
     return P.histogram_by_key(cores.core_numbers(customer_parts(spark, sf_dir)).select(F.col("value").alias("core")), "core")
 
 
-@query()
+def peel_sql(load: str) -> str:
+    """p(v, d, t, k): the round t in which v goes, with bound k, if counts start with load (c: the degree)."""
+    bound = "(select greatest(max(k), min(d) filter (where t is null)) kk, coalesce(max(t), -1) + 1 tt from recurring.p)"
+    return f"""p(v, d, t, k) using key (v) as (select vs.id, {load}, null::int, 0::bigint from vs left join (select src, count(*)::bigint c from e group by 1) on src = vs.id union
+ select a.v, a.d - coalesce(l.n, 0), case when a.d <= g.kk then g.tt end, case when a.d <= g.kk then g.kk else 0 end from recurring.p a cross join {bound} g
+ left join (select e.src, count(*)::bigint n from e join recurring.p x on x.v = e.dst cross join {bound} y where x.t is null and x.d <= y.kk group by 1) l on l.src = a.v
+ where a.t is null and (a.d <= g.kk or l.n > 0) and (select count(*) from p) > 0)"""
+
+
+@query(f"with recursive {F2}, {peel_sql('coalesce(c, 0)')} select (row_number() over (order by t, v) - 1)::bigint pos, v::bigint id from p")
 def degeneracy_order(spark, sf_dir):
     return cores.degeneracy_order(co_purchases(spark, sf_dir))
 
 
+@query(f"with recursive {F2}, {peel_sql('coalesce(c, 0) + p_size')} select (row_number() over (order by t, v) - 1)::bigint pos, v::bigint id from p".replace("from vs left join", "from vs join part on p_partkey = vs.id left join"))
+def degeneracy_order_load(spark, sf_dir):
+    """Counts start at the degree plus the part's size: large parts go later."""
+    graph = co_purchases(spark, sf_dir)
+    sizes = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), "p_size")
+    return cores.degeneracy_order(graph, graph.degrees().join(sizes, "id").select("id", (F.col("deg") + F.col("p_size")).alias("deg")))
+
+
+@query(f"with recursive {F1}, {peel_sql('coalesce(c, 0)')} select t round, count(*) frontier_size from p group by 1")
+def kcore_round_log(spark, sf_dir):
+    steps = Supersteps()
+    cores.peel(customer_parts(spark, sf_dir), steps=steps)
+    return steps.rounds(spark).select("round", "frontier_size")
+
+
 COLORS = "select vs.id::bigint id, coalesce(col.c, 0)::bigint value from vs left join col on col.v = vs.id"
 LOG_DEGREE = "ceil(log2(1 + count(*)))"
 
@@ -300,12 +325,35 @@ def graph_validate(spark, sf_dir):
     return event_chains(spark, sf_dir).validate()
 
 
-_RANDOM = hash32_sql(hash32_sql("select unnest(range(5000))::bigint i", "2 * i", "a"), "2 * i + 1", "b")
+_RANDOM = hash32_sql(hash32_sql("select unnest(range((select count(*) // 2 from orders)))::bigint i", "2 * i", "a"), "2 * i + 1", "b")
 
 
-@query(f"with r as (select (a % 1000)::bigint src, (b % 1000)::bigint dst from ({_RANDOM})) select src, dst from r union all select dst, src from r")
+@query(f"with n as (select count(*) n from customer), r as (select (a % n)::bigint src, (b % n)::bigint dst from ({_RANDOM}), n) select src, dst from r union all select dst, src from r")
 def graph_random(spark, sf_dir):
-    return random_graph(spark, 1000, 10000).edges
+    """As many vertices as customers and edges as orders, to compare with the real graph of that size."""
+    return random_graph(spark, table(spark, sf_dir, "customer").count(), table(spark, sf_dir, "orders").count()).edges
+
+
+_DIRECTED = hash32_sql(hash32_sql(f"select *, (a % n)::bigint s, (b % n)::bigint t from ({_RANDOM}), (select count(*) n from customer)", "s", "sh"), "t", "th")
+
+
+@query(f"with r as ({_DIRECTED}) select s src, t dst from r union all select (sh % n)::bigint, (th % n)::bigint from r")
+def graph_random_directed(spark, sf_dir):
+    return random_graph(spark, table(spark, sf_dir, "customer").count(), table(spark, sf_dir, "orders").count(), symmetric=False).edges
+
+
+@query(f"with {F1} select src::bigint src, dst::bigint dst, 1::float wgh from e")
+def graph_unit_weights(spark, sf_dir):
+    return customer_parts(spark, sf_dir).with_unit_weights().edges
+
+
+_LOG = f"""{F1}, w as (select src, dst, (1 + xor(hs, hd) % (select greatest(1, floor(log2(count(*))))::bigint from vs))::int wgh from ({hash32_sql(hash32_sql("select * from e", "src", "hs"), "dst", "hd")}))"""
+
+
+@query(f"with {_LOG} select src::bigint src, dst::bigint dst, wgh from w")
+def graph_weights_log(spark, sf_dir):
+    graph = customer_parts(spark, sf_dir)
+    return graph.with_generated_weights(graph.vertices.count()).edges
 
 
 # ---------------------------------------------------------------- vertex sets and priority maps
@@ -479,6 +527,12 @@ def agg_hist_key(spark, sf_dir):
     return P.histogram_by_key(_orders(spark, sf_dir), "o_orderpriority")
 
 
+@query("select o_custkey, array_to_string(list_sort(list(o_orderkey)), ',') \"values\" from orders group by 1")
+def agg_group(spark, sf_dir):
+    listed = P.group_by_key(table(spark, sf_dir, "orders"), "o_custkey", "o_orderkey")
+    return listed.select("o_custkey", F.array_join(F.transform(F.array_sort("values"), lambda x: x.cast("string")), ",").alias("values"))
+
+
 @query("select c_nationkey, array_to_string(list(c_custkey order by c_acctbal, c_custkey), ',') \"values\" from customer group by 1")
 def agg_group_ordered(spark, sf_dir):
     ranked = table(spark, sf_dir, "customer").withColumn("place", F.struct("c_acctbal", "c_custkey"))

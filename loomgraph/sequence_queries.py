@@ -83,6 +83,42 @@ def io_pbbs_roundtrip(spark, sf_dir):
     return csr.read_graph(spark, path).edges
 
 
+@query(f"with {Q.F3} select src::bigint src, dst::bigint dst, 0 side from e union all select dst, src, 1 from e")
+def io_two_blocks(spark, sf_dir):
+    """A directed graph and its inverse from one file."""
+    path = _file(spark, ".bin")
+    csr.write_double(Q.event_chains(spark, sf_dir), path)
+    there, back = csr.read_both(spark, path)
+    return there.edges.withColumn("side", F.lit(0)).unionByName(back.edges.withColumn("side", F.lit(1)))
+
+
+@query(f"with {Q.F3} select src::bigint src, dst::bigint dst, 0 side from e union all select dst, src, 1 from e")
+def io_text_and_inverse(spark, sf_dir):
+    path = _file(spark, ".adj")
+    csr.write_adjacency(Q.event_chains(spark, sf_dir), path)
+    there, back = csr.read_both(spark, path)
+    return there.edges.withColumn("side", F.lit(0)).unionByName(back.edges.withColumn("side", F.lit(1)))
+
+
+@query(f"""with {Q.F3}, w as ({Q.hash32_sql(Q.hash32_sql("select * from e", "src", "hs"), "dst", "hd")}) select src::bigint src, dst::bigint dst, (1 + xor(hs, hd) % 5)::int wgh from w""")
+def io_weighing_tool(spark, sf_dir):
+    path = _file(spark, ".bin")
+    csr.write_binary(Q.event_chains(spark, sf_dir), path)
+    return csr.read_graph(spark, csr.write_weighted(spark, path, path.rpartition("/")[0], 5), "int").edges
+
+
+@query("select 0::bigint n_bad_targets, 0::bigint n_bad_offsets, 0::bigint n_unsorted")
+def io_check_layout(spark, sf_dir):
+    path = _file(spark, ".bin")
+    csr.write_binary(Q.customer_parts(spark, sf_dir), path)
+    return csr.check_layout(spark, path)
+
+
+@query("select page_id, regexp_replace(regexp_extract(regexp_replace(url, '/+$', ''), '[^/]*$'), '\\.[^.]*$', '') name from pages")
+def io_graph_names(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", csr.graph_name_of(F.col("url")).alias("name"))
+
+
 # ---------------------------------------------------------------- graph algorithms
 
 
@@ -196,9 +232,10 @@ def prim_pack_positions(spark, sf_dir):
     return S.pack_index(table(spark, sf_dir, "orders"), F.col("o_totalprice") > 300000, "o_orderkey")
 
 
-@query("select i::bigint id, (i * i % 101)::bigint v from (select unnest(range(5000)) i)")
+@query("select i::bigint id, (i * i % 101)::bigint v from (select unnest(range((select count(*) from lineitem))) i)")
 def prim_tabulate(spark, sf_dir):
-    return P.tabulate(spark, 5000, v=F.col("id") * F.col("id") % 101)
+    """As many elements as there are order lines."""
+    return P.tabulate(spark, table(spark, sf_dir, "lineitem").count(), v=F.col("id") * F.col("id") % 101)
 
 
 @query("select p_partkey pos, p_name v from part union all select (select count(*) from part) + s_suppkey, s_name from supplier")
@@ -391,15 +428,15 @@ def hash_combined(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", hashing.hash_combine(F.col("o_orderkey"), F.col("o_custkey")).alias("h"))
 
 
-_I = "select unnest(range(3000))::bigint i"
+_I = "select o_orderkey::bigint i from orders"
 _RAND = hash64_sql(hash64_sql(hash64_sql(hash64_sql(_I, "i + 7", "r"), "i", "f"), "f", "g"), f"(i + 1) * {hashing.GENERATOR_STRIDE} + 7", "c")
 
 
 @query(f"select i, {signed_sql('r')} r, {signed_sql('g')} fork, {signed_sql('c')} child from ({_RAND})")
 def random_numbers(spark, sf_dir):
-    table(spark, sf_dir, "region")
-    i = F.col("id")
-    return spark.range(3000).select(i.alias("i"), hashing.ith_random(i, 7).alias("r"), hashing.fork(i).alias("fork"), hashing.generator_at(i, 7).alias("child"))
+    """The draws of a generator by the numbers of the orders, and the generators that fork off there."""
+    i = F.col("o_orderkey")
+    return table(spark, sf_dir, "orders").select(i.alias("i"), hashing.ith_random(i, 7).alias("r"), hashing.fork(i).alias("fork"), hashing.generator_at(i, 7).alias("child"))
 
 
 @query()
@@ -426,6 +463,16 @@ def stat_fingerprint(spark, sf_dir):
     return spark.createDataFrame([(R.fingerprint(result),)], "fingerprint string")
 
 
+@query(
+    "select n_name as name, n_regionkey::double as other, null::double as own from nation union all select 'orders', null, 1.5"
+)
+def stat_record(spark, sf_dir):
+    """The sink of a run: its time goes to the table of times, a row by name; its fingerprint likewise."""
+    result = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("value"))
+    times = table(spark, sf_dir, "nation").select(F.col("n_name").alias("name"), F.col("n_regionkey").cast("double").alias("other"))
+    return R.record_result(result, 1.5, times, times.select("name"), "orders", "own")[0]
+
+
 @query("select s_suppkey, case when s_acctbal = 0 then 0 else round(s_acctbal / pow(10, floor(log10(abs(s_acctbal))) - 2)) * pow(10, floor(log10(abs(s_acctbal))) - 2) end v from supplier")
 def stat_significant(spark, sf_dir):
     return table(spark, sf_dir, "supplier").select("s_suppkey", R.significant(F.col("s_acctbal").cast("double")).alias("v"))

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import reduce
 from pathlib import PurePosixPath
 
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -28,6 +29,11 @@ def graph_name(path: str) -> str:
     return re.sub(r"\.[^.]*$", "", PurePosixPath(path).name)
 
 
+def graph_name_of(path: Column) -> Column:
+    """graph_name() of a column of paths: the last part without its last extension."""
+    return F.regexp_replace(F.regexp_extract(F.regexp_replace(path, "/+$", ""), "[^/]*$", 0), r"\.[^.]*$", "")
+
+
 def is_symmetric_name(path: str) -> bool:
     """A name with _sym marks a graph whose edges stand in both directions."""
     return "_sym" in PurePosixPath(path).name
@@ -229,32 +235,75 @@ def _java_array(spark: SparkSession, paths: list):
     return out
 
 
-def write_binary(graph: Graph, path: str) -> None:
-    """One CSR file, edges by source and target. Tasks write their ranges of it; only ranges' starts reach the driver.
+def write_binary(graph: Graph, path: str, *more: Graph) -> None:
+    """One CSR file, edges by source and target; more graphs follow as blocks of their own. Tasks write their ranges of it;
+    only ranges' starts reach the driver.
 
     Vertices are 0..n-1. A local path must be one that all executors see, such as a mounted folder.
     """
     spark = graph.edges.sparkSession
     ensure_importable(spark)
-    n, m = graph.vertices.count(), graph.edges.count()
-    size = HEADER_BYTES + 8 * (n + 1) + (8 if graph.weighted else 4) * m
-    weight = "<f4" if dict(graph.edges.dtypes).get("wgh") == "float" else "<i4"
-    record = np.dtype(([("wgh", weight)] if graph.weighted else []) + [("dst", "<u4")])
+    base, blocks, counts = 0, [], np.dtype([("first", "<u8")])
+    for one in (graph, *more):
+        n, m = one.vertices.count(), one.edges.count()
+        weight = "<f4" if dict(one.edges.dtypes).get("wgh") == "float" else "<i4"
+        record = np.dtype(([("wgh", weight)] if one.weighted else []) + [("dst", "<u4")])
+        size = HEADER_BYTES + 8 * (n + 1) + record.itemsize * m
+        head = spark.createDataFrame([(i, x) for i, x in enumerate((n, m, size))] + [(3 + n, m)], "at long, first long").coalesce(1)
+        firsts = one.offsets().select((F.col("id") + 3).alias("at"), "first").repartitionByRange("at").sortWithinPartitions("at")
+        edges = numbered(one.edges, "src", *record.names[::-1]).select(F.col("place").alias("at"), *record.names)
+        blocks += [(head, counts, base), (firsts, counts, base), (edges, record, base + HEADER_BYTES + 8 * (n + 1))]
+        base += size
     if local := "://" not in path or path.startswith("file:"):
         with open(path.removeprefix("file://"), "wb") as out:
-            out.truncate(size)
-    head = spark.createDataFrame([(i, x) for i, x in enumerate((n, m, size))] + [(3 + n, m)], "at long, first long").coalesce(1)
-    firsts = graph.offsets().select((F.col("id") + 3).alias("at"), "first").repartitionByRange("at").sortWithinPartitions("at")
-    edges = numbered(graph.edges, "src", *record.names[::-1]).select(F.col("place").alias("at"), *record.names)
-    counts = np.dtype([("first", "<u8")])
-    written = _write_ranges(head, counts, 0, path).unionByName(_write_ranges(firsts, counts, 0, path)).unionByName(_write_ranges(edges, record, HEADER_BYTES + 8 * (n + 1), path))
+            out.truncate(base)
+    written = reduce(DataFrame.unionByName, [_write_ranges(rows, kind, start, path) for rows, kind, start in blocks])
     ranges = sorted((r["start"], r["bytes"]) for r in written.collect())  # a row for each sorted part
-    if sum(count for _, count in ranges) != size or any(a + count != b for (a, count), (b, _) in zip(ranges, ranges[1:], strict=False)):
-        raise ValueError(f"the vertices are not 0 to {n - 1}, or {path} was not written whole")
+    if sum(count for _, count in ranges) != base or any(a + count != b for (a, count), (b, _) in zip(ranges, ranges[1:], strict=False)):
+        raise ValueError(f"vertices are not 0 to n - 1, or {path} was not written whole")
     if not local:
         _join(spark, path, [start for start, _ in ranges])
 
 
+def write_double(graph: Graph, path: str) -> None:
+    """A file of two blocks, the out-edges and the in-edges."""
+    write_binary(graph, path, graph.transpose())
+
+
+def check_layout(spark: SparkSession, path: str, part: int = 0) -> DataFrame:
+    """One row: n_bad_targets (no vertex), n_bad_offsets (smaller than the one before, or beyond the edges), n_unsorted
+    (a target below the one before it of the same source).
+
+    Tasks read ranges of the sections as the reader does; each looks at the element before its range as well.
+    """
+    ensure_importable(spark)
+    layout = _layout(path, part)
+    record = np.dtype(([("wgh", "<i4")] if layout.weighted else []) + [("dst", "<u4")])
+
+    def look(batches):
+        for batch in batches:
+            for kind, first, end in zip(*(batch.column(c).to_pylist() for c in ("kind", "first", "end")), strict=True):
+                before = max(first - 1, 0)
+                with _open(path) as file:
+                    if kind == "offsets":
+                        rows = layout.offsets(file, before, end - before)
+                        found = (0, int((np.diff(rows) < 0).sum() + (rows[first - before :] > layout.m).sum()), 0)
+                    else:
+                        file.seek(layout.records + record.itemsize * before)
+                        rows = np.frombuffer(file.read(record.itemsize * (end - before)), record)["dst"].astype(np.int64)
+                        falls = before + 1 + np.flatnonzero(np.diff(rows) < 0)
+                        # A fall is no fault where a source's edges begin.
+                        begins = np.array([layout.offsets(file, layout.source_of(file, int(i)), 1)[0] == i for i in falls], bool)
+                        found = (int((rows[first - before :] >= layout.n).sum()), 0, int((~begins).sum()))
+                yield pa.RecordBatch.from_arrays([pa.array([x]) for x in found], names=["n_bad_targets", "n_bad_offsets", "n_unsorted"])
+
+    step = SPLIT_EDGES
+    ranges = [("offsets", a, min(a + step, layout.n + 1)) for a in range(0, layout.n + 1, step)] + [("targets", a, min(a + step, layout.m)) for a in range(0, layout.m, step)]
+    rows = spark.createDataFrame(ranges, "kind string, first long, end long").repartition(len(ranges))
+    names = ("n_bad_targets", "n_bad_offsets", "n_unsorted")
+    return rows.mapInArrow(look, ", ".join(f"{c} long" for c in names)).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in names])
+
+
 def write_weighted(spark: SparkSession, path: str, folder: str, limit: int = 0) -> str:
     """Reads a graph file, generates its weights and writes the binary file with the weights' name to folder."""
     out = f"{folder.rstrip('/')}/{weighted_name(path, limit)}"

@@ -13,7 +13,26 @@ from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from loomgraph.session import keep_until_exit, scratch_dir, shuffle_partitions
+from loomgraph.session import keep_until_exit, materialize, scratch_dir, shuffle_partitions
+
+
+def _observed(df: DataFrame, measures: dict[str, Column]):
+    """df, and a function that gives its number of rows (n) and the measures once df has been written."""
+    seen = Observation()
+
+    def measured() -> dict:
+        try:
+            return seen.get
+        except Py4JJavaError:  # the write has ended well; of a plan that Spark finds to be empty nothing is measured
+            return {"n": 0} | dict.fromkeys(measures)
+
+    return df.observe(seen, F.count(F.lit(1)).alias("n"), *[m.alias(k) for k, m in measures.items()]), measured
+
+
+def materialize_measured(df: DataFrame, label: str, **measures: Column) -> tuple[DataFrame, dict]:
+    """materialize(), with the number of rows (n) and the measures from the job that writes."""
+    rows, measured = _observed(df, measures)
+    return materialize(rows, label), measured()
 
 
 class Log:
@@ -31,13 +50,9 @@ class Log:
             self.spark, self.n = df.sparkSession, shuffle_partitions(df.sparkSession)
             self.path = f"{scratch_dir(self.spark)}/{self.name}"
             keep_until_exit(self.spark, self.path)
-        seen = Observation()
-        rows = df.observe(seen, F.count(F.lit(1)).alias("n"), *[m.alias(k) for k, m in measures.items()])
+        rows, measured = _observed(df, measures)
         (rows if dealt else rows.repartition(self.n, self.key)).write.mode("append").format("parquet").bucketBy(self.n, self.key).option("path", self.path).saveAsTable(self.name)
-        try:
-            return seen.get
-        except Py4JJavaError:  # the write has ended well; of a plan that Spark finds to be empty nothing is measured
-            return dict.fromkeys(("n", *measures), 0)
+        return measured()
 
     def read(self) -> DataFrame:
         return self.spark.table(self.name)
