@@ -316,17 +316,17 @@ def scan(docs: DataFrame) -> DataFrame:
         )
 
     def settled(all_pieces: Column) -> Column:
-        """Of each paragraph, the surest piece of each family; not those whose match is a part of another family's."""
+        """Of a paragraph's pieces, the surest of each family; not those whose match is a part of another family's."""
         stand = F.filter(all_pieces, lambda p: p["family"] != UNKNOWN)
-        part = lambda p, q: (p["line"] == q["line"]) & (p["family"] != q["family"]) & (F.size(p["held"]) < F.size(q["held"])) & (F.size(F.array_except(p["held"], q["held"])) == 0)
+        part = lambda p, q: (p["family"] != q["family"]) & (F.size(p["held"]) < F.size(q["held"])) & (F.size(F.array_except(p["held"], q["held"])) == 0)
         own = F.filter(stand, lambda p: ~F.exists(stand, lambda q: part(p, q)))
-        open_ = F.filter(all_pieces, lambda p: (p["family"] == UNKNOWN) & ~F.exists(own, lambda q: q["line"] == p["line"]))
+        open_ = F.filter(all_pieces, lambda p: (p["family"] == UNKNOWN) & (F.size(own) == 0))
         both = F.concat(own, open_)
-        same = lambda p, q: (p["line"] == q["line"]) & (p["family"] == q["family"])
+        same = lambda p, q: p["family"] == q["family"]
         ahead = lambda p, q: (q["probability"] > p["probability"]) | ((q["probability"] == p["probability"]) & (q["template_share"] > p["template_share"]))
         kept = F.filter(both, lambda p: ~F.exists(both, lambda q: same(p, q) & ahead(p, q)))
         plain = F.transform(kept, lambda p: F.struct(*[p[c].alias(c) for c in ("line", "family", "probability", "template_share")]))
-        return F.array_sort(F.array_distinct(plain))
+        return F.array_distinct(plain)
 
     text = F.regexp_replace(F.col("text").cast("string"), "\r\n?", "\n")
     # A paragraph starts at a line with a word after a blank one; "line" counts the line breaks before it.
@@ -337,11 +337,13 @@ def scan(docs: DataFrame) -> DataFrame:
         lambda acc: acc["out"],
     )
     worded = F.size(F.filter(blocks, lambda x: x.rlike("\\S"))).cast("long")
-    column = F.when(_once(F.lower(text), _gate) & possible(_words(text)), F.flatten(F.transform(placed, pieces))).otherwise(F.array().cast("array<struct<line:int,words:array<string>>>"))
+    column = F.when(_once(F.lower(text), _gate) & possible(_words(text)), F.filter(F.transform(placed, pieces), lambda x: F.size(x) > 0)).otherwise(F.array().cast("array<array<struct<line:int,words:array<string>>>>"))
     out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.when(text.isNull(), 0).otherwise(worded).cast("long").alias("n"), column.alias("p"))
+    each = lambda step: lambda own: F.transform(own, step)
     for step in (grammed, scored, chosen, confirmed):
-        out = out.select("doc_id", "n", F.transform("p", step).alias("p"))
-    out = out.select("doc_id", "n", settled(F.col("p")).alias("p"))
+        out = out.select("doc_id", "n", F.transform("p", each(step)).alias("p"))
+    # Pieces meet those of their own paragraph only: a text of many notices costs in proportion to them.
+    out = out.select("doc_id", "n", F.array_sort(F.flatten(F.transform("p", settled))).alias("p"))
     stands = lambda p: p["family"] != UNKNOWN
     known = F.size(F.array_distinct(F.transform(F.filter("p", stands), lambda p: p["line"]))).cast("long")
     return out.select(
