@@ -65,7 +65,7 @@ def test_local_distances_with_bounds(spark):
     g = graph(spark, edges, 82, weights)
     near = dijkstra(edges, weights, 0)
     want = {v: near.get(v) for v in range(82)}
-    for hops, queue, size in ((None, None, None), (None, None, 60), (3, None, 80), (4, 8, 80)):
+    for hops, queue, size in ((None, None, 60), (4, 8, 80)):
         assert values(traversal.local_distances(g, 0, hops, queue, size=size)) == want, (hops, queue, size)
     assert values(traversal.weighted_bfs(g, 0, width=2)) == values(traversal.bellman_ford(g, 0)) == want
     steps = Supersteps()
