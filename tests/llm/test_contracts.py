@@ -79,6 +79,16 @@ def test_license_scan_knows_what_it_does_not_know(spark):
         assert (got[i].families, got[i].n_paragraphs, got[i].n_unknown) == ([], 3, 3), t
 
 
+def test_one_text_of_many_notices(spark):
+    """Every notice of a long text stands, each in its paragraph; what a paragraph holds does not touch the others."""
+    lines = [(f, ts[0]) for f, ts in licenses.TEMPLATES.items() if ts]
+    alone = {r.doc_id: r for r in licenses.scan(documents(spark, [(i, t, "en", "a") for i, (_, t) in enumerate(lines)])).collect()}
+    many = [lines[i % len(lines)] for i in range(500)]
+    got = licenses.scan(documents(spark, [(1, "\n\n".join(t for _, t in many), "en", "a")])).first()
+    assert (got.n_paragraphs, got.n_confirmed, got.families) == (500, 500, sorted({f for f, _ in many}))
+    assert [(p.line // 2, p.family, p.probability) for p in got.paragraphs] == [(i, p.family, p.probability) for i in range(500) for p in alone[i % len(lines)].paragraphs]
+
+
 def test_license_gate_misses_no_template():
     import random
 
