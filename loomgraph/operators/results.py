@@ -12,7 +12,7 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import LongType
 
 from loomgraph.functions.hashing import np_mix64
-from loomgraph.operators.primitives import numbered, scan
+from loomgraph.operators.primitives import numbered, rank, scan
 from loomgraph.operators.sequences import random_order
 
 #: Fixed values of the fingerprint.
@@ -125,7 +125,11 @@ def binned_medians(df: DataFrame, x: str, y: str, bins: int = 16) -> DataFrame:
     rows = df.where((F.col(x) > 0) & (F.col(y) > 0)).withColumn("log_x", F.log10(x))
     ends = rows.agg(F.min("log_x").alias("low"), F.max("log_x").alias("high"))
     place = F.when(F.col("high") > F.col("low"), F.floor((F.col("log_x") - F.col("low")) / (F.col("high") - F.col("low")) * bins)).otherwise(F.lit(0))
-    return rows.join(F.broadcast(ends)).groupBy(F.least(place, F.lit(bins - 1)).alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.median(y).alias("median"))
+    binned = rows.join(F.broadcast(ends)).select(F.least(place, F.lit(bins - 1)).alias("bin"), F.col(y).alias("y"))
+    # The middle rows by rank, so that no bin's values are gathered.
+    counts = binned.groupBy("bin").agg(F.count(F.lit(1)).alias("n")).select(F.col("bin").alias("of_bin"), "n")
+    middle = rank(binned, "y", "y", "bin").join(F.broadcast(counts), F.col("bin") == F.col("of_bin")).where((2 * F.col("rank") >= F.col("n") - 2) & (2 * F.col("rank") <= F.col("n")))
+    return middle.groupBy("bin", "n").agg(F.avg("y").alias("median"))
 
 
 def log_fit(df: DataFrame, x: str, y: str) -> DataFrame:

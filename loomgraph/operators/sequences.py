@@ -187,7 +187,8 @@ def random_order(spark: SparkSession, n: int) -> DataFrame:
     """(pos, value): the library-wide default permutation of 0..n-1.
 
     From 8,192 values on, a value's hash deals it to a bucket, and each bucket of some thousand values (131,072 at most, on
-    average) is shuffled alone by its own generator.
+    average) is shuffled alone by its own generator. The order is a chain of swaps, each on what the one before left, so the loop
+over a bucket's values cannot be a vector operation; buckets run side by side.
     """
     if n < BUCKETS_FROM:
         return spark.createDataFrame(list(enumerate(hashing.random_permutation(n).tolist())), "pos long, value long")

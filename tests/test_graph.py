@@ -310,3 +310,32 @@ def test_two_block_file_and_weighing_tool(spark, tmp_path):
         assert sorted(map(tuple, there.edges.collect())) == want and sorted((b, a) for a, b in inverse.edges.collect()) == want
     named = csr.write_weighted(spark, one, str(tmp_path), 5)
     assert named.endswith("one_wgh5.bin") and sorted(map(tuple, csr.read_graph(spark, named, "int").edges.collect())) == sorted(map(tuple, g.with_generated_weights(30, 5).edges.collect()))
+
+
+def test_ranges_and_faults_of_binary_files(spark, tmp_path):
+    """Ranges of seven edges cut the hub's edges and skip runs of vertices without any; spoilt files are told."""
+    edges = [(0, 3), *[(50, i) for i in range(40)], (50, 3), (199, 0)]
+    g, path = graph(spark, edges, 200), str(tmp_path / "g.bin")
+    csr.write_binary(g, path)
+    for split in (1, 7, 10**6):
+        back = csr.read_binary(spark, path, split=split)
+        assert sorted(map(tuple, back.edges.collect())) == sorted(edges) and back.vertices.count() == 200
+    assert tuple(csr.check_layout(spark, path).first()) == (0, 0, 0)
+    raw = np.fromfile(path, "<u8", 3 + 201)
+    rest = np.fromfile(path, "<u4")[2 * len(raw) :]
+    raw[3 + 10] = 999  # beyond the edges, and the next one is smaller
+    rest[5], rest[-1] = 1, 777
+    with open(path, "wb") as out:
+        out.write(raw.tobytes() + rest.tobytes())
+    assert tuple(csr.check_layout(spark, path).first()) == (1, 2, 1)
+    with open(path, "wb") as out:
+        out.write(np.array([5, 5, 5], "<u8").tobytes())
+    with pytest.raises(ValueError):
+        csr.read_binary(spark, path)
+    none = str(tmp_path / "none.bin")
+    csr.write_binary(graph(spark, [(0, 1)], 2).symmetrize().transpose(), none)
+    assert sorted(map(tuple, csr.read_graph(spark, none).edges.collect())) == [(0, 1), (1, 0)]
+    spread = [i["id"] for i in spark.range(3).select((F.col("id") * 2).alias("id")).collect()]
+    holes = Graph.from_edges(spark.createDataFrame([(0, 2)], "src long, dst long"), vertices=spark.createDataFrame([(i,) for i in spread], "id long"))
+    with pytest.raises(ValueError):
+        csr.write_binary(holes, none)
