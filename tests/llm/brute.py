@@ -149,3 +149,59 @@ def fences(rows, metrics):
         least = metrics[m][1]
         out.setdefault((lang, source), {})[m] = (b - 6 * max(c - b, least), b + 6 * max(min(b - a, c - b), least))
     return out
+
+
+def license_scan(pairs, model):
+    """{doc_id: (n_paragraphs, families, {(line, family): (probability, template share)})}, all pieces of all paragraphs."""
+    import math
+
+    import xxhash
+
+    from loomgraph.llm import licenses as L
+
+    word_list = lambda t: [w for w in re.split("[^a-z0-9+]+", t.lower()) if w]
+    grams_of = lambda ws: [f"{a} {b}" for a, b in zip(ws, ws[1:])]
+    weight = L.bigram_weights()
+    templates = {f: [list(dict.fromkeys(grams_of(word_list(t)))) for t in ts] for f, ts in L.TEMPLATES.items()}
+    share = lambda t, held: sum(weight[g] for g in t if g in held) / sum(weight[g] for g in t)
+    out = {}
+    for doc, text in pairs:
+        lines = re.sub("\r\n?", "\n", text or "").split("\n")
+        paragraphs, at = [], None
+        for i, line in enumerate(lines):
+            if not line.strip(" \t"):
+                at = None
+            elif at is None:
+                at = [i, [line]]
+                paragraphs.append(at)
+            else:
+                at[1].append(line)
+        families, entries = set(), {}
+        for first, own in paragraphs:
+            words = word_list("\n".join(own))
+            parts = [words, *map(word_list, own)]
+            parts += [words[i : i + span] for span in L.SPANS for i in range(0, max(1, len(words)), span // 2)]
+            stand, open_ = [], []
+            for part in {tuple(p) for p in parts}:
+                held = set(grams_of(part))
+                marked = any(m in " ".join(part) for m in L.MARKS)
+                if not marked and not any(share(t, held) >= L.CONFIRM - 1e-9 for ts in templates.values() for t in ts):
+                    continue
+                hashed = {xxhash.xxh64(g.encode(), seed=42).intdigest() % L.FEATURES for g in [*part, *held]}
+                z = [model.bias[f] + sum(model.weights[h][f] for h in hashed) / math.sqrt(max(1, len(hashed))) for f in range(len(L.FAMILIES))]
+                e = [math.exp(x - max(z)) for x in z]
+                p = [x / sum(e) for x in e]
+                family = L.FAMILIES[p.index(max(p))]
+                found, best = max([(share(t, held), sorted(set(t) & held)) for t in templates.get(family, [])], default=(0.0, []))
+                if max(p) >= model.cutoff and found >= L.CONFIRM - 1e-9:
+                    stand.append((family, max(p), found, set(best)))
+                elif p[-1] < model.prose:
+                    open_.append((1 - p[-1], found))
+            stand = [s for s in stand if not any(s[0] != o[0] and s[3] < o[3] for o in stand)]
+            for family in {s[0] for s in stand}:
+                families.add(family)
+                entries[first, family] = max(s[1:3] for s in stand if s[0] == family)
+            if not stand and open_:
+                entries[first, L.UNKNOWN] = max(open_)
+        out[doc] = (sum(bool(re.search(r"\S", "\n".join(o))) for _, o in paragraphs), sorted(families), entries)
+    return out

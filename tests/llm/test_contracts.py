@@ -76,7 +76,44 @@ def test_license_scan_knows_what_it_does_not_know(spark):
     rows = [(i, f"Some text before.\n\n{t}\n\nand after", "en", "a") for i, t in enumerate(lines)]
     got = {r.doc_id: r for r in licenses.scan(documents(spark, rows)).collect()}
     for i, t in enumerate(lines):
-        assert (got[i].families, got[i].n_paragraphs, got[i].n_unknown) == ([], 3, 3), t
+        assert (got[i].families, got[i].n_paragraphs, got[i].n_unknown) == ([], 3, 1), t
+        assert [(p.line, p.family) for p in got[i].paragraphs] == [(2, licenses.UNKNOWN)], t
+
+
+def test_license_scan_lists_unseen_licences_and_no_prose(spark):
+    """Notices of licences that took no part in training are listed, alone and inside other text; prose is not."""
+    assert licenses.classifier(spark).notices > 0.95
+    unseen = [
+        "Distributed under the ISC License", "Licensed under the Mulan Permissive Software License v2", "Licensed under the GNU Affero General Public License version 3", "Released under the Fair License",
+        "This module is licensed under the terms of the Q Public License", "SPDX-License-Identifier: OFL-1.1", "This package is available under the Beerware license", "Licensed under the Intel Open Source License",
+    ]
+    prose = [
+        "The quick brown fox ran home", "A driving licence was found in the river", "The old dog had permission to sleep on the sofa", "The farm came under the domain of the abbey", "", "They reserved two seats by the door",
+        "No warrant was signed that day", "The singer sold the copyright of her songs", "The state redistributes some of the money", "Her license to practice law was suspended",
+    ]
+    inside = lambda t: f"The house stood at the end of the lane and nobody went there. {t}. In the morning they walked to the river and came back late."
+    lines = [*unseen, *map(inside, unseen), *prose, *map(inside, prose)]
+    got = {r.doc_id: r for r in licenses.scan(documents(spark, [(i, t, "en", "a") for i, t in enumerate(lines)])).collect()}
+    listed = [i in got and got[i].n_unknown + got[i].n_confirmed for i in range(len(lines))]
+    n = 2 * len(unseen)
+    assert sum(listed[:n]) >= n - 2, [lines[i] for i in range(n) if not listed[i]]
+    assert sum(listed[n:]) <= 1, [lines[i] for i in range(n, len(lines)) if listed[i]]
+
+
+def test_license_scan_is_that_of_all_pieces(spark, cases):
+    """The whole result against a plain loop over every piece, on whole documents, edge cases, ties and mixed texts."""
+    lines = [*licenses.OTHERS[:8], *licenses.NEGATIVES[:8], *(ts[0] for ts in licenses.TEMPLATES.values())]
+    mixed = [(1000 + i, f"{a}. {b}\r\nmore\n \n\n{c}\n\n{c}\n{a}", "en", "a") for i, (a, b, c) in enumerate(zip(lines, lines[5:] + lines[:5], lines[11:] + lines[:11]))]
+    mixed.append((None, "Licensed under the MIT License\n\nLicensed under the Fair License", None, None))
+    model = licenses.classifier(spark)
+    for table, rows in [*cases, (documents(spark, mixed), mixed)]:
+        want = brute.license_scan(pairs(rows), model)
+        for r in licenses.scan(table).collect():
+            n, families, entries = want[r.doc_id]
+            assert (r.n_paragraphs, r.families) == (n, families), r.doc_id
+            assert len(r.paragraphs) == len(entries) and (r.n_confirmed, r.n_unknown) == (len({i for i, f in entries if f != "unknown"}), len([f for _, f in entries if f == "unknown"]))
+            for p in r.paragraphs:
+                assert entries[p.line, p.family] == pytest.approx((p.probability, p.template_share), abs=1e-5), (r.doc_id, p)  # literals of six digits
 
 
 def test_one_text_of_many_notices(spark):
