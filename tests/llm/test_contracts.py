@@ -249,6 +249,18 @@ def test_gibbs_sampling_has_the_exact_posterior_of_table_counts():
         assert np.abs(got - weights / weights.sum()).max() < 0.04
 
 
+def test_lm_without_training_rows_and_without_ids(spark):
+    import zlib
+
+    out = [i for i in range(100) if zlib.crc32(str(i).encode()) % 5 == 1]
+    rows = [(i, f"word{i} and more", "en", "a") for i in out]
+    for r in lm.score_documents(documents(spark, rows)).collect():
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens, r.score, r.perplexity) == (True, 4, 0, 0, 0.0, 1.0)
+    got = lm.score_documents(documents(spark, [*rows, (None, "word7 and more", None, None), (None, None, None, None)])).collect()
+    assert len(got) == len(rows) + 2 and {(r.held_out, r.train_tokens) for r in got if r.doc_id is None} == {(False, 5)}
+    assert {(r.n_tokens, r.n_known) for r in got if r.doc_id is None} == {(4, 4), (1, 1)} and all(r.n_known == 3 + (r.doc_id == 7) for r in got if r.doc_id is not None)
+
+
 def test_sweeps_keep_every_customer(spark):
     import numpy as np
 
@@ -260,7 +272,7 @@ def test_sweeps_keep_every_customer(spark):
         assert (sizes > 0).all() and (np.add.reduceat(sizes, first) == bucket.counts).all()
         above = bucket.above.sizes()
         assert (above > 0).all() and above.sum() == bucket.below.tables.sum()
-        customers += bucket.of_context(bucket.counts, model.n_contexts)
+        customers += np.bincount(bucket.contexts, bucket.counts, model.n_contexts).astype(np.int64)
     assert (customers == model.context_totals).all()
     assert 0 < model.samples[-1].of_context.sum() == model.samples[-1].customers
 
