@@ -1,5 +1,6 @@
 """Each stage of the pipeline on what its predecessor kept, against brute force."""
 
+import random
 from collections import Counter
 
 import corpus_pipeline
@@ -54,3 +55,48 @@ def test_stages(spark):
 def test_run(spark):
     out = corpus_pipeline.run(spark, SF)
     assert out.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "copy"] and out.count() > 0
+
+
+SYLLABLES = [a + b + c for a in "bdflmnrst" for b in "aeiou" for c in ("n", "rt", "st", "ver", "ling")]
+
+
+def clean(i):
+    """A text of words of usual length that the quality rules keep."""
+    rng = random.Random(i)
+    return "\n".join(" ".join(rng.choice(SYLLABLES) for _ in range(14)).capitalize() + "." for _ in range(8))
+
+
+COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, queue int, words long, block long, copy long"
+
+
+def write(spark, tmp_path, rows):
+    full = [(d, t, lang, s, None if t is None else len(t), 1, 2, 3, 4) for d, t, lang, s in rows]
+    spark.createDataFrame(full, COLUMNS).repartition(2).write.parquet(f"{tmp_path}/documents.parquet")
+    return str(tmp_path)
+
+
+def test_empty_table(spark, tmp_path):
+    assert corpus_pipeline.run(spark, write(spark, tmp_path, [])).collect() == []
+
+
+def test_nulls_repeats_long_texts_and_clashing_columns(spark, tmp_path):
+    long = "\n".join(clean(1000 + i) for i in range(300))
+    near = clean(1) + " one more word here"
+    rows = [
+        (1, clean(1), "en", "a"), (2, clean(1), "en", "a"), (3, near, None, None), (4, clean(4), None, "b"), (5, None, "en", "a"), (6, "", None, None), (7, " \n ", "en", "b"),
+        (8, "too short", "en", "a"), (9, long, "en", "a"), (10, clean(10), "en", None), (11, clean(11), "de", "b"), (12, clean(12), "en", "a"),
+    ]
+    where = write(spark, tmp_path, rows)
+    docs = spark.read.parquet(f"{where}/documents.parquet")
+    for name, step in corpus_pipeline.STAGES[:-1]:
+        docs = materialize(step(spark, docs, where), "edge")
+        assert [c.name for c in docs.schema] == [c.split()[0] for c in COLUMNS.split(", ")], name
+        ids = {r.doc_id for r in docs.collect()}
+        # Clean documents stay, short and blank ones go with the first stage, copies with the second.
+        assert {1, 4, 10, 11, 12} <= ids if name != "source_mixing" else ids, name
+        assert not ids & {5, 6, 7, 8} and (name == "quality_rules" or not ids & {2, 3}), (name, ids)
+    lengths = Counter()
+    for r in corpus_pipeline.run(spark, where).collect():
+        lengths[r.doc_id, r.copy] += r.length
+        assert r.length > 0 and r.offset + r.length <= 2048
+    assert {d for d, _ in lengths} == ids
