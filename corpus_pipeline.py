@@ -1,4 +1,10 @@
-"""A corpus from raw documents to packed sequences: each stage works on what its predecessor kept."""
+"""A corpus from raw documents to packed sequences: each stage works on what its predecessor kept.
+
+Defined results: an empty table gives no pieces; null, empty and blank texts, and those the quality rules reject, go with
+the first stage; of equal and near texts the one with the smallest doc_id stays, with its own columns; a null source or
+language is a group of its own; very long texts are read whole; further columns, whatever their names, go through
+unchanged until the last stage, which returns the columns of packing.PIECES.
+"""
 
 from __future__ import annotations
 
@@ -9,22 +15,27 @@ from loomgraph.session import materialize
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows whose text passes the base rules and the fences of its language and source."""
     return quality.filter_documents(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies, the one with the smallest doc_id."""
     return neardup.deduplicate(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the words that windows of a smaller doc_id have too; documents left empty by that go."""
     return substrings.remove_duplicates(docs)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them: not at all, once or twice."""
     return mixing.mix_documents(docs)
 
 
 def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of sequences of at most 2048 tokens; copies of a document are told apart by copy."""
     return packing.pack(docs)
 
 
