@@ -1,8 +1,9 @@
 """Substring dedup on words: relative Lempel-Ziv parsing against indexed reference blocks.
 
 The reference text is spread over reference blocks by content anchors (see winnow): the block of an anchor indexes
-every phrase that has it, each with the smallest document in which it stands, and a document meets just the blocks of
-its own anchors. There its phrases are factored greedily: at a position, the window of LENGTH words is looked up; if a
+every phrase that has it and that another document may share, and a document meets just the blocks of its own anchors.
+There every phrase is factored greedily, whole copies like all others: at a position, the window of LENGTH words is
+looked up in the index, which knows the smallest document that has it; if a
 smaller document has it, the factor is extended word by word along that reference as far as both agree, and covers all
 windows up to its end. The parse goes on at the factor's boundary, with the first window that reaches beyond it, so
 windows across two factors are looked up too. Factors that meet or overlap join to duplicate spans in the document;

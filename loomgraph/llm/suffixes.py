@@ -117,7 +117,7 @@ def repeats(reference: winnow.Reference) -> np.ndarray:
 
 
 def occurrences(docs: DataFrame) -> winnow.FirstOccurrences:
-    return winnow.FirstOccurrences(docs, LENGTH, ANCHOR, winnow.ByteUnits, repeats)
+    return winnow.FirstOccurrences(docs, LENGTH, ANCHOR, winnow.ByteUnits, repeats, settle=True)
 
 
 def _finish(ids, data, offsets, phrases, windows) -> pa.Table:

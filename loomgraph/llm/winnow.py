@@ -7,9 +7,10 @@ apart from those at their ends, and two equal windows always have the same ancho
 Round one: each block of documents sends every distinct anchor once to the shard that its hash falls to, and learns
 which anchors stand in other documents. A window whose anchor stands nowhere else cannot repeat. Round two: the block
 sends the content of its phrases with shared anchors, each distinct phrase once with the smallest document that has it.
-A shard so holds all the text that can match, copies within a block removed. A phrase that a smaller document has too
-is a repeat with all its windows; where phrases differ around one anchor, the operator's index (resolve) decides about
-single windows. The answer is one bit for each window, in the order in which the block asked.
+A shard so holds all the text that can match. The operator's index (resolve) decides about every window of it: of the
+copies of a phrase within a block, that of the smallest document is asked about and one that stands for the others.
+Where an operator says so (settle), a phrase that a smaller document has whole is a repeat by its hash, and the index
+sees only phrases that differ around one anchor. The answer is one bit for each window, in the order of asking.
 
 Messages are bounded by the entries they carry, however many blocks there are, and a passage in a third of all
 documents weighs as much as the number of blocks, not as the number of documents.
@@ -187,10 +188,10 @@ def blocks_of(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> int:
 
 @dataclass
 class Reference:
-    """Distinct phrases of one shard around anchors that have several, each with the smallest document that has it."""
+    """Phrases of one shard with their documents: all that were asked about, or with settle distinct ones whose anchor has several."""
 
     symbols: np.ndarray  # of all phrases, one after the other
-    first: np.ndarray  # where each phrase starts
+    first: np.ndarray  # where each phrase starts; phrases of one content in one block start at one place
     count: np.ndarray  # windows of each phrase
     doc: np.ndarray
 
@@ -224,24 +225,28 @@ class Block:
                 flags[a:b] |= np.unpackbits(np.frombuffer(payload.as_buffer(), np.uint8), count=b - a).astype(bool)
         return flags[np.searchsorted(distinct, self.anchor)] if len(distinct) else np.zeros(0, bool)
 
-    def asked(self, shared: np.ndarray) -> np.ndarray:
-        """One phrase for each distinct content among the shared ones, that of the smallest document, by anchor."""
+    def asked(self, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """One phrase for each distinct content among the shared ones, that of the smallest document, by anchor.
+
+        Also the greatest document of the block that has the content: if it is another one, it stands for all the others.
+        """
         at = np.flatnonzero(shared)
         order = at[np.lexsort((self.doc[at], self.key[at], self.anchor[at]))]
         new = np.ones(len(order), bool)
         new[1:] = self.key[order[1:]] != self.key[order[:-1]]
-        return order[new]
+        return order[new], self.doc[order[np.append(new[1:], True)]] if len(order) else self.doc[order]
 
 
 class FirstOccurrences:
     """docs: doc_id, text. units: ByteUnits or WordUnits.
 
     resolve(reference): for each window of its phrases in order, whether a smaller document in it has that window.
+    settle: phrases that a smaller document has whole are repeats by their hash, and resolve() sees the rest.
     """
 
-    def __init__(self, docs: DataFrame, length: int, k: int, units, resolve: Callable[[Reference], np.ndarray], block_bytes: int = BLOCK_BYTES):
+    def __init__(self, docs: DataFrame, length: int, k: int, units, resolve: Callable[[Reference], np.ndarray], settle: bool = False, block_bytes: int = BLOCK_BYTES):
         ensure_importable(docs.sparkSession)
-        self.length, self.k, self.units, self.resolve = length, k, units, resolve
+        self.length, self.k, self.units, self.resolve, self.settle = length, k, units, resolve, settle
         self.shards = blocks_of(docs, block_bytes)
         doc_id = F.col("doc_id").cast("long")
         self.placed = docs.select(
@@ -271,7 +276,7 @@ class FirstOccurrences:
 
     def _ask_phrases(self, key, docs, answers):
         block = self._block(docs)
-        chosen = block.asked(block.shared(answers, self.shards))
+        chosen, last = block.asked(block.shared(answers, self.shards))
         starts = np.cumsum([0, *[len(s[4].key) for s in block.slices]])
         contents, sizes = [None] * len(chosen), np.zeros(len(chosen), np.int64)
         for i, (_, _, data, _, phrases) in enumerate(block.slices):
@@ -285,23 +290,54 @@ class FirstOccurrences:
         for s, a, b in cuts(shard_of(block.anchor[chosen], self.shards)):
             at = chosen[a:b]
             head = np.array([b - a], np.int64).tobytes() + planes(block.doc[at]) + planes(block.count[at].astype("<u2")) + planes(block.offset[at].astype("<u2"))
+            if not self.settle:
+                head += planes(last[a:b])
             rows.append((s, key[0].as_py(), head + b"".join(contents[a:b])))
         return table(rows, ("shard", "block", "payload"))
 
     def _answer_phrases(self, key, asked):
         """One bit for each window of each phrase: does a smaller document have it?"""
         blocks, symbols, known = [], [], []
+        head = 12 if self.settle else 20
         for block, payload in sorted(zip(asked.column("block").to_pylist(), asked.column("payload")), key=lambda r: r[0]):
             raw = payload.as_buffer()
             n = int(np.frombuffer(raw, np.int64, 1)[0])
             doc, count, offset = unplanes(raw, n, 8), *(unplanes(raw, n, 8 + at * n, "<u2").astype(np.int64) for at in (8, 10))
-            own = self.units.symbols(np.frombuffer(raw, np.uint8, len(raw) - 8 - 12 * n, 8 + 12 * n))
-            prefix, size = self.units.prefix(own), count + self.length - 1
-            first = np.cumsum(size) - size
-            blocks.append((block, n))
+            own = self.units.symbols(np.frombuffer(raw, np.uint8, len(raw) - 8 - head * n, 8 + head * n))
             symbols.append(own)
-            known.append((doc, count, phrase_key(prefix, first, size, offset), hash_of(prefix, first + offset, self.k)))
-        doc, count, keys, anchors = (np.concatenate(x) for x in zip(*known))
+            size = count + self.length - 1
+            first = np.cumsum(size) - size
+            if not self.settle:
+                others = unplanes(raw, n, 8 + 12 * n)
+                again = np.flatnonzero(others != doc)
+                first, count, offset, doc = (np.concatenate(x) for x in ((first, first[again]), (count, count[again]), (offset, offset[again]), (doc, others[again])))
+            blocks.append((block, len(doc)))
+            known.append((doc, count, offset, first))
+        flags = (self._settled if self.settle else self._resolved)(symbols, known)
+        ends = np.cumsum(np.concatenate([x[1] for x in known]))
+        rows, at = [], 0
+        for (block, n), last in zip(blocks, np.cumsum([n for _, n in blocks])):
+            end = int(ends[last - 1])
+            if flags[at:end].any():
+                rows.append((block, self.shards + key[0].as_py(), np.packbits(flags[at:end]).tobytes()))
+            at = end
+        return table(rows, ("block", "shard", "payload"))
+
+    def _resolved(self, symbols: list, known: list) -> np.ndarray:
+        """All phrases go to the index."""
+        base = np.cumsum([0, *[len(x) for x in symbols]])
+        first = np.concatenate([x[3] + b for x, b in zip(known, base)])
+        return self.resolve(Reference(np.concatenate(symbols), first, np.concatenate([x[1] for x in known]), np.concatenate([x[0] for x in known])))
+
+    def _settled(self, symbols: list, known: list) -> np.ndarray:
+        """Whole phrases by their hash, the index for the rest."""
+        keys, anchors = [], []
+        for own, (_, count, offset, first) in zip(symbols, known):
+            prefix = self.units.prefix(own)
+            keys.append(phrase_key(prefix, first, count + self.length - 1, offset))
+            anchors.append(hash_of(prefix, first + offset, self.k))
+        keys, anchors = np.concatenate(keys), np.concatenate(anchors)
+        doc, count = (np.concatenate([x[i] for x in known]) for i in (0, 1))
         distinct, owner = least_by(keys, doc)
         flags = np.repeat(owner[np.searchsorted(distinct, keys)] < doc, count)
         # Of each content, the copy of the smallest document stands in the index; anchors with one content settle nothing.
@@ -311,40 +347,36 @@ class FirstOccurrences:
         holders = np.sort(order[new])
         several, of = np.unique(anchors[holders], return_inverse=True)
         open_ = holders[np.bincount(of, minlength=len(several))[of] > 1]
-        ends = np.cumsum(count)
         if len(open_):
-            size = count + self.length - 1
+            ends, size = np.cumsum(count), count + self.length - 1
             parts, base, at = [], 0, np.cumsum(size) - size
-            for own, last in zip(symbols, np.cumsum([n for _, n in blocks])):
+            for own, last in zip(symbols, np.cumsum([len(x[0]) for x in known])):
                 chosen = open_[(open_ >= base) & (open_ < last)]
                 parts.append(own[ranges(at[chosen] - at[base], size[chosen])])
                 base = last
             first = np.cumsum(size[open_]) - size[open_]
             reference = Reference(np.concatenate(parts), first, count[open_], doc[open_])
             flags[ranges(ends[open_] - count[open_], count[open_])] = self.resolve(reference)
-        rows, at = [], 0
-        for (block, n), last in zip(blocks, np.cumsum([n for _, n in blocks])):
-            end = int(ends[last - 1])
-            if flags[at:end].any():
-                rows.append((block, self.shards + key[0].as_py(), np.packbits(flags[at:end]).tobytes()))
-            at = end
-        return table(rows, ("block", "shard", "payload"))
+        return flags
 
     def run(self, finish: Callable, schema: str) -> DataFrame:
         """finish(ids, data, offsets, phrases, windows): an Arrow table; windows: sorted starts of repeated windows."""
 
         def close(key, docs, answers):
             block = self._block(docs)
-            chosen = block.asked(block.shared(answers, self.shards))
+            chosen, last = block.asked(block.shared(answers, self.shards))
             count = block.count[chosen]
+            again = count * (last != block.doc[chosen]) if not self.settle else np.zeros(len(count), np.int64)
             starts, shard = np.cumsum(count) - count, shard_of(block.anchor[chosen], self.shards)
-            flags = np.zeros(int(count.sum()), bool)
+            more = np.cumsum(again) - again
+            flags, others = np.zeros(int(count.sum()), bool), np.zeros(int(again.sum()), bool)
             for s, payload in zip(answers.column("shard").to_pylist(), answers.column("payload")):
                 if s >= self.shards:
                     a, b = np.searchsorted(shard, [s - self.shards, s - self.shards + 1])
-                    low, high = int(starts[a]), int(starts[b - 1] + count[b - 1])
-                    flags[low:high] = np.unpackbits(np.frombuffer(payload.as_buffer(), np.uint8), count=high - low).astype(bool)
-            # Phrases of one content: that of the smallest document takes the answer, those of others repeat it.
+                    n, m = int(count[a:b].sum()), int(again[a:b].sum())
+                    bits = np.unpackbits(np.frombuffer(payload.as_buffer(), np.uint8), count=n + m).astype(bool)
+                    flags[starts[a] : starts[a] + n], others[more[a] : more[a] + m] = bits[:n], bits[n:]
+            # Phrases of one content: that of the smallest document takes the first answer, those of others the second.
             by_key = np.argsort(block.key[chosen])
             place = np.searchsorted(block.key[chosen], block.key, sorter=by_key) if len(chosen) else np.zeros(len(block.key), np.int64)
             place = by_key[np.minimum(place, len(chosen) - 1)] if len(chosen) else place
@@ -354,7 +386,12 @@ class FirstOccurrences:
                 own = np.flatnonzero(known[base : base + len(p.key)])
                 at = place[base + own]
                 n = p.count[own]
-                gone = flags[ranges(starts[at], n)] | np.repeat(block.doc[chosen][at] < block.doc[base + own], n) if len(own) else np.zeros(0, bool)
+                later = np.repeat(block.doc[chosen][at] < block.doc[base + own], n)
+                gone = flags[ranges(starts[at], n)] if len(own) else np.zeros(0, bool)
+                if self.settle:
+                    gone |= later
+                elif later.any():
+                    gone[later] = others[ranges(more[at], n)[later]]
                 windows = ranges(p.first[own], n)[gone]
                 out.append(finish(block.ids.slice(a, b - a), data, offsets, p, windows))
                 base += len(p.key)

@@ -3,10 +3,11 @@
 import math
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loomgraph.llm import fingerprints, licenses, lm, mixing, neardup, packing, quality, queries, substrings, suffixes, tokens
+from loomgraph.llm import fingerprints, licenses, lm, mixing, neardup, packing, quality, queries, substrings, suffixes, tokens, winnow
 
 from . import brute
 
@@ -206,7 +207,7 @@ def model_probabilities(model, context):
     c = len(place) + 1 if context is None else place.get(name(context), len(place))
     counts, tables, parents = {}, {}, {}
     for r in model.state.collect():
-        bucket = lm.Bucket(r.asDict(), model.samples[-1], model.discounts, model.vocabulary)
+        bucket = lm.Bucket(r.asDict(), model.samples[-1], model.discounts, model.vocabulary, model.n_contexts)
         kept, n = lm.grow(r["kept"]), len(bucket.counts)
         samples = kept[n:].reshape(2 * lm.KEPT, -1)
         for i, w in enumerate(bucket.words):
@@ -267,7 +268,7 @@ def test_sweeps_keep_every_customer(spark):
     model = lm.Model(documents(spark, [(i, " ".join(f"w{(i * j) % 17}" for j in range(200)), "en", "s") for i in range(60)]))
     customers = np.zeros(model.n_contexts, int)
     for r in model.state.collect():
-        bucket = lm.Bucket(r.asDict(), model.samples[-1], model.discounts, model.vocabulary)
+        bucket = lm.Bucket(r.asDict(), model.samples[-1], model.discounts, model.vocabulary, model.n_contexts)
         sizes, first = bucket.below.sizes(), np.cumsum(bucket.below.tables) - bucket.below.tables
         assert (sizes > 0).all() and (np.add.reduceat(sizes, first) == bucket.counts).all()
         above = bucket.above.sizes()
@@ -378,6 +379,12 @@ def test_word_dedup(cases):
         assert got == brute.word_dedup(pairs(rows))
 
 
+def test_without_the_parse_no_word_is_removed(cases):
+    for table, _ in cases:
+        nothing = winnow.FirstOccurrences(table, substrings.LENGTH, substrings.ANCHOR, winnow.WordUnits, lambda reference: np.zeros(int(reference.count.sum()), bool))
+        assert nothing.run(substrings._finish, substrings.RESULT).agg(F.sum("n_removed")).first()[0] == 0
+
+
 def test_byte_dedup(cases):
     for table, rows in cases:
         got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixes.repeated_bytes(table).collect()}
