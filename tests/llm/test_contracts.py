@@ -250,6 +250,19 @@ def test_gibbs_sampling_has_the_exact_posterior_of_table_counts():
         assert np.abs(got - weights / weights.sum()).max() < 0.04
 
 
+def test_lm_contexts_grow_with_the_corpus(spark):
+    seen = []
+    for copies in (1, 8):
+        text = [" ".join(f"w{int(1e4 * ((i * 31 + j * 17) % 997 / 997) ** 4)}" for j in range(100)) for i in range(40 * copies)]
+        table = documents(spark, [(5 * i, t, "en", "s") for i, t in enumerate(text)])
+        words = Counter(w for d, t in table.select("doc_id", "text").where(~lm.held_out(F.col("doc_id"))).collect() for w in brute.words(t))
+        total = sum(words.values())
+        model = lm.Model(table)
+        assert len(model.contexts) == sum(lm.CONTEXTS * n >= total**0.5 for n in words.values()) <= lm.CONTEXTS * total**0.5
+        seen.append(len(model.contexts))
+    assert seen[0] < seen[1]
+
+
 def test_lm_without_training_rows_and_without_ids(spark):
     import zlib
 
