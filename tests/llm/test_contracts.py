@@ -263,6 +263,28 @@ def test_lm_contexts_grow_with_the_corpus(spark):
     assert seen[0] < seen[1]
 
 
+def test_every_word_is_a_context(spark):
+    """Rare words keep what follows them apart, though frequent words make up most of the corpus."""
+    import numpy as np
+
+    filler = " ".join("the of and to in is".split()[(j * j + j // 7) % 6] for j in range(400))
+    rows = [(5 * i, f"{filler} rare{i % 30} next{i % 30} {filler}", "en", "s") for i in range(90)]
+    model = lm.Model(documents(spark, rows))
+    probes = [f"rare{i} next{j}" for i in range(30) for j in (i, (i + 1) % 30)]
+    got = [r.score for r in model.score(documents(spark, [(i, t, "en", "s") for i, t in enumerate(probes)])).orderBy("doc_id").collect()]
+    assert all(own > crossed + 1 for own, crossed in zip(got[::2], got[1::2]))
+    # Each word's numbers as a context, which met from all buckets, against its pairs in all buckets.
+    customers, tables, want = Counter(), Counter(), {}
+    for r in model.state.collect():
+        bucket = lm.Bucket(r.asDict(), None, model.discounts, model.vocabulary)
+        for name, c, t in zip(bucket.names[bucket.of].tolist(), bucket.counts.tolist(), bucket.below.tables.tolist()):
+            customers[name] += c
+            tables[name] += t
+        seen = np.bincount(bucket.word_of, bucket.counts, len(bucket.words))
+        want |= dict(zip(bucket.words.tolist(), zip(seen.tolist(), lm.grow(r["around"]).reshape(lm.KEPT, -1)[-1].tolist())))
+    assert {name: (customers[name], tables[name]) for name in customers} == want and len(want) == model.vocabulary
+
+
 def test_lm_without_training_rows_and_without_ids(spark):
     import zlib
 
