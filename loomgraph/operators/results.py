@@ -98,8 +98,8 @@ def fill_forward(df: DataFrame, value: str, pos: str, *by: str) -> DataFrame:
 
 def significant(value: Column, digits: int = 3) -> Column:
     """Rounded to that many significant digits."""
-    scale = F.pow(F.lit(10.0), F.lit(digits - 1) - F.floor(F.log10(F.abs(value))))
-    return F.when(value == 0, F.lit(0.0)).otherwise(F.round(value * scale) / scale)
+    unit = F.pow(F.lit(10.0), F.floor(F.log10(F.abs(value))) - F.lit(digits - 1))
+    return F.when(value == 0, F.lit(0.0)).otherwise(F.round(value / unit) * unit)
 
 
 def upsert_cells(table: DataFrame, cells: DataFrame, key: str) -> DataFrame:

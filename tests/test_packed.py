@@ -1,8 +1,7 @@
 """Coloring, core numbers and peel rounds on packed parts, against plain Python."""
 
-import random
-
 import pytest
+from pyspark.sql import functions as F
 
 from loomgraph.graph import Graph, once_by_source
 from loomgraph.plans import coloring, cores
@@ -81,3 +80,12 @@ def test_long_peel_takes_few_jobs(spark):
     got = []
     assert jobs(spark, "peel", lambda: got.extend(cores.peel(g).collect())) < 60
     assert {r["id"]: r["turn"] for r in got} == {i: min(i, 119 - i) for i in range(120)}
+
+
+def test_significant_digits_are_multiples_of_the_last_one(spark):
+    """As in SQL: the number of units of the last digit, times the unit."""
+    from loomgraph.operators.results import significant
+
+    rows = spark.createDataFrame([(x,) for x in (62.3, -62.34, 0.0, 1234.5, 999.5, 0.30012, None)], "x double").select("x", significant(F.col("x")).alias("v"))
+    want = {62.3: 623 * 0.1, -62.34: -623 * 0.1, 0.0: 0.0, 1234.5: 123 * 10.0, 999.5: 1000.0, 0.30012: 300 * 0.001, None: None}
+    assert {r.x: r.v for r in rows.collect()} == want
